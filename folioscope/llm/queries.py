@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, id_files
+from folioscope.llm import bpe, chat, id_files, pivot_search
 from folioscope.llm.common import scratch, table
 
 
@@ -28,8 +28,19 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.with_crc32(id_files.read(spark, path))
 
 
+def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(turns))
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat}
 
 
 def oracle_sql() -> dict[str, str]:
