@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, id_files, pivot_search
-from folioscope.llm.common import scratch, table
+from folioscope.llm import bpe, chat, ctw, id_files, pivot_search, toxicity
+from folioscope.llm.common import remainder, scratch, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,17 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.with_crc32(id_files.read(spark, path))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -40,7 +51,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat}
 
 
 def oracle_sql() -> dict[str, str]:
