@@ -30,7 +30,7 @@ from folioscope.llm.common import slices, whole_text
 #: Every so many set bits the select directory keeps a position.
 SAMPLE = 256
 #: Ids after which a block is closed, and words memoised per Python worker.
-BLOCK_IDS, MEMO_ENTRIES = 1 << 20, 1_000_000
+BLOCK_IDS, MEMO_ENTRIES = 1 << 20, 700_000
 _MAGIC = b"FSEF1"
 
 
@@ -136,12 +136,18 @@ class _Words(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        v = self[word] = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        if word[-1:] in (",", ".") and "a" <= word[-2:-1].lower() <= "z":  # marks are split from letters
+            v = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lower-cases
+            v = self[word.lower()]
+        else:
+            v = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = v
         return v
 
 
 class WordEncoder:
-    """The tokenizers library over chunks between spaces and line ends, memoised.
+    """The tokenizers library over chunks between spaces and line ends, memoised within MEMO_ENTRIES.
 
     The tokenizer drops white space and its patterns never reach across it, so the ids of a text
     are those of its chunks end to end. `chunked=False` encodes whole texts.
@@ -163,7 +169,24 @@ class WordEncoder:
         if len(self.words) > MEMO_ENTRIES:
             self.words.clear()
         of = self.words.__getitem__
-        return [b"".join(map(of, t.replace("\n", " ").split(" "))) + self.end for t in texts]
+        return [b"".join(map(of, self._plain(t).replace("\n", " ").split(" "))) + self.end for t in texts]
+
+    @staticmethod
+    def _plain(text: str) -> str:
+        """The text in lower case where the tokenizer would do no else; special tokens stay what they are."""
+        return text.lower() if text.isascii() and "<|" not in text else text
+
+
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def _encoder(spec: str, end_id: int, chunked: bool) -> WordEncoder:
+    """One encoder per process, so that its memo outlives a task."""
+    key = hash(spec), end_id, chunked
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(spec, end_id, chunked)
+    return _ENCODERS[key]
 
 
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, chunked: bool = True) -> None:
@@ -176,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, chun
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = WordEncoder(spec.value, end_id, chunked)
+        encoder = _encoder(spec.value, end_id, chunked)
         wide = encoder.tokenizer.get_vocab_size(True) > 65536 or end_id > 65535
         names: list = []
         held: list[bytes] = []
@@ -208,8 +231,12 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, chun
     shards.select("*", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("docs_before")).coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids) of all documents written below path."""
+def read(spark: SparkSession, path: str, crc32: bool = False) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids) of all documents written below path.
+
+    With crc32 the last column is instead ids_crc32, the crc32 of the ids read, as little-endian
+    unsigned 32-bit integers.
+    """
     placed = spark.read.parquet(f"{path}/blocks").select("shard", "block").join(F.broadcast(spark.read.parquet(f"{path}/manifest").select("shard", "ids_before")), "shard")
 
     def run(batches):
@@ -218,19 +245,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 block = Block(batch.column("block")[i].as_py())
                 ends = block.ends.values()
                 begin = ends[:-1] + block.start + batch.column("ids_before")[i].as_py()
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(block.ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids(), pa.int64()), pa.array(begin), pa.array(np.diff(ends)), ids], names=["doc_id", "start", "n_tokens", "ids"])
-
-    return placed.select("block", "ids_before").mapInArrow(run, T.StructType.fromDDL("doc_id long, start long, n_tokens long, ids array<int>"))
-
-
-def with_crc32(rows: DataFrame) -> DataFrame:
-    """Replaces the ids by their crc32 as little-endian unsigned 32-bit integers."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(3)
-            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                if crc32:
+                    raw, at = memoryview(block.ids.astype("<u4")).cast("B"), (ends * 4).tolist()
+                    last = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(block.ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids(), pa.int64()), pa.array(begin), pa.array(np.diff(ends)), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if crc32 else "ids"])
+
+    last = "ids_crc32 long" if crc32 else "ids array<int>"
+    return placed.select("block", "ids_before").mapInArrow(run, T.StructType.fromDDL(f"doc_id long, start long, n_tokens long, {last}"))

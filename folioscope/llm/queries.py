@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, ctw, id_files, pivot_search, toxicity
+from folioscope.llm import bpe, chat, ctw, id_files, near_duplicates, pivot_search, toxicity
 from folioscope.llm.common import remainder, scratch, table
 
 
@@ -25,7 +25,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "ids")
     id_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return id_files.with_crc32(id_files.read(spark, path))
+    return id_files.read(spark, path, crc32=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat, "op9_near_duplicates": op9_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
