@@ -17,17 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import slices, whole_text
+from folioscope.llm.common import Memo, slices, whole_text
 
 _M64 = (1 << 64) - 1
-#: Memoised chunks per Python worker; the memo is emptied beyond it, which changes no result.
-MEMO_ENTRIES = 600_000
+#: Memoised chunks per Python worker, in each of two generations.
+MEMO_ENTRIES = 350_000
 
 
 class MinimalPerfectHash:
@@ -104,7 +105,8 @@ class Vocabulary:
     """What executors need of a vocabulary; its size is that of the vocabulary file."""
 
     lookup: MinimalPerfectHash
-    ranks: dict[bytes, int]
+    bytes_: list[int | None]
+    pairs: dict[int, int]
     pieces: list[bytes]
     pattern: str
     odd: str = ""
@@ -115,59 +117,67 @@ class Vocabulary:
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, r in ranks.items():
             pieces[r] = k
-        return cls(MinimalPerfectHash(keys, [ranks[k] for k in keys]), ranks, pieces, pattern, newer_letters())
+        return cls(MinimalPerfectHash(keys, [ranks[k] for k in keys]), [ranks.get(bytes([i])) for i in range(256)], pair_table(ranks), pieces, pattern, newer_letters())
 
+    def encoder(self) -> Encoder:
+        """One encoder per process, so that its memo outlives a task."""
+        if "_encoder" not in self.__dict__:
+            self.__dict__["_encoder"] = Encoder(self)
+        return self.__dict__["_encoder"]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_encoder"}
+
+
+#: Bits of an id in a pair's key, and of a position in a heap entry.
+_ID, _AT = 20, 40
 
-def merge(key: bytes, rank_of) -> list[int]:
-    """Ids of one pre-token: always the pair of least rank, leftmost first."""
-    n = len(key)
-    end = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    heap = []
 
-    def offer(i: int) -> None:
-        j = end[i]
-        if j < n and (r := rank_of(key[i : end[j]])) is not None:
-            heap.append((r, i, j, end[j])) if not built else heapq.heappush(heap, (r, i, j, end[j]))
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of what two entries make together, by left << _ID | right."""
+    out = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None:
+                out[a << _ID | b] = rank
+    return out
+
 
-    built = False
-    for i in range(n - 1):
-        offer(i)
+def merge(ids: list[int], pair) -> list[int]:
+    """Ids of one pre-token, given those of its bytes: always the pair of least rank, leftmost first.
+
+    pair(left << _ID | right) is the rank of two ids' merge, or None. ids is used up.
+    """
+    n = len(ids)
+    heap = [r << _AT | i for i in range(n - 1) if (r := pair(ids[i] << _ID | ids[i + 1])) is not None]
+    if not heap:
+        return ids
     heapq.heapify(heap)
-    built = True
+    pop, push = heapq.heappop, heapq.heappush
+    after = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+    mask = (1 << _AT) - 1
     while heap:
-        _, i, j, k = heapq.heappop(heap)
-        if end[i] != j or end[j] != k:  # one side has changed since
+        top = pop(heap)
+        i = top & mask
+        j = after[i]
+        if ids[i] < 0 or j == n or pair(ids[i] << _ID | ids[j]) != top >> _AT:  # a side has changed since
             continue
-        end[i], end[j] = k, -1
+        r = ids[i] = top >> _AT
+        ids[j] = -1
+        k = after[i] = after[j]
         if k < n:
             before[k] = i
-            offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    out, i = [], 0
-    while i < n:
-        r = rank_of(key[i : end[i]])
-        if r is None:
-            raise ValueError(f"the vocabulary has no entry for byte {key[i : end[i]]!r}")
-        out.append(r)
-        i = end[i]
-    return out
-
-
-class _Memo(dict):
-    """Little-endian ids by chunk of text, filled on demand."""
-
-    def __init__(self, make):
-        self.make = make
+            if (x := pair(r << _ID | ids[k])) is not None:
+                push(heap, x << _AT | i)
+        h = before[i]
+        if h >= 0 and (x := pair(ids[h] << _ID | r)) is not None:
+            push(heap, x << _AT | h)
+    return [x for x in ids if x >= 0]
 
-    def __missing__(self, key):
-        v = self[key] = self.make(key)
-        return v
 
-
-#: A space between white space: only there could a split at spaces part a pre-token.
-_INNER_SPACE = re.compile(r"\s \s")
+#: Two white-space characters in a row: only there could a split at spaces and line ends part a pre-token.
+_DOUBLE_SPACE = re.compile(r"\s\s")
 
 
 class Encoder:
@@ -178,8 +188,9 @@ class Encoder:
         self.plain = dict.fromkeys(map(ord, vocabulary.odd), "\U000e0fff")  # neither letter, number nor space
         self.odd = frozenset(vocabulary.odd)
         self.lookup = vocabulary.lookup.get
-        self.rank_of = vocabulary.ranks.get
-        self.follows = _Memo(lambda piece: self._ids(" " + piece))
+        self.of_byte = vocabulary.bytes_
+        self.pair = vocabulary.pairs.get
+        self.follows = Memo(self._piece, MEMO_ENTRIES)
 
     def find(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk."""
@@ -192,19 +203,29 @@ class Encoder:
         for pre in self.find(chunk):
             key = pre.encode("utf-8", "surrogatepass")
             whole = self.lookup(key)
-            out.extend(merge(key, self.rank_of)) if whole is None else out.append(whole)
+            if whole is not None:
+                out.append(whole)
+                continue
+            ids = [self.of_byte[b] for b in key]
+            if None in ids:
+                raise ValueError(f"the vocabulary lacks a byte of {key!r}")
+            out += merge(ids, self.pair)
         return np.array(out, "<i4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if piece[-1:] in (",", ".") and "a" <= piece[-2:-1].lower() <= "z":  # a mark after a letter is a pre-token
+            return self.follows[piece[:-1]] + self._ids(piece[-1])
+        return self._ids(piece if piece[:1] == "\n" else " " + piece)
+
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian 32-bit integers."""
         if not text:
             return b""
-        if _INNER_SPACE.search(text):
+        if _DOUBLE_SPACE.search(text):
             return self._ids(text)
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")
         out = self._ids(first) + b"".join(map(self.follows.__getitem__, rest))
-        if len(self.follows) > MEMO_ENTRIES:
-            self.follows.clear()
+        self.follows.trim()
         return out
 
 
@@ -223,7 +244,7 @@ def encode(df: DataFrame, vocab, text: str = "text", out: str = "ids", keep: lis
     work = df.select(*[F.col(f"`{c}`") for c in keep], whole_text(f"`{text}`").alias("__text"))
 
     def run(batches):
-        encoder = Encoder(vocab.value)
+        encoder = vocab.value.encoder()
         for batch in batches:
             for part in slices(batch):
                 ids = [encoder.encode(t) for t in part.column(len(keep)).to_pylist()]
@@ -244,11 +265,20 @@ def decode(df: DataFrame, vocab, ids: str = "ids", out: str = "decoded", keep: l
 
     def run(batches):
         pieces = vocab.value.pieces
+        size = np.array([len(p) for p in pieces], np.int64)
+        start = np.cumsum(size) - size
+        blob = np.frombuffer(b"".join(pieces), np.uint8)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 32):
                 lists = part.column(len(keep))
-                texts = [b"".join(map(pieces.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.binary())], names=[*keep, out])
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                each = size[flat]
+                ends = np.r_[0, np.cumsum(each)]
+                text = blob[np.repeat(start[flat] - ends[:-1], each) + np.arange(ends[-1])]
+                counts = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
+                at = ends[np.r_[0, np.cumsum(counts)]].astype("<i4")
+                made = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(text.tobytes())])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], made], names=[*keep, out])
 
     fields = [work.schema[c] for c in keep] + [T.StructField(out, T.BinaryType())]
     return work.mapInArrow(run, T.StructType(fields))

@@ -48,3 +48,23 @@ def slices(batch, rows: int = 256):
     """Arrow batch in slices of a bounded row count, so Python objects stay few at a time."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+class Memo(dict):
+    """Results of make by key, in two generations of at most `limit` entries, so the frequent ones stay."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        v = self.old.get(key)
+        if v is None:
+            v = self.make(key)
+        self[key] = v
+        return v
+
+    def trim(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()

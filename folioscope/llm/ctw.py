@@ -15,8 +15,9 @@ gives its bytes and the discount d follows from how many tokens were seen once a
 therefore learns how distinct tokens are spelt. All statistics come from all training texts:
 
 1. tokens are counted (partly in place, then by a shuffle);
-2. counts of (context, byte) follow from the distinct tokens, and the tree's nodes from those,
-   level by level upwards (P_w) and downwards (mixture) as keyed tables;
+2. counts of (context, byte) follow from the distinct tokens; the subtree below each context of
+   SPLIT bytes is worked out by itself, the levels above as keyed tables, upwards for P_w and
+   downwards for the mixture;
 3. every distinct token gets its log-probability;
 4. texts look up their tokens: the HEAD most frequent (a fixed number) from a broadcast table,
    all others by a join.
@@ -99,79 +100,183 @@ def steps(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key.astype(np.int64), owner
 
 
-def _count_steps(types: DataFrame, depth: int) -> DataFrame:
+def count_steps(types: DataFrame, depth: int) -> DataFrame:
+    """Rows (step, n): all steps of all tokens, with how many distinct training tokens have them."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 20_000):
-                key, _ = steps(part.column(0).to_pylist(), depth)
-                keys, inverse = np.unique(key, return_inverse=True)
-                n = np.bincount(inverse, minlength=len(keys)).astype(np.int64)
+                key, owner = steps(part.column(0).to_pylist(), depth)
+                keys, at = np.unique(key, return_inverse=True)
+                n = np.bincount(at, (part.column(1).to_numpy() > 0)[owner], len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["step", "n"])
 
-    return types.where("c > 0").select("tok").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    return types.select("tok", "c").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
 
 
-def _lgamma(x: Column) -> Column:
+def _lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x >= 0.5: Stirling's series six steps further up."""
-    y, product = x + 6, x
-    for k in range(1, 6):
-        product = product * (x + k)
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    y = x + 6
+    product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)
+
+
+_HALF = math.log(0.5)
+
+
+class Level:
+    """The nodes of one depth: keys context << 8 | node, counts, log P_w, and the estimate's share w of it."""
+
+    def __init__(self, keys, n0, n1, below=None):
+        self.keys, self.n0, self.n1 = keys, n0, n1
+        pe = _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - math.log(math.pi) - _lgamma(n0 + n1 + 1.0)
+        self.pw = pe if below is None else _HALF + np.logaddexp(pe, below)
+        self.w = np.ones(len(keys)) if below is None else np.exp(_HALF + pe - self.pw)
+        self.kt = (n1 + 0.5) / (n0 + n1 + 1.0)
+
+    @classmethod
+    def deepest(cls, steps_: np.ndarray, times: np.ndarray) -> Level:
+        nodes, bits = decisions(steps_)
+        keys, at = np.unique(nodes.ravel(), return_inverse=True)
+        n = np.broadcast_to(times.astype(float), nodes.shape).ravel()
+        ones = np.bincount(at, n * bits.ravel(), len(keys))
+        return cls(keys, np.bincount(at, n, len(keys)) - ones, ones)
+
+    def above(self, depth: int) -> Level:
+        """The level of that depth, whose nodes are these nodes' parents."""
+        keys, at = np.unique(shortened(self.keys, depth), return_inverse=True)
+        total = lambda x: np.bincount(at, x, len(keys))
+        return Level(keys, total(self.n0), total(self.n1), total(self.pw))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of keys, and which of them exist."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
+def decisions(steps_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight decisions of each step, by rows: the step's key with the byte replaced by the node, and the bit."""
+    k = np.arange(8)[:, None]
+    byte, context = steps_ & 255, steps_ & ~np.int64(255)
+    return context | 1 << k | byte >> 8 - k, byte >> 7 - k & 1
+
+
+def shortened(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the same decisions in contexts of depth bytes."""
+    return keys & np.int64((1 << 8 * (depth + 1)) - 1)
+
+
+def _subtree(steps_: np.ndarray, times: np.ndarray, depth: int, top: int) -> list[Level]:
+    """Levels top to depth of the nodes of the steps that were seen."""
+    levels = [Level.deepest(steps_[times > 0], times[times > 0])]
+    for d in range(depth - 1, top - 1, -1):
+        levels.insert(0, levels[0].above(d))
+    return levels
 
 
-def _estimate(n0: Column, n1: Column) -> Column:
-    """log P_e: the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - math.log(math.pi) - _lgamma(n0 + n1 + 1.0)
+def _mixtures(levels: list[Level], top: int, acc: np.ndarray, rest: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Per level the prediction where a path ends there; acc, rest: of the first level, what its path has gathered
+    and what weight is left."""
+    leaves = [first]
+    for i, level in enumerate(levels[1:], 1):
+        up, _ = levels[i - 1].find(shortened(level.keys, top + i - 1))
+        leaves.append(acc[up] + rest[up] * level.kt)
+        acc, rest = acc[up] + rest[up] * level.w * level.kt, rest[up] * (1 - level.w)
+    return leaves
 
 
-def _bits(step: str = "step") -> Column:
-    """The eight decisions of a step: its key with the byte replaced by the node, and the bit."""
-    return F.explode(F.expr(f"transform(sequence(0, 7), k -> struct(({step} & ~255L) | shiftleft(1L, k) | shiftright({step} & 255L, 8 - k) AS node, (shiftright({step}, 7 - k) & 1L) AS bit))")).alias("d")
+#: The tree's first levels, of contexts of up to SPLIT bytes, are tables; what hangs below one context of SPLIT bytes is worked out together.
+SPLIT = 3
 
 
-def _up(node: str, depth: int) -> Column:
-    """The key of the same decision in the context shortened to depth bytes."""
-    return F.expr(f"{node} & {(1 << 8 * (depth + 1)) - 1}L")
+def _stems(counted: DataFrame, depth: int, top: int) -> DataFrame:
+    """Rows (node, n0, n1, pw, w) of depth top, from all below."""
 
+    def run(table: pa.Table) -> pa.Table:
+        level = _subtree(table["step"].to_numpy(), table["n"].to_numpy(), depth, top)[0]
+        return pa.table({"node": level.keys, "n0": level.n0, "n1": level.n1, "pw": level.pw, "w": level.w})
 
-def build_tree(counted: DataFrame, depth: int) -> list[DataFrame]:
-    """Per depth a table (node, leaf): the predicted probability of a 1 where the path ends there."""
-    half = math.log(0.5)
-    level = counted.select(_bits(), "n").groupBy("d.node").agg(F.sum(F.expr("n * (1 - d.bit)")).cast("double").alias("n0"), F.sum(F.expr("n * d.bit")).cast("double").alias("n1"))
-    own = _estimate(F.col("n0"), F.col("n1"))
-    levels = [cut(level.select("node", "n0", "n1", own.alias("pw"), F.lit(1.0).alias("w")), f"ctw{depth}")]
-    for d in range(depth - 1, -1, -1):
-        merged = levels[0].groupBy(_up("node", d).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below")).withColumn("pe", own)
-        top = F.greatest("pe", "below")
-        merged = merged.withColumn("pw", half + top + F.log(F.exp(F.col("pe") - top) + F.exp(F.col("below") - top)))
-        levels.insert(0, cut(merged.select("node", "n0", "n1", "pw", F.exp(half + F.col("pe") - F.col("pw")).alias("w")), f"ctw{d}"))
+    return counted.where("n > 0").groupBy(_stem("step", top).alias("stem")).applyInArrow(lambda t: run(t), "node long, n0 double, n1 double, pw double, w double")
+
+
+def _stem(step: str, top: int) -> Column:
+    """The last bytes of a step's context, by which subtrees are told apart."""
+    return F.expr(f"shiftright({step}, 8) & {(1 << 8 * top) - 1}L")
+
+
+def build_top(stems: DataFrame, top: int) -> list[DataFrame]:
+    """Per depth 0 to top a table (node, leaf, acc, rest) of the path's mixture."""
+
+    def merge(table: pa.Table, depth: int) -> pa.Table:
+        level = Level(table["node"].to_numpy(), table["n0"].to_numpy(), table["n1"].to_numpy(), table["below"].to_numpy())
+        return pa.table({"node": level.keys, "n0": level.n0, "n1": level.n1, "pw": level.pw, "w": level.w})
+
+    up = lambda node, d: F.expr(f"{node} & {(1 << 8 * (d + 1)) - 1}L")
+    levels = [stems]
+    for d in range(top - 1, -1, -1):
+        sums = levels[0].groupBy(up("node", d).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
+
+        def weigh(batches, d=d):
+            for batch in batches:
+                yield from merge(pa.Table.from_batches([batch]), d).to_batches()
+
+        levels.insert(0, cut(sums.mapInArrow(weigh, stems.schema), f"level{d}"))
     kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    path = levels[0].select("node", kt.alias("leaf"), (F.col("w") * kt).alias("acc"), (1 - F.col("w")).alias("rest"))
-    out = [cut(path, "path0")]
-    for d in range(1, depth + 1):
+    out = [cut(levels[0].select("node", kt.alias("leaf"), (F.col("w") * kt).alias("acc"), (1 - F.col("w")).alias("rest")), "path0")]
+    for d in range(1, top + 1):
         above = out[-1].select(F.col("node").alias("up"), F.col("acc").alias("acc0"), F.col("rest").alias("rest0"))
-        met = levels[d].withColumn("up", _up("node", d - 1)).join(above, "up")
+        met = levels[d].withColumn("up", up("node", d - 1)).join(above, "up")
         leaf = F.col("acc0") + F.col("rest0") * kt
         out.append(cut(met.select("node", leaf.alias("leaf"), (F.col("acc0") + F.col("rest0") * F.col("w") * kt).alias("acc"), (F.col("rest0") * (1 - F.col("w"))).alias("rest")), f"path{d}"))
-    return [x.select("node", "leaf") for x in out]
-
-
-def predict(wanted: DataFrame, counted: DataFrame, tree: list[DataFrame]) -> DataFrame:
-    """Rows (step, lp): log10 of the predicted probability of each wanted (context, byte)."""
-    lp = F.sum(F.log10(F.when(F.col("bit") == 1, F.col("leaf")).otherwise(1 - F.col("leaf")))).alias("lp")
-    depth = len(tree) - 1
-    bits = lambda df: df.select("step", _bits()).select("step", "d.node", "d.bit")
-    seen = bits(counted).join(tree[-1], "node").groupBy("step").agg(lp)
-    # Steps that no training token has: each decision goes by the deepest node there is.
-    every = tree[0].withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
-        every = every.unionByName(tree[d].withColumn("depth", F.lit(d)))
-    spread = bits(wanted.join(counted, "step", "left_anti")).select("step", "bit", F.col("node").alias("full"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
-    spread = spread.withColumn("node", F.expr("full & CASE WHEN depth = 7 THEN -1L ELSE shiftleft(1L, 8 * (depth + 1)) - 1 END"))
-    new = spread.join(every, ["depth", "node"], "left").groupBy("step", "full", "bit").agg(F.max_by("leaf", F.when(F.col("leaf").isNotNull(), F.col("depth"))).alias("leaf"))
-    new = new.withColumn("leaf", F.coalesce("leaf", F.lit(0.5))).groupBy("step").agg(lp)
-    return seen.unionByName(new)
+    return out
+
+
+def predict(counted: DataFrame, depth: int) -> DataFrame:
+    """Rows (step, lp): log10 of the predicted probability of every step in counted (step, n); n is 0 if unseen."""
+    top = min(SPLIT, depth)
+    paths = build_top(cut(_stems(counted, depth, top), "stems"), top)
+
+    def run(steps_: pa.Table, path: pa.Table) -> pa.Table:
+        key, n = steps_["step"].to_numpy(), steps_["n"].to_numpy()
+        lp, missing = np.zeros(len(key)), np.zeros(len(key), np.int32)
+        levels = _subtree(key, n, depth, top)
+        node = path["node"].to_numpy()
+        order = np.argsort(node)
+        of = lambda c: path[c].to_numpy()[order]
+        leaves = _mixtures(levels, top, of("acc"), of("rest"), of("leaf")) if len(node) else [np.zeros(0)] * len(levels)
+        nodes, bits = decisions(key)
+        for k in range(8):
+            p, left = np.full(len(key), np.nan), np.ones(len(key), bool)
+            for d in range(len(levels) - 1, -1, -1):
+                at, there = levels[d].find(shortened(nodes[k], top + d))
+                there &= left
+                if there.any():
+                    p[there] = leaves[d][at[there]]
+                    left &= ~there
+            lp += np.where(left, 0.0, np.log10(np.where(left, 0.5, np.where(bits[k] == 1, p, 1 - p))))
+            missing |= left.astype(np.int32) << k
+        return pa.table({"step": key, "lp": lp, "missing": missing})
+
+    stem = _stem("step", top)
+    below = cut(
+        counted.groupBy(stem.alias("stem")).cogroup(paths[top].groupBy(_stem("node", top).alias("stem"))).applyInArrow(lambda a, b: run(a, b) if a.num_rows else pa.table({"step": pa.array([], pa.int64()), "lp": pa.array([], pa.float64()), "missing": pa.array([], pa.int32())}), "step long, lp double, missing int"),
+        "below",
+    )
+    done = below.where("missing = 0").select("step", "lp")
+    # Decisions of unseen steps that no subtree knows: the deepest node above it, or even odds.
+    bit = F.explode(F.expr("filter(transform(sequence(0, 7), k -> struct(k AS k, (step & ~255L) | shiftleft(1L, k) | shiftright(step & 255L, 8 - k) AS node, (shiftright(step, 7 - k) & 1L) AS bit)), x -> (shiftright(missing, x.k) & 1) = 1)")).alias("d")
+    open_ = below.where("missing <> 0").select("step", "lp", bit).select("step", "lp", "d.k", "d.bit", F.col("d.node").alias("full"))
+    every = paths[0].select("node", "leaf", F.lit(0).alias("depth"))
+    for d in range(1, top):
+        every = every.unionByName(paths[d].select("node", "leaf", F.lit(d).alias("depth")))
+    spread = open_.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max(0, top - 1))))).withColumn("node", F.expr("full & (shiftleft(1L, 8 * (depth + 1)) - 1)"))
+    each = spread.join(every, ["depth", "node"], "left").groupBy("step", "lp", "k", "bit").agg(F.max_by("leaf", F.when(F.col("leaf").isNotNull(), F.col("depth"))).alias("leaf"))
+    p = F.coalesce("leaf", F.lit(0.5))
+    rest = each.groupBy("step", "lp").agg(F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("more"))
+    return done.unionByName(rest.select("step", (F.col("lp") + F.col("more")).alias("lp")))
 
 
 def _token_scores(types: DataFrame, predictions: DataFrame, depth: int, most: int) -> DataFrame:
@@ -201,15 +306,6 @@ def _token_scores(types: DataFrame, predictions: DataFrame, depth: int, most: in
     return types.select("tok", "c").mapInArrow(spread, "tok binary, c long, step long").join(predictions, "step").groupBy("tok").agg(F.first("c").alias("c"), F.sum("lp").alias("lp"))
 
 
-def _wanted_steps(types: DataFrame, depth: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(steps(part.column(0).to_pylist(), depth)[0]))], names=["step"])
-
-    return types.where("c = 0").select("tok").mapInArrow(run, "step long").distinct()
-
-
 def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEAD, broadcast_predictions: int = BROADCAST_PREDICTIONS) -> DataFrame:
     """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for all rows of docs."""
     if not 0 <= depth <= 6:
@@ -221,9 +317,8 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
     discount = once / (once + 2 * twice) if once else 0.5
     spelling = F.pow(F.lit(10.0), "lp") * (discount * v + 1)
     whole = F.log10((F.when(F.col("c") > 0, F.col("c") - discount).otherwise(0.0) + spelling) / (n + 1.0))
-    counted = cut(_count_steps(types, depth), "steps")
-    tree = build_tree(counted, depth)
-    predictions = cut(predict(_wanted_steps(types, depth), counted, tree), "predictions")
+    counted = cut(count_steps(types, depth), "steps")
+    predictions = cut(predict(counted, depth), "predictions")
     scored = cut(_token_scores(types, predictions, depth, broadcast_predictions).select("tok", "c", whole.alias("lp")), "tokens")
     top = scored.orderBy(F.desc("c"), "tok").limit(head).toArrow()  # a fixed number
     held = spark.sparkContext.broadcast({t: (c, p) for t, c, p in zip(*(top.column(x).to_pylist() for x in ("tok", "c", "lp")), strict=True)})

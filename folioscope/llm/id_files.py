@@ -25,12 +25,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import slices, whole_text
+from folioscope.llm.common import Memo, slices, whole_text
 
 #: Every so many set bits the select directory keeps a position.
 SAMPLE = 256
-#: Ids after which a block is closed, and words memoised per Python worker.
-BLOCK_IDS, MEMO_ENTRIES = 1 << 20, 700_000
+#: Ids after which a block is closed, and words memoised per Python worker, in each of two generations.
+BLOCK_IDS, MEMO_ENTRIES = 1 << 20, 400_000
 _MAGIC = b"FSEF1"
 
 
@@ -129,23 +129,6 @@ class Block:
         return [None] * self.nulls + [self.base + x for x in self.names.values().tolist()]
 
 
-class _Words(dict):
-    """Little-endian ids by word, filled on demand."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if word[-1:] in (",", ".") and "a" <= word[-2:-1].lower() <= "z":  # marks are split from letters
-            v = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lower-cases
-            v = self[word.lower()]
-        else:
-            v = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = v
-        return v
-
-
 class WordEncoder:
     """The tokenizers library over chunks between spaces and line ends, memoised within MEMO_ENTRIES.
 
@@ -160,14 +143,18 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.end = np.array([end_id], "<u4").tobytes()
-        self.words = _Words(self.tokenizer.encode)
+        self.words = Memo(self._word, MEMO_ENTRIES)
         self.chunked = chunked
 
+    def _word(self, word: str) -> bytes:
+        if word[-1:] in (",", ".") and "a" <= word[-2:-1].lower() <= "z":  # marks are split from letters
+            return self.words[word[:-1]] + self.words[word[-1]]
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return [np.array(e.ids, "<u4").tobytes() + self.end for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.words) > MEMO_ENTRIES:
-            self.words.clear()
+        self.words.trim()
         of = self.words.__getitem__
         return [b"".join(map(of, self._plain(t).replace("\n", " ").split(" "))) + self.end for t in texts]
 
