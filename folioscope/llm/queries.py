@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, ctw, id_files, near_duplicates, pivot_search, toxicity
+from folioscope.llm import bpe, chat, ctw, id_files, line_dedup, near_duplicates, pivot_search, toxicity
 from folioscope.llm.common import remainder, scratch, table
 
 
@@ -50,12 +50,16 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat, "op9_near_duplicates": op9_near_duplicates}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat, "op8_line_dedup": op8_line_dedup, "op9_near_duplicates": op9_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
