@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, ctw, id_files, line_dedup, near_duplicates, pivot_search, toxicity
+from folioscope.llm import bpe, chat, ctw, decontaminate, id_files, line_dedup, near_duplicates, pivot_search, toxicity
 from folioscope.llm.common import remainder, scratch, table
 
 
@@ -28,6 +28,10 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read(spark, path, crc32=True)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -59,7 +63,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat, "op8_line_dedup": op8_line_dedup, "op9_near_duplicates": op9_near_duplicates}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat, "op8_line_dedup": op8_line_dedup, "op9_near_duplicates": op9_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
