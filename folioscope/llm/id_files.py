@@ -30,10 +30,20 @@ from folioscope.llm.common import Memo, slices, whole_text
 #: Every so many set bits the select directory keeps a position.
 SAMPLE = 256
 #: Ids after which a block is closed, and words memoised per Python worker, in each of two generations.
-BLOCK_IDS, MEMO_ENTRIES = 1 << 20, 400_000
+BLOCK_IDS, MEMO_ENTRIES = 1 << 20, 150_000
 _MAGIC = b"FSEF1"
 
 
+def _byte_chars() -> list[str]:
+    """The character a byte-level vocabulary writes for each byte: printable ones stand for themselves, others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class EliasFano:
     """A non-decreasing sequence of non-negative integers below 2**62 in near-minimal space."""
 
@@ -142,6 +152,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         self.end = np.array([end_id], "<u4").tobytes()
         self.words = Memo(self._word, MEMO_ENTRIES)
         self.chunked = chunked
@@ -149,6 +160,9 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if word[-1:] in (",", ".") and "a" <= word[-2:-1].lower() <= "z":  # marks are split from letters
             return self.words[word[:-1]] + self.words[word[-1]]
+        if word.isalpha() and word.islower() and max(word) < "\u0180":  # one word to the tokenizer, past its normalizers
+            spelt = word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode()))
+            return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:

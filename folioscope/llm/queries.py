@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, ctw, decontaminate, id_files, line_dedup, near_duplicates, pivot_search, toxicity
+from folioscope.llm import bpe, chat, ctw, decontaminate, id_files, licenses, line_dedup, near_duplicates, pivot_search, toxicity
 from folioscope.llm.common import remainder, scratch, table
 
 
@@ -62,8 +62,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(licenses.sample_negatives(docs)))
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat, "op8_line_dedup": op8_line_dedup, "op9_near_duplicates": op9_near_duplicates}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_id_files": op2_id_files, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_ctw": op5_ctw, "op6_pivot_top_k": op6_pivot_top_k, "op7_chat": op7_chat, "op8_line_dedup": op8_line_dedup, "op9_near_duplicates": op9_near_duplicates, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
