@@ -13,7 +13,8 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import Memo, slices, whole_text
+from folioscope.llm.common import Memo, per_process, slices, whole_text
 
 _M64 = (1 << 64) - 1
 #: Memoised chunks per Python worker, in each of two generations.
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 250_000
 
 
 class MinimalPerfectHash:
@@ -110,6 +111,7 @@ class Vocabulary:
     pieces: list[bytes]
     pattern: str
     odd: str = ""
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @classmethod
     def of(cls, ranks: dict[bytes, int], pattern: str) -> Vocabulary:
@@ -121,12 +123,7 @@ class Vocabulary:
 
     def encoder(self) -> Encoder:
         """One encoder per process, so that its memo outlives a task."""
-        if "_encoder" not in self.__dict__:
-            self.__dict__["_encoder"] = Encoder(self)
-        return self.__dict__["_encoder"]
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_encoder"}
+        return per_process(("bpe", self.name), lambda: Encoder(self))
 
 
 #: Bits of an id in a pair's key, and of a position in a heap entry.

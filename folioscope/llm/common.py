@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,14 @@ class Memo(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+
+
+_KEPT: dict[Hashable, object] = {}
+
+
+def per_process(key: Hashable, make: Callable[[], object]):
+    """make()'s result, kept in this Python worker for later tasks; what other operators kept goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -25,12 +25,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import Memo, slices, whole_text
+from folioscope.llm.common import Memo, per_process, slices, whole_text
 
 #: Every so many set bits the select directory keeps a position.
 SAMPLE = 256
 #: Ids after which a block is closed, and words memoised per Python worker, in each of two generations.
-BLOCK_IDS, MEMO_ENTRIES = 1 << 20, 150_000
+BLOCK_IDS, MEMO_ENTRIES = 1 << 20, 240_000
 _MAGIC = b"FSEF1"
 
 
@@ -139,6 +139,18 @@ class Block:
         return [None] * self.nulls + [self.base + x for x in self.names.values().tolist()]
 
 
+class _Words(Memo):
+    """Ids by word; those of a word with a mark behind it are put together each time."""
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1:] in _MARKS and word[-2:-1].isalpha() and word[-2] < "\u0180":  # marks are split from letters
+            return self[word[:-1]] + self[word[-1]]
+        return super().__missing__(word)
+
+
+_MARKS = (",", ".")
+
+
 class WordEncoder:
     """The tokenizers library over chunks between spaces and line ends, memoised within MEMO_ENTRIES.
 
@@ -154,14 +166,13 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         self.end = np.array([end_id], "<u4").tobytes()
-        self.words = Memo(self._word, MEMO_ENTRIES)
+        self.words = _Words(self._word, MEMO_ENTRIES)
         self.chunked = chunked
 
     def _word(self, word: str) -> bytes:
-        if word[-1:] in (",", ".") and "a" <= word[-2:-1].lower() <= "z":  # marks are split from letters
-            return self.words[word[:-1]] + self.words[word[-1]]
-        if word.isalpha() and word.islower() and max(word) < "\u0180":  # one word to the tokenizer, past its normalizers
-            spelt = word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode()))
+        low = word.lower()
+        if low.isalpha() and word.isalpha() and max(word) < "\u0180":  # one word to the tokenizer, whose normalizers do no more
+            spelt = low if low.isascii() else "".join(map(_BYTE_CHARS.__getitem__, low.encode()))
             return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
@@ -178,16 +189,9 @@ class WordEncoder:
         return text.lower() if text.isascii() and "<|" not in text else text
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def _encoder(spec: str, end_id: int, chunked: bool) -> WordEncoder:
     """One encoder per process, so that its memo outlives a task."""
-    key = hash(spec), end_id, chunked
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(spec, end_id, chunked)
-    return _ENCODERS[key]
+    return per_process(("ids", hash(spec), end_id, chunked), lambda: WordEncoder(spec, end_id, chunked))
 
 
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, chunked: bool = True) -> None:

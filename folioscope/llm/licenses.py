@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier, with DataFrame operations alone where data is read.
 
 Features of a paragraph (a line) are its distinct words and word pairs, as far as they stand in the
-statements below. A softmax regression with an L1 penalty over them has one class per licence
+statements below and are not common in the sampled lines. A softmax regression with an L1 penalty over them has one class per licence
 family and one for everything else; it is fitted on the driver on variants of the statements, on
 the sentences that only sound like licences, and on at most NEGATIVES lines of SAMPLE_DOCS
 documents (those of least hash). A temperature fitted on held-out examples calibrates the
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import cut, whole_text
 
 NEGATIVES, SAMPLE_DOCS = 2_000, 200
+#: Share of the sampled lines from which on a word is too common to be a feature by itself.
+COMMON = 0.02
 THRESHOLD, CONFIRM = 0.5, 0.6
 OTHER = "~other"
 
@@ -136,6 +138,7 @@ class Model:
     weights: np.ndarray  # classes x grams
     bias: np.ndarray
     temperature: float
+    common: frozenset[str] = frozenset()
 
     def telling(self) -> list[str]:
         """Words one of which any paragraph of a family must hold."""
@@ -155,7 +158,7 @@ class Model:
                 if rest >= 0.999 * lead:
                     parts = self.grams[i].split(" ")
                     if not words & set(parts):
-                        words.add(max(parts, key=len))
+                        words.add(max(parts, key=lambda x: (x not in self.common, len(x))))
         return sorted(words)
 
 
@@ -185,11 +188,13 @@ def _examples(negatives: list[str]) -> tuple[list[set[str]], list[str]]:
     return sets, names
 
 
-def fit(negatives: list[str], penalty: float = 1e-3, rounds: int = 400) -> Model:
+def fit(negatives: list[str], penalty: float = 2e-2, rounds: int = 400) -> Model:
     """Proximal gradient descent for the L1-penalised softmax regression, then the temperature."""
     sets, names = _examples(negatives)
     classes = sorted({*STATEMENTS, OTHER})
-    grams = sorted({g for t in (*OTHERS, *(s for texts in STATEMENTS.values() for s in texts)) for g in features(t)})
+    seen = Counter(g for t in negatives for g in features(t))
+    common = frozenset(g for g, c in seen.items() if c > COMMON * max(len(negatives), 100))
+    grams = sorted({g for t in (*OTHERS, *(s for texts in STATEMENTS.values() for s in texts)) for g in features(t) if not common.issuperset(g.split(" "))})
     at = {g: i for i, g in enumerate(grams)}
     # Examples that are the same to the model are one, with a count.
     alike = Counter((frozenset(at[g] for g in s if g in at), n) for s, n in zip(sets, names, strict=True))
@@ -226,7 +231,7 @@ def fit(negatives: list[str], penalty: float = 1e-3, rounds: int = 400) -> Model
     w, b = train(x, y, share)
     other = classes.index(OTHER)
     b = b - b[other]
-    return Model(classes, grams, w, np.minimum(b, np.where(np.arange(len(b)) == other, 0.0, -0.5)), temperature)
+    return Model(classes, grams, w, np.minimum(b, np.where(np.arange(len(b)) == other, 0.0, -0.5)), temperature, common)
 
 
 def sample_negatives(docs: DataFrame, lines: int = NEGATIVES, from_docs: int = SAMPLE_DOCS) -> list[str]:

@@ -208,14 +208,16 @@ def _candidates(prefix: DataFrame, percent: int) -> DataFrame:
 
 def _all_candidates(prefix: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """All earlier candidates of the sets x in open_, without any limit, by a join on the word."""
-    one = prefix.groupBy("key", "sid").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("size").alias("size"), F.first("pos").alias("pos"), F.first("parity").alias("parity"))
-    x = one.join(open_.select(F.col("x").alias("sid")), "sid", "left_semi")
+    keys = prefix.join(_small(open_.select(F.col("x").alias("sid"))), "sid", "left_semi").select("key").distinct()
+    near = prefix.join(_small(cut(keys, "keys")), "key", "left_semi")
+    one = cut(near.groupBy("key", "sid").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("size").alias("size"), F.first("pos").alias("pos"), F.first("parity").alias("parity")), "near")
+    x = one.join(_small(open_.select(F.col("x").alias("sid"))), "sid", "left_semi")
     n = lambda a: F.col(f"{a}.size")
     least = F.least(n("x") - F.col("x.pos"), n("y") - F.col("y.pos")) + F.least("x.pos", "y.pos")
     fits = (F.least(n("x"), n("y")) * 100 >= F.greatest(n("x"), n("y")) * percent) & (100 * least >= percent * (n("x") + n("y") - least))
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    near = apart * (100 + percent) <= (100 - percent) * (n("x") + n("y"))
-    met = x.alias("x").join(one.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.struct("y.at", "y.sid") < F.struct("x.at", "x.sid")) & fits & near)
+    close = apart * (100 + percent) <= (100 - percent) * (n("x") + n("y"))
+    met = x.alias("x").join(one.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.struct("y.at", "y.sid") < F.struct("x.at", "x.sid")) & fits & close)
     return met.select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, slices, whole_text
+from folioscope.llm.common import cut, per_process, slices, whole_text
 from folioscope.llm.graph import components
 
 #: Frequent shingles that order prefixes; weight (shingles) of one side of a unit; sixteenths of the hash space that the second pass emits.
@@ -53,17 +53,15 @@ class _Words(dict):
         return v
 
 
-_WORDS = _Words()
-
-
 def shingles(text: str, words: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles (A-Z in lower case, words between white space)."""
-    if len(_WORDS) > MEMO_ENTRIES:
-        _WORDS.clear()
+    words_of = per_process("near_duplicates", _Words)
+    if len(words_of) > MEMO_ENTRIES:
+        words_of.clear()
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
+    h = np.fromiter(map(words_of.__getitem__, parts), np.uint64, len(parts))
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
