@@ -235,8 +235,11 @@ def _split_tail(df: DataFrame, out: str) -> list[str]:
     return [c for c in df.columns if c.lower() != out.lower()]
 
 
-def encode(df: DataFrame, vocab, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Adds the id list of every whole text; keep names the columns that pass through (all by default)."""
+def encode(df: DataFrame, vocab, text: str = "text", out: str = "ids", keep: list[str] | None = None, checked: bool = False) -> DataFrame:
+    """Adds the id list of every whole text; keep names the columns that pass through (all by default).
+
+    With checked each list is decoded again, and a text that does not come back is an error.
+    """
     keep = _split_tail(df, out) if keep is None else [c for c in keep if c.lower() != out.lower()]
     work = df.select(*[F.col(f"`{c}`") for c in keep], whole_text(f"`{text}`").alias("__text"))
 
@@ -244,7 +247,13 @@ def encode(df: DataFrame, vocab, text: str = "text", out: str = "ids", keep: lis
         encoder = vocab.value.encoder()
         for batch in batches:
             for part in slices(batch):
-                ids = [encoder.encode(t) for t in part.column(len(keep)).to_pylist()]
+                texts = part.column(len(keep)).to_pylist()
+                ids = [encoder.encode(t) for t in texts]
+                if checked:
+                    pieces = vocab.value.pieces
+                    for t, x in zip(texts, ids, strict=True):
+                        if b"".join(map(pieces.__getitem__, np.frombuffer(x, "<i4").tolist())) != t.encode("utf-8", "surrogatepass"):
+                            raise ValueError("decoding does not give the text back")
                 ends = np.zeros(len(ids) + 1, "<i4")
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
                 values = pa.py_buffer(b"".join(ids))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
@@ -78,5 +81,13 @@ def per_process(key: Hashable, make: Callable[[], object]):
     """make()'s result, kept in this Python worker for later tasks; what other operators kept goes."""
     if key not in _KEPT:
         _KEPT.clear()
+        release()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

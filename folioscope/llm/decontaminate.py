@@ -62,7 +62,7 @@ def _blocks(radius: int) -> Column:
     """The radius + 1 blocks of a fingerprint: (number, bits), between them all 64 bits."""
     many = radius + 1
     edges = [64 * i // many for i in range(many + 1)]
-    cells = (f"named_struct('no', {i}, 'bits', shiftrightunsigned(fingerprint, {a}) & {(1 << b - a) - 1}L)" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    cells = (f"named_struct('no', {i}, 'bits', shiftrightunsigned(fingerprint, {a}) & {(1 << b - a) - 1 if b - a < 64 else -1}L)" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
     return F.explode(F.expr(f"array({', '.join(cells)})")).alias("block")
 
 

@@ -188,7 +188,7 @@ def _examples(negatives: list[str]) -> tuple[list[set[str]], list[str]]:
     return sets, names
 
 
-def fit(negatives: list[str], penalty: float = 2e-2, rounds: int = 400) -> Model:
+def fit(negatives: list[str], penalty: float = 3e-3, rounds: int = 400) -> Model:
     """Proximal gradient descent for the L1-penalised softmax regression, then the temperature."""
     sets, names = _examples(negatives)
     classes = sorted({*STATEMENTS, OTHER})

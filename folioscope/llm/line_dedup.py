@@ -22,6 +22,7 @@ table gives an empty table. Lines end at "\\n". Sets are told apart by 64-bit ha
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from itertools import chain
 
@@ -31,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Memo, cut, slices, whole_text
+from folioscope.llm.common import Memo, cut, per_process, slices, whole_text
 from folioscope.llm.near_duplicates import _runs
 
 MIN_WORDS, PERCENT = 5, 90
-HEAD, MEMO_ENTRIES = 150_000, 300_000
+HEAD, MEMO_ENTRIES = 150_000, 250_000
 #: Candidates verified first, and kept, for each set; sets with more of them are taken up again if need be.
 FIRST, KEPT = 2, 8
 #: Rows up to which a table is broadcast rather than joined by shuffling.
@@ -82,6 +83,7 @@ _LINES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("line", pa.int32
 def _emitted(docs: DataFrame, head: dict[bytes, int], min_words: int, percent: int) -> DataFrame:
     """Per compared line a row (doc_id, h, line, sid, null ...), and per prefix word of its set a row with key, size, pos, parity."""
     ranks = docs.sparkSession.sparkContext.broadcast(head)
+    name = uuid.uuid4().hex
 
     def run(batches):
         rank = ranks.value.get
@@ -91,7 +93,8 @@ def _emitted(docs: DataFrame, head: dict[bytes, int], min_words: int, percent: i
             r = rank(word)
             return h >> 1 if r is None else 1 << 63 | r << 32 | h >> 40
 
-        memo = Memo(order, MEMO_ENTRIES)
+        memo = per_process(("line_dedup", name), lambda: Memo(order, MEMO_ENTRIES))
+        memo.make = order
         sent: dict[int, tuple[int, int]] = {}
         for batch in batches:
             for part in slices(batch, 128):

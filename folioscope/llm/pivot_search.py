@@ -13,7 +13,7 @@ Results for odd input: vectors that are null, hold a null or non-finite componen
 256-fold is not finite) and rows without an id take no part; only vectors of the same length are
 compared; a repeated query row is one query; repeated candidate rows each count; a query's own id
 is never its candidate; ties go to the smaller vec_id; scores beyond the range of long are held
-at its ends; an empty table gives no rows; other columns are not read.
+at its ends, and tie there; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -128,14 +128,15 @@ def search_block(q_ids, q, x_ids, x, pivots: Pivots, x_dist, k: int):
             if not len(some):
                 break
             got = _scores(x[some], q[i], small)
-            best = sorted([*best, *zip((-g for g in got.tolist()), x_ids[some].tolist(), strict=True)])[:k]
+            held = (min(max(int(g), _LONG[0]), _LONG[1]) for g in got.tolist())
+            best = sorted([*best, *((-g, c) for g, c in zip(held, x_ids[some].tolist(), strict=True))])[:k]
             if len(best) == k:
                 least = max(least, float(-best[-1][0]))
             at, step = at + step, step * 2
         for s, c in best:
             out_q.append(int(q_ids[i]))
             out_x.append(c)
-            out_s.append(min(max(-int(s), _LONG[0]), _LONG[1]))
+            out_s.append(-s)
     return out_q, out_x, out_s
 
 
