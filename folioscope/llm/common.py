@@ -13,8 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: Spark's 10,000 whole texts at once are too many for small executors.
+BATCH_ROWS = 1000
+
+
+def tune(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS where the session has Spark's own default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table, read through Spark so that any store works."""
+    tune(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -32,6 +44,7 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    tune(df.sparkSession)
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

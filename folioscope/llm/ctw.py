@@ -12,9 +12,14 @@ begin. Tokens are independent given the model, so the code length of a text is t
 tokens. The whole token is one more node above the tree: seen c times among N tokens of V kinds,
 it has probability (c - d + (d * V + 1) * spelling) / (N + 1), where spelling is what the tree
 gives its bytes and the discount d follows from how many tokens were seen once and twice. The tree
-therefore learns how distinct tokens are spelt. All statistics come from all training texts:
-
-1. tokens are counted (partly in place, then by a shuffle);
+therefore learns how distinct tokens are spelt. Above that stands one more node, for the token in
+its surroundings: the last marker, a frequent short word, says which of STATES groups of markers
+the text is in (groups follow each other little, as languages do); the token's count there is
+discounted likewise, and what is left goes by the token itself. All statistics come from all
+training texts:
+
+0. frequent short words and what marker follows which are counted, and the markers grouped;
+1. tokens are counted by state (partly in place, then by a shuffle);
 2. counts of (context, byte) follow from the distinct tokens; the subtree below each context of
    SPLIT bytes is worked out by itself, the levels above as keyed tables, upwards for P_w and
    downwards for the mixture;
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +48,9 @@ from folioscope.llm.common import cut, slices, whole_text
 
 DEPTH = 6
 #: Tokens looked up by broadcast, and (context, byte) predictions up to which these are broadcast.
-HEAD, BROADCAST_PREDICTIONS = 200_000, 3_000_000
+HEAD, BROADCAST_PREDICTIONS = 150_000, 3_000_000
+#: Marker words, their greatest length, and groups of them.
+MARKERS, MARKER_BYTES, STATES = 64, 5, 6
 #: Distinct tokens a counting task holds before it passes them on.
 HELD_TOKENS = 400_000
 END = b""
@@ -53,17 +61,77 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_tokens(docs: DataFrame, training: Column) -> DataFrame:
-    """Rows (tok, c): every token of docs with its count in training rows; the end is the empty token."""
+def markers(docs: DataFrame, training: Column, many: int = MARKERS, states: int = STATES) -> dict[bytes, int]:
+    """The state, from 1, that each marker word leads to."""
+
+    def run(batches):
+        follow: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch):
+                docs_ = [[w for w in tokens(t) if len(w) <= MARKER_BYTES] for t in part.column(0).to_pylist()]
+                often = {w for w, _ in Counter(chain.from_iterable(docs_)).most_common(many)}
+                for words in docs_:
+                    marks = [w for w in words if w in often]
+                    follow.update(zip(marks, marks[1:], strict=False))
+        pairs = list(follow)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary()), pa.array(list(follow.values()), pa.int64())], names=["a", "b", "n"])
+
+    text = docs.select(whole_text().alias("text"), training.alias("train")).where("train").select("text")
+    found = cut(text.mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "markers")
+    top = [r.a for r in found.groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(many).collect()]
+    if not top:
+        return {}
+    at = {bytes(w): i for i, w in enumerate(top)}
+    seen = np.zeros((len(top), len(top)))
+    for r in found.where(F.col("a").isin(*top) & F.col("b").isin(*top)).collect():  # at most MARKERS squared
+        seen[at[bytes(r.a)], at[bytes(r.b)]] += r.n
+    groups = group_markers(seen, states)
+    return {w: groups[i] + 1 for w, i in at.items()}
+
+
+def group_markers(follow: np.ndarray, states: int) -> list[int]:
+    """Merges the two groups that follow each other most beyond chance, until `states` are left."""
+    follow = follow + follow.T
+    groups = [[i] for i in range(len(follow))]
+    while len(groups) > states:
+        sums = follow.sum(1) + 1e-9
+        lift = follow / sums[:, None] / sums
+        np.fill_diagonal(lift, -1)
+        i, j = sorted(np.unravel_index(int(lift.argmax()), lift.shape))
+        groups[i] += groups.pop(j)
+        follow[i] += follow[j]
+        follow[:, i] += follow[:, j]
+        follow = np.delete(np.delete(follow, j, 0), j, 1)
+    return [next(g for g, members in enumerate(groups) if i in members) for i in range(sum(map(len, groups)))]
+
+
+def segments(words: list[bytes], state_of) -> list[tuple[int, list[bytes]]]:
+    """Runs of words with the state each stands in; the last run, with the end's state, may be empty."""
+    out, state, start = [], 0, 0
+    for i, s in [(i, s) for i, s in enumerate(map(state_of, words)) if s is not None]:
+        if s != state:
+            out.append((state, words[start : i + 1]))
+            state, start = s, i + 1
+    out.append((state, words[start:]))
+    return out
+
+
+def count_tokens(docs: DataFrame, training: Column, states: dict[bytes, int] | None = None, many: int = STATES) -> DataFrame:
+    """Rows (tok, c, cs): every token of docs with its count in training rows, in all and by state; the end is the empty token."""
+    held = docs.sparkSession.sparkContext.broadcast(states or {})
 
     def run(batches):
-        learnt: Counter = Counter()
+        state_of = held.value.get
+        learnt: list[Counter] = [Counter() for _ in range(many + 1)]
         other: set[bytes] = set()
 
         def rows():
-            keys = [*learnt, *(t for t in other if t not in learnt)]
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([learnt.get(k, 0) for k in keys], pa.int64())], names=["tok", "c"])
-            learnt.clear()
+            keys = [*chain.from_iterable(learnt), *other]
+            marks = np.repeat(np.arange(many + 2), [*map(len, learnt), len(other)])
+            counts = [*chain.from_iterable(x.values() for x in learnt), *([0] * len(other))]
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.minimum(marks, many).astype(np.int32)), pa.array(counts, pa.int64())], names=["tok", "state", "c"])
+            for x in learnt:
+                x.clear()
             other.clear()
             return out
 
@@ -72,17 +140,19 @@ def count_tokens(docs: DataFrame, training: Column) -> DataFrame:
                 for text, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = tokens(text)
                     if train:
-                        learnt.update(words)
-                        learnt[END] += 1
+                        for state, some in segments(words, state_of):
+                            learnt[state].update(some)
+                        learnt[state][END] += 1
                     else:
                         other.update(words)
                         other.add(END)
-                if len(learnt) + len(other) > HELD_TOKENS:
+                if sum(map(len, learnt)) + len(other) > HELD_TOKENS:
                     yield rows()
         yield rows()
 
-    found = docs.select(whole_text().alias("text"), training.alias("train")).mapInArrow(run, "tok binary, c long")
-    return found.groupBy("tok").agg(F.sum("c").alias("c"))
+    found = docs.select(whole_text().alias("text"), training.alias("train")).mapInArrow(run, "tok binary, state int, c long")
+    sums = found.groupBy("tok").agg(F.sum("c").alias("c"), *(F.sum(F.when(F.col("state") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(many + 1)))
+    return sums.select("tok", "c", F.array(*(f"c{k}" for k in range(many + 1))).alias("cs"))
 
 
 def steps(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +350,7 @@ def predict(counted: DataFrame, depth: int) -> DataFrame:
 
 
 def _token_scores(types: DataFrame, predictions: DataFrame, depth: int, most: int) -> DataFrame:
-    """Rows (tok, c, lp). Predictions are broadcast up to `most` of them and joined beyond."""
+    """Rows (tok, c, cs, lp). Predictions are broadcast up to `most` of them and joined beyond."""
     if predictions.count() <= most:
         got = predictions.toArrow()
         keys = got.column("step").to_numpy()
@@ -293,17 +363,18 @@ def _token_scores(types: DataFrame, predictions: DataFrame, depth: int, most: in
                 for part in slices(batch, 20_000):
                     key, owner = steps(part.column(0).to_pylist(), depth)
                     sums = np.bincount(owner, lp[np.searchsorted(at, key)], part.num_rows)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums)], names=["tok", "c", "lp"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums)], names=["tok", "c", "cs", "lp"])
 
-        return types.select("tok", "c").mapInArrow(run, "tok binary, c long, lp double")
+        return types.select("tok", "c", "cs").mapInArrow(run, "tok binary, c long, cs array<long>, lp double")
 
     def spread(batches):
         for batch in batches:
             for part in slices(batch, 20_000):
                 key, owner = steps(part.column(0).to_pylist(), depth)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(key)], names=["tok", "c", "step"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(key)], names=["tok", "step"])
 
-    return types.select("tok", "c").mapInArrow(spread, "tok binary, c long, step long").join(predictions, "step").groupBy("tok").agg(F.first("c").alias("c"), F.sum("lp").alias("lp"))
+    sums = types.select("tok").mapInArrow(spread, "tok binary, step long").join(predictions, "step").groupBy("tok").agg(F.sum("lp").alias("lp"))
+    return types.join(sums, "tok")
 
 
 def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEAD, broadcast_predictions: int = BROADCAST_PREDICTIONS) -> DataFrame:
@@ -311,59 +382,62 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
     if not 0 <= depth <= 6:
         raise ValueError("contexts of up to 6 bytes fit a key")
     spark = docs.sparkSession
-    types = cut(count_tokens(docs, training), "types")
+    states = markers(docs, training)
+    types = cut(count_tokens(docs, training, states), "types")
     kinds = lambda when: F.coalesce(F.sum(F.expr(f"CAST({when} AS long)")), F.lit(0))
-    n, v, once, twice = types.agg(F.coalesce(F.sum("c"), F.lit(0)), kinds("c > 0"), kinds("c = 1"), kinds("c = 2")).first()
-    discount = once / (once + 2 * twice) if once else 0.5
-    spelling = F.pow(F.lit(10.0), "lp") * (discount * v + 1)
-    whole = F.log10((F.when(F.col("c") > 0, F.col("c") - discount).otherwise(0.0) + spelling) / (n + 1.0))
+    wide = STATES + 1
+    by_state = [x for k in range(wide) for x in (F.coalesce(F.sum(F.expr(f"cs[{k}]")), F.lit(0)), kinds(f"cs[{k}] > 0"), kinds(f"cs[{k}] = 1"), kinds(f"cs[{k}] = 2"))]
+    n, v, once, twice, *rest = types.agg(F.coalesce(F.sum("c"), F.lit(0)), kinds("c > 0"), kinds("c = 1"), kinds("c = 2"), *by_state).first()
+    off = lambda one, two: one / (one + 2 * two) if one else 0.5
+    discounted = lambda c, total, kinds_, d, below: F.when(F.lit(total > 0), (F.when(c > 0, c - d).otherwise(0.0) + (d * kinds_) * below) / max(total, 1)).otherwise(below)
+    discount = off(once, twice)
+    spelling = F.pow(F.lit(10.0), "lp")
+    token = (F.when(F.col("c") > 0, F.col("c") - discount).otherwise(0.0) + (discount * v + 1) * spelling) / (n + 1.0)
+    lps = F.array(*(F.log10(discounted(F.expr(f"cs[{k}]"), rest[4 * k], rest[4 * k + 1], off(*rest[4 * k + 2 : 4 * k + 4]), F.col("p"))) for k in range(wide)))
     counted = cut(count_steps(types, depth), "steps")
     predictions = cut(predict(counted, depth), "predictions")
-    scored = cut(_token_scores(types, predictions, depth, broadcast_predictions).select("tok", "c", whole.alias("lp")), "tokens")
+    scored = _token_scores(types, predictions, depth, broadcast_predictions).withColumn("p", token)
+    scored = cut(scored.select("tok", "c", lps.cast("array<float>").alias("lps")), "tokens")
     top = scored.orderBy(F.desc("c"), "tok").limit(head).toArrow()  # a fixed number
-    held = spark.sparkContext.broadcast({t: (c, p) for t, c, p in zip(*(top.column(x).to_pylist() for x in ("tok", "c", "lp")), strict=True)})
+    held = spark.sparkContext.broadcast((top.column("tok").to_pylist(), top.column("c").to_pylist(), top.column("lps").combine_chunks().flatten().to_numpy(), states))
     total = float(n + v + 1)
 
     def run(batches):
-        known = held.value
-        value = {t: (c > 0, math.log10((c + 1) / total), p) for t, (c, p) in known.items()}
-        end = value.get(END)
+        toks_, counts_, lps_, states_ = held.value
+        index = {t: i for i, t in enumerate(toks_)}.get
+        base = [math.log10((c + 1) / total) for c in counts_]
+        lp, state_of = lps_.astype(float).tolist(), states_.get
         for batch in batches:
             for part in slices(batch, 128):
-                ids, hashes, toks, tfs, heads = [], [], [], [], []
+                ids, hashes, toks, marks, tfs, heads = [], [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = tokens(text)
-                    counts = Counter(words)
-                    if end is None:
-                        counts[END] += 1
-                    k = s = b = 0
-                    rest = []
-                    for t, m in counts.items():
-                        if (x := value.get(t)) is None:
-                            rest.append((t, m))
-                        else:
-                            k += m * x[0]
-                            b += m * x[1]
-                            s += m * x[2]
-                    if end is not None:
-                        k, b, s = k + end[0], b + end[1], s + end[2]
                     raw = text.encode("utf-8", "surrogatepass")
                     h = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                    k = s = b = 0
+                    rest_ = []
+                    parts = segments(words, state_of)
+                    for state, some in (*parts, (parts[-1][0], (END,))):
+                        for t, m in Counter(some).items():
+                            if (i := index(t)) is None:
+                                rest_.append((t, state, m))
+                            else:
+                                k += m * (counts_[i] > 0)
+                                b += m * base[i]
+                                s += m * lp[i * wide + state]
                     # The text's own row; its key holds a line end, so it is no token.
-                    ids.append(doc_id)
-                    hashes.append(h)
-                    toks.append(b"\n" + h.to_bytes(8, "little", signed=True) + str(doc_id).encode())
-                    tfs.append(1)
-                    heads.append({"n": len(words) + 1, "k": k, "b": float(b), "s": float(s), "size": len(raw)})
-                    for t, m in rest:
-                        ids.append(doc_id)
-                        hashes.append(h)
+                    rest_.append((b"\n" + h.to_bytes(8, "little", signed=True) + str(doc_id).encode(), 0, 1))
+                    for t, state, m in rest_:
                         toks.append(t)
+                        marks.append(state)
                         tfs.append(m)
-                        heads.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(toks, pa.binary()), pa.array(tfs, pa.int32()), pa.array(heads, pa.struct([("n", pa.int64()), ("k", pa.int64()), ("b", pa.float64()), ("s", pa.float64()), ("size", pa.int64())]))], names=["doc_id", "h", "tok", "tf", "own"])
+                    ids += [doc_id] * len(rest_)
+                    hashes += [h] * len(rest_)
+                    heads += [None] * (len(rest_) - 1)
+                    heads.append({"n": len(words) + 1, "k": k, "b": float(b), "s": float(s), "size": len(raw)})
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(toks, pa.binary()), pa.array(marks, pa.int32()), pa.array(tfs, pa.int32()), pa.array(heads, pa.struct([("n", pa.int64()), ("k", pa.int64()), ("b", pa.float64()), ("s", pa.float64()), ("size", pa.int64())]))], names=["doc_id", "h", "tok", "state", "tf", "own"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, h long, tok binary, tf int, own struct<n:long,k:long,b:double,s:double,size:long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, h long, tok binary, state int, tf int, own struct<n:long,k:long,b:double,s:double,size:long>")
     met = rows.join(scored, "tok", "left")
     own, zero = F.col("own"), F.lit(0.0)
     parts = met.groupBy("doc_id", "h").agg(
@@ -371,7 +445,7 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
         F.sum("own.n").alias("n"),
         F.sum(F.when(own.isNotNull(), F.col("own.k")).otherwise(F.expr("CASE WHEN c > 0 THEN tf ELSE 0 END"))).alias("k"),
         F.sum(F.when(own.isNotNull(), F.col("own.b")).otherwise(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(total)))).alias("b"),
-        F.sum(F.when(own.isNotNull(), F.col("own.s")).otherwise(F.coalesce(F.col("tf") * F.col("lp"), zero))).alias("s"),
+        F.sum(F.when(own.isNotNull(), F.col("own.s")).otherwise(F.coalesce(F.col("tf") * F.expr("lps[state]"), zero))).alias("s"),
         F.max("own.size").alias("size"),
     )
     each = lambda c: F.col(c) / F.col("copies")

@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Memo, cut, per_process, slices, whole_text
+from folioscope.llm.common import cut, per_process, slices, whole_text
 from folioscope.llm.near_duplicates import _runs
 
 MIN_WORDS, PERCENT = 5, 90
-HEAD, MEMO_ENTRIES = 150_000, 250_000
+HEAD, SENT_ENTRIES = 150_000, 250_000
 #: Candidates verified first, and kept, for each set; sets with more of them are taken up again if need be.
 FIRST, KEPT = 2, 8
 #: Rows up to which a table is broadcast rather than joined by shuffling.
@@ -44,10 +44,6 @@ BROADCAST_ROWS = 1_000_000
 _TOP = np.uint64(1 << 63)
 
 
-def _words(line: bytes) -> list[bytes]:
-    return line.split()
-
-
 def _frequent(docs: DataFrame, head: int) -> dict[bytes, int]:
     """The most frequent words, with their rank from rare (0) to frequent."""
 
@@ -72,6 +68,13 @@ def _frequent(docs: DataFrame, head: int) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(reversed(words))}
 
 
+class _Order(dict):
+    """Sort keys by word: the frequent ones as given, after all others, by hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word) >> 1
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -86,15 +89,7 @@ def _emitted(docs: DataFrame, head: dict[bytes, int], min_words: int, percent: i
     name = uuid.uuid4().hex
 
     def run(batches):
-        rank = ranks.value.get
-
-        def order(word: bytes) -> int:
-            h = xxhash.xxh3_64_intdigest(word)
-            r = rank(word)
-            return h >> 1 if r is None else 1 << 63 | r << 32 | h >> 40
-
-        memo = per_process(("line_dedup", name), lambda: Memo(order, MEMO_ENTRIES))
-        memo.make = order
+        order = per_process(("line_dedup", name), lambda: _Order({w: 1 << 63 | r << 32 | xxhash.xxh3_64_intdigest(w) >> 40 for w, r in ranks.value.items()}))
         sent: dict[int, tuple[int, int]] = {}
         for batch in batches:
             for part in slices(batch, 128):
@@ -110,8 +105,7 @@ def _emitted(docs: DataFrame, head: dict[bytes, int], min_words: int, percent: i
                 if not names:
                     continue
                 total = sum(counts)
-                keys = np.fromiter(map(memo.__getitem__, chain.from_iterable(flat)), np.uint64, total)
-                memo.trim()
+                keys = np.fromiter(map(order.__getitem__, chain.from_iterable(flat)), np.uint64, total)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 by = np.lexsort((keys, owner))
                 keys = keys[by]
@@ -132,7 +126,7 @@ def _emitted(docs: DataFrame, head: dict[bytes, int], min_words: int, percent: i
                         good[i] = False
                     else:
                         sent[s] = at
-                if len(sent) > MEMO_ENTRIES:
+                if len(sent) > SENT_ENTRIES:
                     sent.clear()
                 pos = np.arange(len(keys)) - starts[owner]
                 take = good[owner] & (pos < (n - -(-percent * n // 100) + 1)[owner])
