@@ -187,3 +187,81 @@ def first_of_all(text: Column, rules: list[tuple[str, tuple[str, ...]]], other:
 def caution_labels(text: Column) -> Column:
     pairs = (F.when(all_of(text, ps), F.lit(label)) for label, ps in CAUTION_PAIRS)
     return F.array_compact(F.concat(F.array(*(F.when(has(text, p), F.lit(label)) for label, p in CAUTION_LABELS)), F.array(*pairs)))
+
+
+# --- fixed values: modules, register groups, usage ----------------------------------------------
+MODULE_TYPES: list[Rule] = [
+    ("dmaengine", r"dma|direct memory access"),
+    ("watchdog", r"watchdog|wdt"),
+    ("pwm/timer", r"pwm|gpt|timer"),
+    ("gpio", r"gpio|port|pin"),
+    ("i2c", r"i2c|iic"),
+    ("spi", r"spi|rsci|serial peripheral"),
+    ("uart", r"uart|sci|serial communication"),
+    ("ethernet", r"ethernet|geth|gbeth|mac|phy"),
+    ("can", r"can"),
+    ("usb", r"usb|xhci|ehci|ohci|dwc3"),
+    ("pcie", r"pcie|pci express|root complex|host bridge"),
+    ("adc", r"adc|analog digital|a d converter"),
+    ("rtc", r"rtc|real time clock"),
+]
+REGISTER_GROUPS: list[Rule] = [
+    ("Address registers", r"_N[01]SA|_N[01]DA|_CRSA|_CRDA|SOURCE ADDRESS|DESTINATION ADDRESS"),
+    ("Transfer size/count registers", r"_N[01]TB|_CRTB|TRANSFER BYTE|TRANSFER COUNT|COUNT"),
+    ("Control registers", r"CHCTRL|CTRL|CONTROL|DCTRL|CR\b|WDTCR|GTCR"),
+    ("Configuration registers", r"CHCFG|CFG|CONFIG|MODE|SETTING"),
+    ("Status/error registers", r"CHSTAT|STATUS|STAT|_SR\b|DST_|ERROR|END|SUS|TC"),
+    ("Interrupt registers", r"INT|IRQ|IEN|IER|ISR|FLAG"),
+    ("Reset registers", r"RESET|RST|SWRST"),
+    ("Counter/compare/capture registers", r"COMPARE|CAPTURE|COUNTER|COUNT|PERIOD|GTCC|GTCNT"),
+    ("Data/FIFO registers", r"DATA|FIFO|BUFFER|TX|RX"),
+    ("Per-channel registers", r"_N\b|_N\d|_CH|CHANNEL"),
+]
+ACCESS_TYPES: list[Rule] = [
+    ("read_modify_write", r"read\s*modify\s*write|rmw|update bits|set bits|clear bits"),
+    ("write_one_to_clear", r"write 1|write one|w1c"),
+    ("write_zero_to_clear", r"write 0|write zero|w0c"),
+    ("poll", r"poll|wait"),
+    ("read", r"readl|ioread|regmap read|read register"),
+    ("raw_write", r"writel|iowrite|regmap write|write register|raw write"),
+    ("reset", r"reset|swrst"),
+    ("clear_bits", r"clear"),
+]
+USAGE_INTENTS: list[Rule] = [
+    ("init", r"init|setup|configure|configuration|clock"),
+    ("start", r"start|enable|run|activate|transmit|receive|seten"),
+    ("stop", r"stop|disable|halt|terminate|suspend|abort"),
+    ("clear", r"clear|ack|w1c|w0c|write one|write zero|status flag"),
+    ("irq", r"irq|interrupt|isr"),
+    ("reset", r"reset|swrst"),
+    ("error", r"error|fault|abnormal"),
+    ("status", r"status|poll|wait|read"),
+    ("write", r"write"),
+]
+BLOCK_KINDS: list[Rule] = [
+    ("bus", r"\b(axi|ahb|apb|bus|crossbar|interconnect)\b"),
+    ("dma", r"\b(dma|dmac)\b"),
+    ("interrupt_controller", r"\b(irq|int|interrupt|intc)\b"),
+    ("clock", r"\b(clk|clock|pll|oscillator)\b"),
+    ("reset", r"\b(rst|reset)\b"),
+    ("register", r"\b(register|reg)\b"),
+    ("memory", r"\b(fifo|buffer|memory|ram|rom|sram|dram|flash)\b"),
+    ("module", r"\b(cpu|cortex|processor|core)\b"),
+    ("peripheral", r"\b(peripheral|timer|gpio|usb|can|spi|i2c|ethernet|uart|pwm)\b"),
+    ("module", r"\b(module|controller|unit|engine|mux|selector|block)\b"),
+]
+EDGE_KINDS: list[Rule] = [
+    ("bus", r"\b(axi|ahb|apb|bus)\b"),
+    ("clock", r"\b(clk|clock)\b"),
+    ("reset", r"\b(rst|reset)\b"),
+    ("interrupt", r"\b(irq|int|interrupt)\b"),
+    ("dma", r"\b(dma|dmac)\b"),
+    ("data", r"\b(data|rx|tx)\b"),
+    ("control", r"\b(ctrl|control|enable|start|stop)\b"),
+    ("signal", r"\b(signal|req|ack)\b"),
+]
+#: An arrow between two names, and what it is labelled with.
+ARROW = r"^\s*([A-Za-z][A-Za-z0-9_ ]*?)\s*->\s*([A-Za-z][A-Za-z0-9_ ]*?)\s*(?::\s*(.*))?$"
+SIGNAL_EDGE = r"(?i)\b([A-Z][A-Z0-9_]{1,31})\s+(rises|falls|goes high|goes low|is asserted|is negated)\b"
+PIN = r"\b(P\d{1,2}[_-]\d{1,2}|GPIO\d+[_-]\d+|PORT\d+)\b"
+PIN_FUNCTION = r"\b([A-Z][A-Z0-9]{2,}_[A-Z][A-Z0-9]*)\b"

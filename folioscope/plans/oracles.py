@@ -322,3 +322,29 @@ SELECT *, CASE WHEN coverage >= 60 THEN 'implemented_candidate' WHEN coverage >=
     "cache_evict": "SELECT * FROM (SELECT folder, updated, bytes, file, CAST(sum(bytes) OVER (PARTITION BY folder ORDER BY updated DESC, file ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS kept_bytes FROM (SELECT o_custkey AS folder, epoch_us(o_orderdate) AS updated, CAST(length(o_orderpriority) AS int) AS bytes, o_orderkey AS file FROM orders) AS o) AS w WHERE kept_bytes > 40",
     "resume_pages": f"SELECT DISTINCT filename, page FROM {_manual('heading')} AS h WHERE (filename, page) NOT IN (SELECT filename, page FROM {_manual('caution')} AS c)",
 }
+
+_EXPLICIT = f"(SELECT * FROM {_REGISTERS} AS x WHERE explicit = 1)"
+_USAGE = f"(SELECT *, {_first('t', rules.ACCESS_TYPES, 'write')} AS access, {_first('t', rules.USAGE_INTENTS, 'configure')} AS intent FROM (SELECT *, {_norm('operation')} AS t FROM (SELECT DISTINCT filename, {_group('line', rules.REGISTER_SYMBOL, 0)} AS register, regexp_replace(line, '^\\d+\\. | of PRTm_R.*$', '', 'g') AS operation FROM {_manual('step')} AS x) AS y) AS z)"
+_SAYS = f"(SELECT filename, register, max(CASE WHEN type IN ('reserved-bit', 'prohibited') THEN 1 ELSE 0 END) AS reserved, max(CASE WHEN starts_with(type, 'clear-semantics') THEN 1 ELSE 0 END) AS clears, max(CASE WHEN type = 'write-timing' THEN 1 ELSE 0 END) AS timing FROM {_cautions('caution')} AS c GROUP BY filename, register)"
+_GAPS = "concat_ws(', ', CASE WHEN known IS NULL THEN 'register' END, CASE WHEN access IN ('raw_write', 'write', 'set_bits', 'clear_bits') AND coalesce(reserved, 0) = 0 THEN 'reserved bits' END, CASE WHEN (intent = 'clear' OR access IN ('write_one_to_clear', 'write_zero_to_clear')) AND coalesce(clears, 0) = 0 THEN 'clear semantics' END, CASE WHEN intent IN ('start', 'stop', 'reset', 'init', 'irq', 'error') AND ordered IS NULL THEN 'order' END)"
+_ARROWS = f"(SELECT *, {_first(_norm('source'), rules.BLOCK_KINDS, 'unknown')} AS source_kind, {_first(_norm('target'), rules.BLOCK_KINDS, 'unknown')} AS target_kind, {_first(_norm('label'), rules.EDGE_KINDS, 'unknown')} AS edge_kind FROM (SELECT filename, page, pos, trim({_group('line', rules.ARROW, 1)}) AS source, trim({_group('line', rules.ARROW, 2)}) AS target, trim({_group('line', rules.ARROW, 3)}) AS label FROM {_manual()} AS x WHERE {_has('line', rules.ARROW)}) AS a)"
+_EVENTS = f"(SELECT filename, page, pos, n, event FROM (SELECT filename, page, pos, unnest(e) AS event, generate_subscripts(e, 1) - 1 AS n FROM (SELECT filename, page, pos, regexp_extract_all(line, {_q(rules.SIGNAL_EDGE)}, 0) AS e FROM {_manual()} AS x) AS a) AS b)"
+
+ORACLES |= {
+    "read_pages": f"SELECT filename, page, length(text) AS n_chars FROM ({PROSE}) AS p WHERE page BETWEEN 10 AND 29",
+    "register_list": f"SELECT filename, name, confidence, first_page FROM {_REGISTERS} AS r WHERE (explicit = 1 OR confidence >= 70) AND contains({_norm('concat_ws(chr(32), name, description)')}, 'brushed') ORDER BY confidence DESC, first_page, filename, name LIMIT 50",
+    "register_groups": f"SELECT filename, \"group\", count(*) AS registers, arg_min(name, (first_page, name)) AS first_register FROM (SELECT *, {_first('upper(concat_ws(chr(32), name, description))', rules.REGISTER_GROUPS, 'Other registers')} AS \"group\" FROM {_REGISTERS} AS r) AS g GROUP BY filename, \"group\"",
+    "module_type": f"SELECT filename, {_first(_norm('text'), rules.MODULE_TYPES, 'unknown')} AS module_type FROM (SELECT filename, string_agg(line, ' ' ORDER BY n) AS text FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY page, pos) AS n FROM {_manual('heading', 'write')} AS x) AS y WHERE n <= 40 GROUP BY filename) AS z",
+    "register_summary": f"SELECT filename, register, confidence, coalesce(bitfields, 0) AS bitfields, coalesce(valid_bitfields, 0) AS valid_bitfields, coalesce(cautions, 0) AS cautions, coalesce(steps, 0) AS steps, CASE WHEN explicit = 1 AND coalesce(bitfields, 0) > 0 THEN 'high' WHEN explicit = 1 THEN 'medium' ELSE 'low' END AS reliability FROM (SELECT *, name AS register FROM {_REGISTERS} AS r) AS r LEFT JOIN (SELECT filename, register, count(*) AS bitfields, count(*) FILTER (WHERE issues = '') AS valid_bitfields FROM {_VALID} AS v GROUP BY ALL) AS f USING (filename, register) LEFT JOIN (SELECT filename, register, count(*) AS cautions FROM {_cautions('caution')} AS c WHERE register <> '' GROUP BY ALL) AS c USING (filename, register) LEFT JOIN (SELECT filename, register, count(*) AS steps FROM {_STEPS} AS s WHERE register <> '' GROUP BY ALL) AS s USING (filename, register)",
+    "register_usage": f"SELECT filename, register, operation, access, intent, CASE WHEN missing <> '' THEN 'needs_verification' WHEN coalesce(timing, 0) = 1 THEN 'review_required' ELSE 'likely_ok' END AS severity, missing FROM (SELECT *, {_GAPS} AS missing FROM {_USAGE} AS u LEFT JOIN (SELECT DISTINCT filename, name AS register, 1 AS known FROM {_EXPLICIT} AS e) AS k USING (filename, register) LEFT JOIN {_SAYS} AS s USING (filename, register) LEFT JOIN (SELECT DISTINCT filename, register, 1 AS ordered FROM {_STEPS} AS t WHERE register <> '') AS o USING (filename, register)) AS m",
+    "register_alias": f"SELECT a.filename, a.symbol, min(name) AS register, count(DISTINCT name) AS candidates FROM (SELECT concat('manual', p_partkey % 5) AS filename, concat('R', p_partkey, '_n') AS symbol FROM part) AS a JOIN (SELECT filename, name, unnest({_KNOWN}) AS alias FROM {_EXPLICIT} AS e) AS s ON a.filename = s.filename AND {_symbol('a.symbol')} = s.alias GROUP BY a.filename, a.symbol",
+    "diagram_edges": f"SELECT * FROM {_ARROWS} AS a",
+    "diagram_nodes": f"SELECT filename, page, node, CAST(sum(o) AS bigint) AS \"out\", CAST(sum(i) AS bigint) AS \"in\" FROM (SELECT filename, page, source AS node, 1 AS o, 0 AS i FROM {_ARROWS} AS a UNION ALL SELECT filename, page, target, 0, 1 FROM {_ARROWS} AS b) AS u GROUP BY filename, page, node",
+    "diagram_signals": f"SELECT filename, page, pos, CAST(n AS int) AS n, signal, edge, lag(signal) OVER (PARTITION BY filename, page ORDER BY pos, n) AS after FROM (SELECT *, regexp_extract(event, '^(\\S+)', 1) AS signal, CASE WHEN regexp_matches(event, '(?i)rises|high|asserted') THEN 'rising' ELSE 'falling' END AS edge FROM {_EVENTS} AS e) AS f",
+    "pin_functions": f"SELECT DISTINCT filename, page, pin, function FROM (SELECT filename, page, replace({_group('line', rules.PIN, 1)}, '-', '_') AS pin, unnest(regexp_extract_all(line, {_q(rules.PIN_FUNCTION)}, 1)) AS function FROM {_manual('pin')} AS x WHERE {_has('line', rules.PIN)}) AS y WHERE NOT regexp_matches(function, '^P\\d')",
+    "figure_context": f"SELECT c.filename, c.page, caption_id, count(*) AS lines, md5(string_agg(l.line, chr(10) ORDER BY l.pos)) AS digest FROM {_captions()} AS c JOIN {_manual()} AS l ON c.filename = l.filename AND c.page = l.page AND l.pos BETWEEN c.pos - 4 AND c.pos + 5 GROUP BY c.filename, c.page, c.pos, caption_id",
+    "table_coverage": f"SELECT filename, page, coalesce(captions, 0) AS captions, coalesce(tables, 0) AS tables, CASE WHEN tables IS NULL THEN 'caption_only' WHEN captions IS NULL THEN 'table_only' ELSE 'covered' END AS status FROM (SELECT filename, page, count(*) AS captions FROM {_captions('caption')} AS c WHERE type = 'Table' GROUP BY ALL) AS a FULL JOIN (SELECT filename, page, count(*) AS tables FROM {_BLOCKS} AS b GROUP BY ALL) AS b USING (filename, page)",
+    "evidence_gate": f"SELECT status, count(*) AS entries, count(*) FILTER (WHERE status NOT IN ('verified', 'purchase')) AS blockers FROM {_LAST} AS l GROUP BY status",
+    "golden_bootstrap": f"SELECT filename, name, band, CAST(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY confidence DESC, filename, name) AS rank FROM (SELECT *, CASE WHEN explicit = 1 AND confidence >= 90 THEN 'high_quality' WHEN confidence >= 40 THEN 'needs_manual_review' ELSE 'rejected_noise' END AS band FROM {_REGISTERS} AS r WHERE (filename, name) NOT IN (SELECT concat('manual', p_partkey % 5), concat('PRTm_R', p_partkey, '_n') FROM part WHERE p_size > 25)) AS b) AS c WHERE rank <= 20",
+    "artifact_reconcile": f"SELECT *, CASE WHEN declared <> actual THEN 'differs' WHEN actual = 0 THEN 'empty' WHEN actual < 10 THEN 'few' ELSE 'ok' END AS status FROM (SELECT filename, artifact, declared, coalesce(actual, 0) AS actual FROM (SELECT filename, kind AS artifact, count(*) AS declared FROM {_manual('register', 'caution')} AS x GROUP BY ALL) AS d LEFT JOIN (SELECT filename, artifact, count(*) AS actual FROM (SELECT filename, 'register' AS artifact FROM {_list_rows('register', 'caution')} AS r UNION ALL SELECT filename, 'caution' FROM {_cautions('register', 'caution')} AS c) AS u GROUP BY ALL) AS a USING (filename, artifact)) AS z",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import bitfields, figures, guidance, pages, quality, registers, search, tables
+from folioscope.operators import bitfields, figures, guidance, pages, quality, registers, review, search, tables
 from folioscope.sources import artifacts
 from folioscope.sources.corpora import manual_lines, manual_words, prose_pages
 
@@ -328,4 +328,82 @@ def resume_pages(spark, d):
     return artifacts.missing_pages(wanted, manual_lines(spark, d, "caution"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_symbols, text_tokens, text_counts, text_fuzzy, chunk_text, chunk_profile, chunk_type_stats, section_index, section_search, section_nearest, search_lexical, search_bm25, search_proximity, search_hybrid, search_fuzzy, search_evidence, search_fusion, register_rows, register_index, register_find, register_near_pages, register_mapping, bitfield_rows, bitfield_index, bitfield_validation, bitfield_overlaps, caution_lines, caution_index, sequence_write_pairs, sequence_steps, sequence_structure, sequence_clusters, sequence_best_cluster, sequence_topics, table_cells, table_blocks, table_stitch, table_kinds, table_continuation, table_carried_register, figure_manifest, figure_visual_tables, figure_kinds, evidence_latest, evidence_queue, evidence_report, artifact_descendants, artifact_health, golden_facts, requirement_match, eval_assertions, cache_evict, resume_pages)}
+# --- answers from several tables ----------------------------------------------------------------
+
+
+def read_pages(spark, d):
+    return review.page_range(prose_pages(spark, d), 10, 500).select(*KEYS, F.length("text").alias("n_chars"))
+
+
+def register_list(spark, d):
+    return review.list_registers(_registers(spark, d), "brushed", 50).select("filename", "name", "confidence", "first_page")
+
+
+def register_groups(spark, d):
+    return review.register_groups(_registers(spark, d))
+
+
+def module_type(spark, d):
+    return review.module_type(manual_lines(spark, d, "heading", "write"))
+
+
+def register_summary(spark, d):
+    lists = registers.list_rows(manual_lines(spark, d, "register")).groupBy("filename", "name").agg(F.min("access_size").alias("access_size"))
+    fields = bitfields.validate(_fields(spark, d), lists)
+    out = review.summarize(_registers(spark, d), fields, guidance.caution_lines(manual_lines(spark, d, "caution")), guidance.steps(manual_lines(spark, d, "step")))
+    return out.select("filename", "register", "confidence", "bitfields", "valid_bitfields", "cautions", "steps", "reliability")
+
+
+def register_usage(spark, d):
+    asked = manual_lines(spark, d, "step").select("filename", F.regexp_extract("line", T.rx(registers.rules.REGISTER_SYMBOL), 0).alias("register"), F.regexp_replace("line", r"^\d+\. | of PRTm_R.*$", "").alias("operation")).distinct()
+    return review.verify_usage(asked, _registers(spark, d).where("explicit = 1"), guidance.caution_lines(manual_lines(spark, d, "caution")), guidance.steps(manual_lines(spark, d, "step")))
+
+
+def register_alias(spark, d):
+    asked = _table(spark, d, "part").select(F.concat(F.lit("manual"), F.col("p_partkey") % 5).alias("filename"), F.concat(F.lit("R"), "p_partkey", F.lit("_n")).alias("symbol"))
+    return review.alias_lookup(asked, _registers(spark, d).where("explicit = 1"))
+
+
+def diagram_edges(spark, d):
+    return review.arrows(manual_lines(spark, d))
+
+
+def diagram_nodes(spark, d):
+    return review.diagram_nodes(review.arrows(manual_lines(spark, d, "arrow")))
+
+
+def diagram_signals(spark, d):
+    return review.signal_edges(manual_lines(spark, d))
+
+
+def pin_functions(spark, d):
+    return review.pin_functions(manual_lines(spark, d, "pin"))
+
+
+def figure_context(spark, d):
+    lines = manual_lines(spark, d)
+    return review.caption_context(figures.captions(lines), lines).select(*KEYS, "caption_id", "lines", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def table_coverage(spark, d):
+    return review.coverage(figures.captions(manual_lines(spark, d, "caption")), _blocks(spark, d))
+
+
+def evidence_gate(spark, d):
+    return review.gate(quality.latest(_log(spark, d), ["entry"], "updated", ["status", "event_id"]), "verified_only")
+
+
+def golden_bootstrap(spark, d):
+    facts = _table(spark, d, "part").where(F.col("p_size") > 25).select(F.concat(F.lit("manual"), F.col("p_partkey") % 5).alias("filename"), F.concat(F.lit("PRTm_R"), "p_partkey", F.lit("_n")).alias("name"))
+    return review.bootstrap_golden(_registers(spark, d), facts, ["filename", "name"], 20).select("filename", "name", "band", "rank")
+
+
+def artifact_reconcile(spark, d):
+    lines = manual_lines(spark, d, "register", "caution")
+    declared = lines.groupBy("filename", F.col("kind").alias("artifact")).agg(F.count("*").alias("declared"))
+    found = registers.list_rows(lines).select("filename", F.lit("register").alias("artifact")).unionByName(guidance.caution_lines(lines).select("filename", F.lit("caution").alias("artifact")))
+    actual = found.groupBy("filename", "artifact").agg(F.count("*").alias("actual"))
+    return review.reconcile(declared.join(actual, ["filename", "artifact"], "left").fillna(0, ["actual"]), 10)
+
+
+QUERIES = {f.__name__: f for f in (text_normalize, text_symbols, text_tokens, text_counts, text_fuzzy, chunk_text, chunk_profile, chunk_type_stats, section_index, section_search, section_nearest, search_lexical, search_bm25, search_proximity, search_hybrid, search_fuzzy, search_evidence, search_fusion, register_rows, register_index, register_find, register_near_pages, register_mapping, bitfield_rows, bitfield_index, bitfield_validation, bitfield_overlaps, caution_lines, caution_index, sequence_write_pairs, sequence_steps, sequence_structure, sequence_clusters, sequence_best_cluster, sequence_topics, table_cells, table_blocks, table_stitch, table_kinds, table_continuation, table_carried_register, figure_manifest, figure_visual_tables, figure_kinds, evidence_latest, evidence_queue, evidence_report, artifact_descendants, artifact_health, golden_facts, requirement_match, eval_assertions, cache_evict, resume_pages, read_pages, register_list, register_groups, module_type, register_summary, register_usage, register_alias, diagram_edges, diagram_nodes, diagram_signals, pin_functions, figure_context, table_coverage, evidence_gate, golden_bootstrap, artifact_reconcile)}

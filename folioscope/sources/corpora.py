@@ -19,6 +19,9 @@ _LINES = [
     ("write", "orders", "o_custkey", "o_orderkey / 40", "concat('Refresh by writing ', lpad(concat(o_orderkey % 100), 2, '0'), 'h and then writing FFh to WDT', o_custkey % 50)"),
     ("step", "orders", "o_custkey", "o_orderkey / 40", "concat(o_orderkey % 6 + 1, '. ', CASE o_orderkey % 5 WHEN 0 THEN 'Write 1 to the enable bit' WHEN 1 THEN 'Read the status' WHEN 2 THEN 'Wait 10 cycles' WHEN 3 THEN 'Stop the transfer' ELSE 'Check nothing' END, ' of PRTm_R', o_custkey, '_n')"),
     ("caution", "customer", "c_custkey", "c_custkey / 40", "concat(CASE c_custkey % 6 WHEN 0 THEN 'Caution: do not write 1 to reserved bits of PRTm_R' WHEN 1 THEN 'Note: the flag is cleared by writing 0 to PRTm_R' WHEN 2 THEN 'Write only while the transfer is stopped, PRTm_R' WHEN 3 THEN 'Operation is undefined after reset of PRTm_R' WHEN 4 THEN 'Restriction on PRTm_R' ELSE 'Nothing of note about PRTm_R' END, c_custkey, '_n')"),
+    ("arrow", "nation", "n_nationkey", "n_nationkey / 5", "concat(n_name, ' -> ', CASE n_nationkey % 4 WHEN 0 THEN 'DMA controller' WHEN 1 THEN 'IDLE' WHEN 2 THEN 'CPU core' ELSE 'memory bus' END, CASE n_nationkey % 3 WHEN 0 THEN ': irq request' WHEN 1 THEN ': data word' ELSE '' END)"),
+    ("signal", "nation", "n_nationkey", "n_nationkey / 5", "concat('After that SIG_', n_nationkey, CASE n_nationkey % 2 WHEN 0 THEN ' rises' ELSE ' is negated' END, ' and ACK_', n_regionkey, ' falls')"),
+    ("pin", "supplier", "s_suppkey", "s_suppkey / 10", "concat('P', s_nationkey, '_', s_suppkey % 16, ' CANFD', s_suppkey % 3, '_TX SPI', s_suppkey % 4, '_CLK as input')"),
     ("caption", "supplier", "s_suppkey", "s_suppkey / 10", "concat(CASE s_suppkey % 3 WHEN 0 THEN 'Figure ' WHEN 1 THEN 'Table ' ELSE 'Fig. ' END, s_suppkey % 9 + 1, '.', s_suppkey, ' ', CASE s_suppkey % 5 WHEN 0 THEN 'Timing of Read Cycle' WHEN 1 THEN 'Block Diagram of Unit' WHEN 2 THEN 'Operation Sequence' WHEN 3 THEN 'Frame Format' ELSE 'Pin Function List' END)"),
 ]
 
@@ -50,7 +53,7 @@ def prose_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manual_lines(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """All lines, or those of some kinds; a kind's tables alone are then read."""
-    df = _sql(spark, sf_dir, manual_sql(), "part", "lineitem", "orders", "customer", "supplier")
+    df = _sql(spark, sf_dir, manual_sql(), "part", "lineitem", "orders", "customer", "supplier", "nation")
     return df.where(df["kind"].isin(*kinds)) if kinds else df
 
 
