@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import share
 from folioscope.functions.text import normalize_for_search
 from folioscope.operators import bitfields, figures, guidance, pages, quality, registers, review, search, tables
 
@@ -21,6 +22,7 @@ class Library:
     """Questions over all manuals at once, or over one by `filename`."""
 
     def __init__(self, page_rows: DataFrame, words: DataFrame | None = None):
+        share(page_rows.sparkSession)
         self.pages, self.words = page_rows.select("filename", "page", "text"), words
 
     @property

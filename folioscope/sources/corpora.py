@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope import share
+
 PROSE = "SELECT source AS filename, CAST(doc_id AS int) AS page, coalesce(text, '') AS text FROM documents"
 
 #: (kind, table, filename key, page key, line)
@@ -41,6 +43,7 @@ UNION ALL SELECT p_partkey, 210.0 AS x0, concat(p_partkey * 4, 'h') AS word FROM
 
 
 def _sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    share(spark)
     text = sql
     for t in tables:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
