@@ -12,13 +12,16 @@ from collections.abc import Callable, Hashable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import share
+
 
 #: Rows of an Arrow batch: Spark's 10,000 whole texts at once are too many for small executors.
 BATCH_ROWS = 1000
 
 
 def tune(spark: SparkSession) -> None:
-    """Sets BATCH_ROWS where the session has Spark's own default."""
+    """Sets BATCH_ROWS where the session has Spark's own default; lets workers find this package."""
+    share(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
