@@ -265,3 +265,34 @@ ARROW = r"^\s*([A-Za-z][A-Za-z0-9_ ]*?)\s*->\s*([A-Za-z][A-Za-z0-9_ ]*?)\s*(?::\
 SIGNAL_EDGE = r"(?i)\b([A-Z][A-Z0-9_]{1,31})\s+(rises|falls|goes high|goes low|is asserted|is negated)\b"
 PIN = r"\b(P\d{1,2}[_-]\d{1,2}|GPIO\d+[_-]\d+|PORT\d+)\b"
 PIN_FUNCTION = r"\b([A-Z][A-Z0-9]{2,}_[A-Z][A-Z0-9]*)\b"
+
+# --- fixed values: column roles -----------------------------------------------------------------
+#: (role, pattern, points): points add up; a role needs ROLE_LEAST.
+ROLE_LEAST = 35
+COLUMN_ROLES: list[tuple[str, str, int]] = [
+    ("bit", r"(?i)^\s*(bit|bits|b\d+|bit\s*position|bit\s*no\.?|no\.?|position)\s*$", 70),
+    ("bit", r"(?i)\b(bit|bits|b\d+|bit\s*position|bit\s*no)\b", 35),
+    ("bit", r"^\s*\[?\d{1,2}(:\d{1,2})?\]?\s*$", 42),
+    ("bitfield", r"(?i)\b(bit\s*name|field\s*name|bit\s*field|symbol|name|mnemonic|abbreviation)\b", 65),
+    ("bitfield", r"(?i)^\s*(name|symbol|field)\s*$", 38),
+    ("access", r"(?i)\b(access|r\s*/\s*w|read\s*/\s*write|read|write|r/o|w/o)\b", 70),
+    ("access", r"(?i)^\s*(r|w|rw|ro|wo|r/w|r/o|w/o|read only|write only)\s*$", 55),
+    ("reset", r"(?i)\b(initial\s*value|reset\s*value|default\s*value|initial|reset|default)\b", 70),
+    ("reset", r"(?i)^\s*(0x[0-9a-f]+|[0-9a-f]+h|[01]b|0|1|-|undefined)\s*$", 25),
+    ("description", r"(?i)\b(description|function|operation|setting|settings|contents|meaning|remarks|note)\b", 70),
+    ("register", r"(?i)\b(register\s*name|register|name)\b", 65),
+    ("register", r"^\s*[A-Z][A-Z0-9_]{2,}\s*$", 18),
+    ("abbreviation", r"(?i)\b(abbreviation|abbrev\.?|symbol|register\s*symbol|short\s*name)\b", 70),
+    ("abbreviation", r"^\s*[A-Z0-9]+m?_[A-Za-z0-9_]+\s*$", 35),
+    ("offset", r"(?i)\b(offset\s*address|address\s*offset|offset|address|addr\.?)\b", 70),
+    ("offset", r"\b[0-9A-Fa-f]{3,8}h\b", 45),
+    ("accessSize", r"(?i)\b(access\s*size|access\s*width|size|width|byte)\b", 60),
+    ("accessSize", r"(?i)^\s*(8|16|32|64|128)\s*(bit|bits|byte|bytes)?\s*$", 35),
+    ("pin", r"(?i)\b(pin\s*name|pin\s*no\.?|pin\s*number|pin|pad|ball|terminal)\b", 72),
+    ("port", r"(?i)\b(port\s*name|port|gpio\s*port|i/o\s*port)\b", 70),
+    ("function", r"(?i)\b(pin\s*function|function\s*name|alternate\s*function|alt\s*function|function\s*select)\b", 75),
+    ("signal", r"(?i)\b(signal\s*name|signal|multiplexed\s*signal|peripheral\s*signal)\b", 72),
+    ("peripheral", r"(?i)\b(peripheral|module|ip\s*block|function\s*group|interface)\b", 68),
+    ("mode", r"(?i)\b(mode|mux\s*mode|function\s*mode|pin\s*mode|select\s*code|sel|mux)\b", 66),
+    ("group", r"(?i)\b(group|pin\s*group|function\s*group|bank)\b", 60),
+]

@@ -64,3 +64,16 @@ def carried_register(rows: DataFrame) -> DataFrame:
     """Adds current: the last register named at or before a row, over a file's pages in order."""
     w = W.partitionBy("filename").orderBy("page", "pos").rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn("current", F.last_value(F.when(F.col("register") != "", F.col("register")), True).over(w))
+
+
+def column_roles(cell_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The role of each column (keys, text of its cells): the role whose rules its cells meet best, if well enough.
+
+    Each cell is scored for every role; a column's role has the greatest sum of its header's and its
+    samples' best points, the first by name on ties.
+    """
+    points = F.array(*(F.struct(F.lit(role).alias("role"), F.when(has(F.col("text"), pattern), n).otherwise(0).alias("points")) for role, pattern, n in rules.COLUMN_ROLES))
+    each = cell_rows.select(*keys, "row", F.explode(points).alias("p")).groupBy(*keys, "row", F.col("p.role").alias("role")).agg(F.sum("p.points").alias("points"))
+    summed = each.groupBy(*keys, "role").agg(F.sum("points").alias("total"), F.max("points").alias("best")).where(F.col("best") >= rules.ROLE_LEAST)
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("total"), "role"))
+    return summed.withColumn("n", rank).where("n = 1").select(*keys, "role", F.col("total").alias("points"))

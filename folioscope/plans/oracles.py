@@ -7,7 +7,7 @@ import re
 from folioscope.functions import rules
 from folioscope.functions.text import DASHES, STOP_WORDS
 from folioscope.operators import search
-from folioscope.plans.queries import ASK
+from folioscope.plans.queries import ASK, HEADERS
 from folioscope.sources.corpora import PROSE, WORDS, manual_sql
 
 
@@ -348,3 +348,17 @@ ORACLES |= {
     "golden_bootstrap": f"SELECT filename, name, band, CAST(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY confidence DESC, filename, name) AS rank FROM (SELECT *, CASE WHEN explicit = 1 AND confidence >= 90 THEN 'high_quality' WHEN confidence >= 40 THEN 'needs_manual_review' ELSE 'rejected_noise' END AS band FROM {_REGISTERS} AS r WHERE (filename, name) NOT IN (SELECT concat('manual', p_partkey % 5), concat('PRTm_R', p_partkey, '_n') FROM part WHERE p_size > 25)) AS b) AS c WHERE rank <= 20",
     "artifact_reconcile": f"SELECT *, CASE WHEN declared <> actual THEN 'differs' WHEN actual = 0 THEN 'empty' WHEN actual < 10 THEN 'few' ELSE 'ok' END AS status FROM (SELECT filename, artifact, declared, coalesce(actual, 0) AS actual FROM (SELECT filename, kind AS artifact, count(*) AS declared FROM {_manual('register', 'caution')} AS x GROUP BY ALL) AS d LEFT JOIN (SELECT filename, artifact, count(*) AS actual FROM (SELECT filename, 'register' AS artifact FROM {_list_rows('register', 'caution')} AS r UNION ALL SELECT filename, 'caution' FROM {_cautions('register', 'caution')} AS c) AS u GROUP BY ALL) AS a USING (filename, artifact)) AS z",
 }
+
+_ROLE_NAMES = list(dict.fromkeys(r for r, _, _ in rules.COLUMN_ROLES))
+
+
+def _roles(cells: str) -> str:
+    per_role = {r: " + ".join(f"CASE WHEN {_has('text', p)} THEN {n} ELSE 0 END" for role, p, n in rules.COLUMN_ROLES if role == r) for r in _ROLE_NAMES}
+    each = " UNION ALL ".join(f"SELECT filename, cell, '{r}' AS role, CAST(sum({e}) AS bigint) AS points, max({e}) AS best FROM {cells} AS c GROUP BY filename, cell" for r, e in per_role.items())
+    return f"SELECT filename, cell, role, points FROM (SELECT *, row_number() OVER (PARTITION BY filename, cell ORDER BY points DESC, role) AS n FROM ({each}) AS e WHERE best >= {rules.ROLE_LEAST}) AS r WHERE n = 1"
+
+
+ORACLES |= {
+    "table_roles": _roles("(" + HEADERS.replace("FROM VALUES", "FROM (VALUES").replace(" AS t(", ") AS t(") + ")"),
+    "table_found_roles": _roles(f"(SELECT filename, cell, text FROM {_CELLS} AS d)"),
+}

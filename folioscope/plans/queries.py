@@ -406,4 +406,15 @@ def artifact_reconcile(spark, d):
     return review.reconcile(declared.join(actual, ["filename", "artifact"], "left").fillna(0, ["actual"]), 10)
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_symbols, text_tokens, text_counts, text_fuzzy, chunk_text, chunk_profile, chunk_type_stats, section_index, section_search, section_nearest, search_lexical, search_bm25, search_proximity, search_hybrid, search_fuzzy, search_evidence, search_fusion, register_rows, register_index, register_find, register_near_pages, register_mapping, bitfield_rows, bitfield_index, bitfield_validation, bitfield_overlaps, caution_lines, caution_index, sequence_write_pairs, sequence_steps, sequence_structure, sequence_clusters, sequence_best_cluster, sequence_topics, table_cells, table_blocks, table_stitch, table_kinds, table_continuation, table_carried_register, figure_manifest, figure_visual_tables, figure_kinds, evidence_latest, evidence_queue, evidence_report, artifact_descendants, artifact_health, golden_facts, requirement_match, eval_assertions, cache_evict, resume_pages, read_pages, register_list, register_groups, module_type, register_summary, register_usage, register_alias, diagram_edges, diagram_nodes, diagram_signals, pin_functions, figure_context, table_coverage, evidence_gate, golden_bootstrap, artifact_reconcile)}
+HEADERS = "SELECT filename, cell, row, text FROM VALUES ('a', 0, 0, 'Bit'), ('a', 0, 1, '31:28'), ('a', 1, 0, 'Bit Name'), ('a', 2, 0, 'R/W'), ('a', 2, 1, 'RW'), ('a', 3, 0, 'Description'), ('b', 0, 0, 'Register Name'), ('b', 1, 0, 'Offset Address'), ('b', 1, 1, '0040h'), ('b', 2, 0, 'xyz') AS t(filename, cell, row, text)"
+
+
+def table_roles(spark, d):
+    return tables.column_roles(spark.sql(HEADERS), ["filename", "cell"])
+
+
+def table_found_roles(spark, d):
+    return tables.column_roles(tables.cells(manual_words(spark, d)).select("filename", "cell", F.concat_ws(":", "page", "row").alias("row"), "text"), ["filename", "cell"])
+
+
+QUERIES = {f.__name__: f for f in (text_normalize, text_symbols, text_tokens, text_counts, text_fuzzy, chunk_text, chunk_profile, chunk_type_stats, section_index, section_search, section_nearest, search_lexical, search_bm25, search_proximity, search_hybrid, search_fuzzy, search_evidence, search_fusion, register_rows, register_index, register_find, register_near_pages, register_mapping, bitfield_rows, bitfield_index, bitfield_validation, bitfield_overlaps, caution_lines, caution_index, sequence_write_pairs, sequence_steps, sequence_structure, sequence_clusters, sequence_best_cluster, sequence_topics, table_cells, table_blocks, table_stitch, table_kinds, table_continuation, table_carried_register, figure_manifest, figure_visual_tables, figure_kinds, evidence_latest, evidence_queue, evidence_report, artifact_descendants, artifact_health, golden_facts, requirement_match, eval_assertions, cache_evict, resume_pages, read_pages, register_list, register_groups, module_type, register_summary, register_usage, register_alias, diagram_edges, diagram_nodes, diagram_signals, pin_functions, figure_context, table_coverage, evidence_gate, golden_bootstrap, artifact_reconcile, table_roles, table_found_roles)}
