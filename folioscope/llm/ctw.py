@@ -56,6 +56,13 @@ HELD_TOKENS = 400_000
 END = b""
 
 
+class _Places(dict):
+    """Places by token; all that are not there share the one behind the last."""
+
+    def __missing__(self, token: bytes) -> int:
+        return len(self)
+
+
 def tokens(text: str) -> list[bytes]:
     """Words of the text with A-Z in lower case, as bytes; without the end."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -404,37 +411,48 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
 
     def run(batches):
         toks_, counts_, lps_, states_ = held.value
-        index = {t: i for i, t in enumerate(toks_)}.get
-        base = [math.log10((c + 1) / total) for c in counts_]
-        lp, state_of = lps_.astype(float).tolist(), states_.get
+        size = len(toks_)
+        # Places of the broadcast tokens, then of markers that are not among them; all others share the last place.
+        extra = sorted(set(states_) - set(toks_))
+        place = _Places({t: i for i, t in enumerate((*toks_, *extra))})
+        state_at = np.array([*(states_.get(t, 0) for t in (*toks_, *extra)), 0])
+        counts = np.array(counts_, np.int64)
+        base, lp = np.log10((counts + 1) / total), lps_.astype(float).reshape(size, wide)
         for batch in batches:
             for part in slices(batch, 128):
+                texts = part.column(1).to_pylist()
+                raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+                every = [[*r.lower().split(), END] for r in raws]
+                lengths = np.array([len(w) for w in every])
+                words = list(chain.from_iterable(every))
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                owner = np.repeat(np.arange(len(every)), lengths)
+                # The state a token stands in: that of the last marker before it in its text.
+                mark = state_at[at]
+                last = np.maximum.accumulate(np.where(mark > 0, np.arange(len(at)), -1))
+                last = np.r_[-1, last[:-1]]
+                state = np.where(last >= (np.cumsum(lengths) - lengths)[owner], mark[last], 0)
+                known = at < size
+                i, st, of = at[known], state[known], owner[known]
+                sums = [np.bincount(of, x, len(every)) for x in (counts[i] > 0, base[i], lp[i, st])]
+                left = np.flatnonzero(~known)
+                rest_: list[Counter] = [Counter() for _ in every]
+                for d, t, k in zip(owner[left].tolist(), left.tolist(), state[left].tolist(), strict=True):
+                    rest_[d][words[t], k] += 1
                 ids, hashes, toks, marks, tfs, heads = [], [], [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = tokens(text)
-                    raw = text.encode("utf-8", "surrogatepass")
+                for d, (doc_id, raw) in enumerate(zip(part.column(0).to_pylist(), raws, strict=True)):
                     h = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-                    k = s = b = 0
-                    rest_ = []
-                    parts = segments(words, state_of)
-                    for state, some in (*parts, (parts[-1][0], (END,))):
-                        for t, m in Counter(some).items():
-                            if (i := index(t)) is None:
-                                rest_.append((t, state, m))
-                            else:
-                                k += m * (counts_[i] > 0)
-                                b += m * base[i]
-                                s += m * lp[i * wide + state]
+                    toks += [t for t, _ in rest_[d]]
+                    marks += [k for _, k in rest_[d]]
+                    tfs += rest_[d].values()
                     # The text's own row; its key holds a line end, so it is no token.
-                    rest_.append((b"\n" + h.to_bytes(8, "little", signed=True) + str(doc_id).encode(), 0, 1))
-                    for t, state, m in rest_:
-                        toks.append(t)
-                        marks.append(state)
-                        tfs.append(m)
-                    ids += [doc_id] * len(rest_)
-                    hashes += [h] * len(rest_)
-                    heads += [None] * (len(rest_) - 1)
-                    heads.append({"n": len(words) + 1, "k": k, "b": float(b), "s": float(s), "size": len(raw)})
+                    toks.append(b"\n" + h.to_bytes(8, "little", signed=True) + str(doc_id).encode())
+                    marks.append(0)
+                    tfs.append(1)
+                    ids += [doc_id] * (len(rest_[d]) + 1)
+                    hashes += [h] * (len(rest_[d]) + 1)
+                    heads += [None] * len(rest_[d])
+                    heads.append({"n": len(every[d]), "k": int(sums[0][d]), "b": float(sums[1][d]), "s": float(sums[2][d]), "size": len(raw)})
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(toks, pa.binary()), pa.array(marks, pa.int32()), pa.array(tfs, pa.int32()), pa.array(heads, pa.struct([("n", pa.int64()), ("k", pa.int64()), ("b", pa.float64()), ("s", pa.float64()), ("size", pa.int64())]))], names=["doc_id", "h", "tok", "state", "tf", "own"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, h long, tok binary, state int, tf int, own struct<n:long,k:long,b:double,s:double,size:long>")
