@@ -17,7 +17,8 @@ whether or not that earlier line goes itself. So the result does not depend on a
 Results for odd input: null and empty texts stay as they are; a document all of whose lines go
 keeps an empty text; rows without a doc_id are neither compared nor changed; rows repeated with
 one doc_id and text are treated alike, as one document; other columns pass through; an empty
-table gives an empty table. Lines end at "\\n". Sets are told apart by 64-bit hashes.
+table gives an empty table. Lines end at "\\n". Sets and words are told apart by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -107,8 +108,8 @@ def _emitted(docs: DataFrame, head: dict[bytes, int], min_words: int, percent: i
                 total = sum(counts)
                 keys = np.fromiter(map(order.__getitem__, chain.from_iterable(flat)), np.uint64, total)
                 owner = np.repeat(np.arange(len(counts)), counts)
-                by = np.lexsort((keys, owner))
-                keys = keys[by]
+                bits = len(counts).bit_length()  # by line, then by the key's upper bits
+                keys = keys[np.argsort(owner.astype(np.uint64) << np.uint64(64 - bits) | keys >> np.uint64(bits))]
                 new = np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]
                 keys, owner = keys[new], owner[new]
                 n = np.bincount(owner, minlength=len(counts))
@@ -244,7 +245,7 @@ def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int)
     return met.select("x", "of_x", "of_y").mapInArrow(run, "x long").distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, head: int = HEAD, kept: int = KEPT) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
     """Rows (doc_id, h, line): the lines that go; h is a hash of the text they stand in."""
     work = _work(docs).where("doc_id is not null")
     emitted = cut(_emitted(work, _frequent(work, head), min_words, percent), "emitted")
@@ -252,13 +253,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     first = cut(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "line", "h")).alias("at")), "first")
     pairs = _candidates(prefix, percent).groupBy("x", "y").agg(F.min("apart").alias("apart"), F.min(F.struct("y_doc", "y_line")).alias("y_at"))
     ranked = pairs.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("apart", "y_at", "y"))).alias("all"))
-    best = cut(ranked.select("x", F.slice("all.y", 1, kept).alias("some"), (F.size("all") > kept).alias("more")), "pairs")
+    best = cut(ranked.select("x", F.slice("all.y", 1, KEPT).alias("some"), (F.size("all") > KEPT).alias("more")), "pairs")
     flat = lambda df, some: df.select("x", F.explode(some).alias("y"))
     alike = cut(_verified(flat(best, F.slice("some", 1, FIRST)), first, work, percent), "alike")
     left = cut(best.join(alike, "x", "left_anti"), "left")
     second = left.where(F.size("some") > FIRST)
     if not second.isEmpty():
-        alike = cut(alike.unionByName(_verified(flat(second, F.slice("some", FIRST + 1, kept)), first, work, percent)), "alike")
+        alike = cut(alike.unionByName(_verified(flat(second, F.slice("some", FIRST + 1, KEPT)), first, work, percent)), "alike")
     open_ = left.where("more").select("x").join(alike, "x", "left_anti")
     if not open_.isEmpty():
         alike = cut(alike.unionByName(_verified(cut(_all_candidates(prefix, cut(open_, "open"), percent), "all"), first, work, percent)).distinct(), "alike")
