@@ -43,24 +43,33 @@ class Query:
         return [label for label, p in rules.INTENTS if re.search(p, self.text)] or ["generic"]
 
 
-def lexical_score(text: Column, query: Query) -> Column:
-    """Phrase, words, parts of words, symbols and table vocabulary."""
-    flat = normalize_for_search(text)
-    symbol = canonical_symbol(text)
+def _flattened(passages: DataFrame) -> DataFrame:
+    """Adds flat and symbol, the text normalized both ways: once for all that looks into them."""
+    return passages.withColumn("flat", normalize_for_search(F.col("text"))).withColumn("symbol", canonical_symbol(F.col("text")))
+
+
+def lexical_score(query: Query) -> Column:
+    """Phrase, words, parts of words, symbols and table vocabulary, over text, flat and symbol.
+
+    A regular expression is tried only where its words stand somewhere in the text.
+    """
+    text, flat = F.col("text"), F.col("flat")
     score = F.when(F.contains(flat, F.lit(query.phrase)), 70).otherwise(0)
     for s in query.symbols:
-        score = score + F.when(F.contains(symbol, F.lit(s)), 25).otherwise(0)
+        score = score + F.when(F.contains("symbol", F.lit(s)), 25).otherwise(0)
     for t in query.terms:
-        score = score + 10 * count_word(flat, t) + 2 * count_loose(flat, t)
+        score = score + F.when(F.contains(flat, F.lit(t)), 10 * count_word(flat, t) + 2 * count_loose(flat, t)).otherwise(0)
     for pattern, points in VOCABULARY:
-        score = score + F.when(has(text, pattern), points).otherwise(0)
+        word = re.search(r"[A-Z][a-z]+", pattern)[0].lower()
+        score = score + F.when(F.contains(flat, F.lit(word)) & has(text, pattern), points).otherwise(0)
     return score
 
 
 def search(passages: DataFrame, query: str, k: int, keys: list[str]) -> DataFrame:
     """The k best passages by lexical score, ties by their keys."""
-    scored = passages.withColumn("score", lexical_score(F.col("text"), Query(query)).cast("int"))
-    return scored.where("score > 0").orderBy(F.desc("score"), *keys).limit(k)
+    scored = _flattened(passages).withColumn("score", lexical_score(Query(query)).cast("int")).drop("flat", "symbol")
+    # Filtered last: below the sort, the filter would make Spark normalize each text anew for every term.
+    return scored.orderBy(F.desc("score"), *keys).limit(k).where("score > 0")
 
 
 def bm25(passages: DataFrame, query: str, keys: list[str]) -> DataFrame:
@@ -95,10 +104,10 @@ def proximity(passages: DataFrame, query: str, keys: list[str]) -> DataFrame:
     return found.select(*keys, F.size("close").alias("pairs"), half_up(F.least(F.lit(120.0), F.size("close") * 8 + near * WINDOW_WEIGHT / WINDOW)).cast("int").alias("proximity"))
 
 
-def coverage(text: Column, query: Query) -> Column:
-    """Points for the share of important terms the passage has."""
-    flat = normalize_for_search(text)
-    hits = sum((F.when(has(flat, rf"\b{re.escape(t)}\b"), 1).otherwise(0) for t in query.important), F.lit(0))
+def coverage(query: Query) -> Column:
+    """Points for the share of important terms the passage has, over flat."""
+    flat = F.col("flat")
+    hits = sum((F.when(F.contains(flat, F.lit(t)) & has(flat, rf"\b{re.escape(t)}\b"), 1).otherwise(0) for t in query.important), F.lit(0))
     return half_up(F.lit(120.0) * hits / max(1, len(query.important))).cast("int")
 
 
@@ -117,13 +126,13 @@ def fuzzy_points(text: Column, query: Query, least: float = 0.86) -> Column:
 def hybrid_search(passages: DataFrame, query: str, k: int, keys: list[str]) -> DataFrame:
     """Rows (keys, score, lexical, bm25, proximity, coverage): the k best passages of MIN_SCORE or more."""
     q = Query(query)
-    base = passages.select(*keys, "text").withColumn("lexical", lexical_score(F.col("text"), q).cast("int")).withColumn("coverage", coverage(F.col("text"), q))
-    base = base.withColumn("phrase", F.when(F.contains(normalize_for_search(F.col("text")), F.lit(q.phrase)), 130).otherwise(0)).drop("text")
+    phrase = F.when(F.contains("flat", F.lit(q.phrase)), 130).otherwise(0)
+    base = _flattened(passages.select(*keys, "text")).select(*keys, lexical_score(q).cast("int").alias("lexical"), coverage(q).alias("coverage"), phrase.alias("phrase"))
     met = base.join(bm25(passages, query, keys), keys, "left").join(proximity(passages, query, keys), keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     total = F.col("lexical") + F.col("coverage") + F.col("phrase") + zero("bm25") + zero("proximity")
     rows = met.select(*keys, total.cast("int").alias("score"), "lexical", zero("bm25").alias("bm25"), zero("proximity").alias("proximity"), "coverage")
-    return rows.where(F.col("score") >= MIN_SCORE).orderBy(F.desc("score"), *keys).limit(k)
+    return rows.orderBy(F.desc("score"), *keys).limit(k).where(F.col("score") >= MIN_SCORE)
 
 
 def fuse(ranked: DataFrame, keys: list[str]) -> DataFrame:
