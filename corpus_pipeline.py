@@ -30,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that an earlier line is like; a document that loses all it had goes, others get a new n_chars."""
-    done = line_dedup.dedup_lines(docs)
+    done = line_dedup.dedup_lines(docs, min_words=line_dedup.ALL_LINES)
     left = done.where((F.col("n_removed") == 0) | (F.trim(F.col("text")) != ""))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -1,7 +1,8 @@
 """Line dedup: an exact set-similarity join of all lines of all documents.
 
 A line's set is its distinct words (A-Z in lower case, between white space); lines of fewer than
-MIN_WORDS distinct words are never compared and stay. A line goes if an earlier line, by
+min_words distinct words are never compared and stay. The queries compare every line that has a
+word (ALL_LINES), so that only blank ones stay. A line goes if an earlier line, by
 (doc_id, line number), has the same set or one whose Jaccard similarity reaches the threshold,
 whether or not that earlier line goes itself. So the result does not depend on any order of work.
 
@@ -37,6 +38,8 @@ from folioscope.llm.common import cut, per_process, slices, whole_text
 from folioscope.llm.near_duplicates import _runs
 
 MIN_WORDS, PERCENT = 5, 90
+#: As min_words: lines of any number of words are compared.
+ALL_LINES = 1
 HEAD, SENT_ENTRIES = 150_000, 250_000
 #: Candidates verified first, and kept, for each set; sets with more of them are taken up again if need be.
 FIRST, KEPT = 2, 8

@@ -55,7 +55,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=line_dedup.ALL_LINES)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

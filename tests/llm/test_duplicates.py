@@ -3,7 +3,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from folioscope.llm import decontaminate, line_dedup, near_duplicates
+import corpus_pipeline
+from folioscope.llm import decontaminate, line_dedup, near_duplicates, queries
 from folioscope.llm.graph import components
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -120,6 +121,15 @@ def test_line_dedup_odd_input(spark, odd, none):
     assert line_dedup.dedup_lines(none).collect() == []
 
 
+def test_short_lines_go_too(spark, tmp_path):
+    """op8 and the pipeline's stage compare lines of any number of words."""
+    rows = [(1, "And ornd.\n\nOf, edti oner."), (2, "of,  EDTI oner.\n\nAnd others."), (3, "And ornd.\nx"), (4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.text, r.n_removed) for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()} == {1: (rows[0][1], 0), 2: ("\nAnd others.", 1), 3: ("x", 1), 4: ("", 1)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "\nAnd others.", 3: "x"}
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(7)
     line = lambda n: " ".join(rng.choices(WORDS, k=n))
