@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import cut, per_process, slices, whole_text
 from folioscope.llm.near_duplicates import _runs
 
-MIN_WORDS, PERCENT = 5, 90
+MIN_WORDS, PERCENT = 5, 75
 #: As min_words: lines of any number of words are compared.
 ALL_LINES = 1
 HEAD, SENT_ENTRIES = 150_000, 250_000

@@ -130,6 +130,19 @@ def test_short_lines_go_too(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "\nAnd others.", 3: "x"}
 
 
+def test_near_copied_lines_go(spark):
+    """By default from three quarters on."""
+    rows = [(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j X l"), (3, "a b c d e f g h X Y Z l")]  # 11 of 13 and 9 of 15 words
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_default_lines_are_brute_force(spark):
+    rows = corpus(5)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=line_dedup.ALL_LINES)
+    assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows, 75, 1)
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(7)
     line = lambda n: " ".join(rng.choices(WORDS, k=n))
