@@ -260,6 +260,18 @@ def _fuzzy_points() -> str:
     return f"SELECT filename, page, CAST(coalesce(points, 0) AS int) AS points FROM (SELECT filename, page FROM ({PROSE}) AS p WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')) AS a LEFT JOIN ({scored}) AS s USING (filename, page)"
 
 
+def _fuzzy_all() -> str:
+    """All pages and tokens. Letters beyond ASCII count as one that no term has, as levenshtein compares bytes."""
+    terms = search.Query("thatin theren thingon").important
+    out = []
+    for i, t in enumerate(terms):
+        out.append(f"max(CASE WHEN w = '{t}' THEN 1 ELSE 0 END) AS x{i}, max(CASE WHEN abs(length(w) - {len(t)}) <= 2 AND 1 - levenshtein(regexp_replace(w, '[^\\x00-\\x7F]', '#', 'g'), '{t}') / greatest(length(w), {len(t)}) >= 0.86 THEN 1 ELSE 0 END) AS y{i}")
+    points = " + ".join(f"CASE WHEN x{i} = 0 AND y{i} = 1 THEN 12 ELSE 0 END" for i in range(len(terms)))
+    words = f"SELECT DISTINCT filename, page, unnest({_tokens('text')}) AS w FROM ({PROSE}) AS p"
+    scored = f"SELECT filename, page, {points} AS points FROM (SELECT filename, page, {', '.join(out)} FROM ({words}) AS d GROUP BY filename, page) AS e"
+    return f"SELECT filename, page, CAST(coalesce(points, 0) AS int) AS points FROM ({PROSE}) AS p LEFT JOIN ({scored}) AS s USING (filename, page)"
+
+
 _LINES = f"(SELECT filename, page, pos, line FROM (SELECT filename, page, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT filename, page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM ({PROSE}) AS p) AS a) AS b)"
 _EVIDENCE = f"""SELECT filename, page, CAST(rank AS int) AS rank, CAST(pos AS int) AS pos, score, md5(context) AS context FROM (SELECT *, row_number() OVER (PARTITION BY filename, page ORDER BY score DESC, pos) AS rank FROM (SELECT filename, page, pos, concat_ws(' / ', lag(line) OVER w, line, lead(line) OVER w) AS context, CAST({' + '.join(f'10 * {_word("flat", t)} + 2 * {_loose("flat", t)}' for t in _QUERY.terms)} + CASE WHEN contains(flat, {_q(_QUERY.phrase)}) THEN 40 ELSE 0 END AS int) AS score FROM (SELECT *, {_norm('line')} AS flat FROM {_LINES} AS l) AS f WINDOW w AS (PARTITION BY filename, page ORDER BY pos)) AS s WHERE score > 0) AS r WHERE rank <= 3"""
 
@@ -280,6 +292,7 @@ ORACLES: dict[str, str] = {
     "search_proximity": _PROXIMITY,
     "search_hybrid": _HYBRID,
     "search_fuzzy": _fuzzy_points(),
+    "search_fuzzy_all": _fuzzy_all(),
     "search_evidence": _EVIDENCE,
     "search_fusion": f"SELECT filename, page, CAST(max(score) + CASE WHEN count(*) > 1 THEN floor(min(score) / 10) ELSE 0 END AS int) AS score, CAST(count(*) AS int) AS queries FROM (SELECT * FROM ({_search('than there', 200)}) AS a UNION ALL SELECT * FROM ({_search('over thing', 200)}) AS b) AS u GROUP BY filename, page",
     "register_rows": f"SELECT * FROM {_list_rows()} AS r",

@@ -128,3 +128,18 @@ def test_artifacts(spark, tmp_path):
     wanted = spark.createDataFrame([("m", p) for p in (1, 2, 3)], "filename string, page int")
     assert [r.page for r in artifacts.missing_pages(wanted, artifacts.read(spark, path)).collect()] == [3]
     assert {r.artifact for r in quality.descendants(spark, ["figures"]).collect()} == {"figure_ocr", "visual-evidence"}
+
+
+def test_fuzzy_points_look_at_every_token(spark):
+    """In any alphabet, and beyond the first 500 distinct tokens unless a number is given."""
+    long = " ".join(f"w{i}" for i in range(600)) + " 東京 thatim"
+    df = spark.createDataFrame([(long,)], "text string")
+    query = search.Query("thatin theren thingon")
+    assert tuple(df.select(search.fuzzy_points(F.col("text"), query, 0.8), search.fuzzy_points(F.col("text"), query, 0.8, 500)).first()) == (12, 0)
+
+
+def test_fuzzy_query_has_every_page(spark):
+    from folioscope.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["search_fuzzy_all"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
