@@ -87,6 +87,21 @@ def test_lattice():
         assert toxicity.restore(token, chars) == word, token
 
 
+def test_doubled_spaced_and_split_words_are_read():
+    grams = Counter()
+    words = {"idiot": 50, "moron": 50, "stupid": 50, "the": 500, "thing": 90, "reader": 60, "letter": 60}
+    for w, n in words.items():
+        padded = "^^^" + w + "\0"
+        for i in range(len(w) + 1):
+            grams[padded[i : i + 4]] += n
+    toxic = {"idiot": 0.9, "moron": 0.9, "stupid": 0.9}
+    scorer = toxicity.Model(dict(grams), toxic, 0.01, frozenset({"the", "thing", "reader", "letter", "on"})).scorer()
+    for spelt, word in {"iddiot": "idiot", "morron": "moron", "sstupid": "stupid", "idi\u043et": "idiot", "$ t u p i d": "stupid", "m   o   r   o   n": "moron", "i / d / i / o / t": "idiot", "mo ron": "moron", "st upid": "stupid", "id i ot": "idiot"}.items():
+        assert scorer.score(f"the {spelt} thing") == 0.9 and scorer.restored(f"the {spelt} thing") == f"the {word} thing", spelt
+    for clean in ("the letter", "the reader on the thing", "a - b", "mo\nron"):
+        assert scorer.score(clean) == 0.01, clean
+
+
 def test_toxicity_holds_out_and_finds(spark):
     rows = queries.op4_toxicity(spark, SMALL).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
