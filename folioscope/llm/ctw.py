@@ -18,7 +18,8 @@ the text is in (groups follow each other little, as languages do); the token's c
 discounted likewise, and what is left goes by the token itself. All statistics come from all
 training texts:
 
-0. frequent short words and what marker follows which are counted, and the markers grouped;
+0. short words are counted in all training texts, then what marker (the most frequent) follows
+   which, and the markers grouped;
 1. tokens are counted by state (partly in place, then by a shuffle);
 2. counts of (context, byte) follow from the distinct tokens; the subtree below each context of
    SPLIT bytes is worked out by itself, the levels above as keyed tables, upwards for P_w and
@@ -71,26 +72,42 @@ def tokens(text: str) -> list[bytes]:
 def markers(docs: DataFrame, training: Column, many: int = MARKERS, states: int = STATES) -> dict[bytes, int]:
     """The state, from 1, that each marker word leads to."""
 
+    def short(batches):
+        seen: Counter = Counter()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["a", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for part in slices(batch):
+                seen.update(w for t in part.column(0).to_pylist() for w in tokens(t) if len(w) <= MARKER_BYTES)
+                if len(seen) > HELD_TOKENS:
+                    yield rows()
+        yield rows()
+
+    text = docs.select(whole_text().alias("text"), training.alias("train")).where("train").select("text")
+    counted = text.mapInArrow(short, "a binary, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    top = [r.a for r in counted.orderBy(F.desc("n"), "a").limit(many).collect()]
+    if not top:
+        return {}
+    often = frozenset(map(bytes, top))
+
     def run(batches):
         follow: Counter = Counter()
         for batch in batches:
             for part in slices(batch):
-                docs_ = [[w for w in tokens(t) if len(w) <= MARKER_BYTES] for t in part.column(0).to_pylist()]
-                often = {w for w, _ in Counter(chain.from_iterable(docs_)).most_common(many)}
-                for words in docs_:
-                    marks = [w for w in words if w in often]
+                for t in part.column(0).to_pylist():
+                    marks = [w for w in tokens(t) if w in often]
                     follow.update(zip(marks, marks[1:], strict=False))
         pairs = list(follow)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary()), pa.array(list(follow.values()), pa.int64())], names=["a", "b", "n"])
 
-    text = docs.select(whole_text().alias("text"), training.alias("train")).where("train").select("text")
-    found = cut(text.mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "markers")
-    top = [r.a for r in found.groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(many).collect()]
-    if not top:
-        return {}
+    found = text.mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     at = {bytes(w): i for i, w in enumerate(top)}
     seen = np.zeros((len(top), len(top)))
-    for r in found.where(F.col("a").isin(*top) & F.col("b").isin(*top)).collect():  # at most MARKERS squared
+    for r in found.collect():  # at most MARKERS squared
         seen[at[bytes(r.a)], at[bytes(r.b)]] += r.n
     groups = group_markers(seen, states)
     return {w: groups[i] + 1 for w, i in at.items()}

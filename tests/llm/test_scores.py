@@ -29,6 +29,15 @@ def test_base_scores_and_odd_input(spark, odd, none):
     assert ctw.score(none, remainder("doc_id", 7) != 2).collect() == []
 
 
+def test_markers_do_not_depend_on_slices(spark):
+    """Words rare in every slice but frequent in all are markers; those frequent in one slice alone are not."""
+    rows = [(i, " ".join([f"h{i % 4}{j}" for j in range(8) for _ in range(3)] + ["wide"] * 2)) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    # wide: 16 times in all, twice in a slice; the others 6 times in all, 3 in a slice
+    assert b"wide" in ctw.markers(df, F.lit(True), many=4, states=2)
+    assert ctw.markers(df, F.lit(True), many=4, states=2) == ctw.markers(df.coalesce(1), F.lit(True), many=4, states=2)
+
+
 def test_tree_is_context_tree_weighting():
     """Against a direct recursion over the tree."""
     words = [b"the", b"then", b"than", b"at"]
