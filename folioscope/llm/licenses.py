@@ -1,11 +1,12 @@
 """Licence scans: a trained paragraph classifier, with DataFrame operations alone where data is read.
 
-Features of a paragraph (a line) are its distinct words and word pairs, as far as they stand in the
+A paragraph is a line, or all lines up to the next blank one together where that is surer. Its
+features are its distinct words and word pairs, as far as they stand in the
 statements below and are not common in the sampled lines. A softmax regression with an L1 penalty over them has one class per licence
 family and one for everything else; it is fitted on the driver on variants of the statements, on
 the sentences that only sound like licences, and on at most NEGATIVES lines of SAMPLE_DOCS
 documents (those of least hash). A temperature fitted on held-out examples calibrates the
-probabilities; where no family reaches THRESHOLD the paragraph is unknown.
+probabilities; where a family is likeliest but does not reach THRESHOLD the paragraph is unknown.
 
 A prediction is confirmed by comparing the paragraph with the family's statements: the share of
 common features in those of the smaller of the two.
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, whole_text
@@ -34,7 +36,7 @@ NEGATIVES, SAMPLE_DOCS = 2_000, 200
 #: Share of the sampled lines from which on a word is too common to be a feature by itself.
 COMMON = 0.02
 THRESHOLD, CONFIRM = 0.5, 0.6
-OTHER = "~other"
+OTHER, UNKNOWN = "~other", "unknown"
 
 #: Statements of public licences, by family.
 STATEMENTS: dict[str, list[str]] = {
@@ -249,26 +251,44 @@ def _quoted(x: str) -> str:
 def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD, confirm: float = CONFIRM) -> DataFrame:
     """Rows (doc_id, line, family, probability, similarity, confirmed) of all paragraphs that name a licence."""
     spark = docs.sparkSession
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(whole_text(), "\n")).alias("line", "text"))
-    worded = lines.select("doc_id", "line", _words(F.col("text")).alias("words"))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("t"), F.split(whole_text(), "\n").alias("lines"))
+    marked = lines.withColumn("full", F.transform("lines", lambda x: x.rlike(r"\S")))
+    spots = F.sequence(F.lit(0), F.size("lines") - 1)
+    at = lambda i: F.get(F.col("full"), i)
+    first = F.filter(spots, lambda i: at(i) & ~F.coalesce(at(i - 1), F.lit(False)))
+    last = F.filter(spots, lambda i: at(i) & ~F.coalesce(at(i + 1), F.lit(False)))
+    block = marked.select("doc_id", "t", "lines", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("b"))
+    block = block.select("doc_id", "t", F.col("b.first").alias("start"), F.slice("lines", F.col("b.first") + 1, F.col("b.last") - F.col("b.first") + 1).alias("part"))
+    # Each line, and all lines up to the next blank one together.
+    one = F.transform("part", lambda x, i: F.struct(i.alias("i"), F.lit(False).alias("whole"), x.alias("text")))
+    whole = F.when(F.size("part") > 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(True).alias("whole"), F.array_join("part", " ").alias("text")))).otherwise(F.slice(one, 1, 0))
+    pieces = block.select("doc_id", "t", "start", F.explode(F.concat(one, whole)).alias("x"))
+    worded = pieces.select("doc_id", "t", "start", (F.col("start") + F.col("x.i")).alias("line"), "x.whole", _words(F.col("x.text")).alias("words"))
     telling = F.expr(f"array({', '.join(map(_quoted, model.telling()))})")
     held = cut(worded.where(F.arrays_overlap("words", telling)).distinct(), "paragraphs")
+    keys = ["doc_id", "t", "start", "line", "whole", "h"]
     pairs = F.expr("CASE WHEN size(words) > 1 THEN transform(sequence(0, size(words) - 2), i -> concat(get(words, i), ' ', get(words, i + 1))) ELSE array() END")
-    keyed = held.select("doc_id", "line", F.xxhash64("words").alias("h"), F.array_distinct(F.concat("words", pairs)).alias("grams"))
+    keyed = held.select(*keys[:-1], F.xxhash64("words").alias("h"), F.array_distinct(F.concat("words", pairs)).alias("grams"))
     used = [i for i in range(len(model.grams)) if np.abs(model.weights[:, i]).max() > 0]
     rows = ", ".join(f"({_quoted(model.grams[i])}, {', '.join(f'{w!r}D' for w in model.weights[:, i].tolist())})" for i in used)
     columns = [f"w{c}" for c in range(len(model.classes))]
     weights = spark.sql(f"SELECT * FROM VALUES {rows} AS t(gram, {', '.join(columns)})")  # bounded by the statements
-    each = keyed.select("doc_id", "line", "h", F.explode_outer("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
-    sums = each.groupBy("doc_id", "line", "h").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns))
+    each = keyed.select(*keys, F.explode_outer("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
+    sums = each.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns))
     z = {name: (F.col(c) + float(b)) / model.temperature for c, name, b in zip(columns, model.classes, model.bias, strict=True)}
     top = F.greatest(*z.values())
     total = sum((F.exp(v - top) for v in z.values()), F.lit(0.0))
     best = F.coalesce(*(F.when(v == top, F.lit(name)) for name, v in z.items() if name != OTHER), F.lit(OTHER))
-    named = sums.select("doc_id", "line", "h", best.alias("family"), (1 / total).alias("probability")).where((F.col("family") != OTHER) & (F.col("probability") >= threshold))
+    named = sums.select(*keys, best.alias("best"), (1 / total).alias("probability")).where(F.col("best") != OTHER)
+    named = named.withColumn("family", F.when(F.col("probability") >= threshold, F.col("best")).otherwise(UNKNOWN))
+    # Of a paragraph's readings the surest kind: lines of a family, the whole with one, unknown lines, the unknown whole.
+    kind = F.when(F.col("family") != UNKNOWN, 2).otherwise(0) + F.when(F.col("whole"), 0).otherwise(1)
+    named = named.withColumn("kind", kind).withColumn("most", F.max("kind").over(W.partitionBy("doc_id", "t", "start"))).where("kind = most").drop("kind", "most")
     shown = ", ".join(f"({_quoted(f)}, array({', '.join(map(_quoted, sorted(features(t))))}))" for f, texts in STATEMENTS.items() for t in texts)
     statements = spark.sql(f"SELECT * FROM VALUES {shown} AS t(family, statement)")
-    met = named.join(keyed, (named["doc_id"].eqNullSafe(keyed["doc_id"])) & (named["line"] == keyed["line"]) & (named["h"] == keyed["h"])).select(named["doc_id"], named["line"], named["h"], "family", "probability", "grams")
+    same = [named[k].eqNullSafe(keyed[k]) if k == "doc_id" else named[k] == keyed[k] for k in keys]
+    met = named.join(keyed, same).select(*(named[k] for k in keys), "best", "family", "probability", "grams")
     alike = F.size(F.array_intersect("grams", "statement")) / F.least(F.size("grams"), F.size("statement"))
-    near = met.join(F.broadcast(statements), "family").groupBy("doc_id", "line", "h", "family", "probability").agg(F.max(alike).alias("similarity"))
-    return near.select("doc_id", "line", "family", "probability", "similarity", (F.col("similarity") >= confirm).alias("confirmed"))
+    near = met.join(F.broadcast(statements.withColumnRenamed("family", "best")), "best").groupBy(*keys, "family", "probability").agg(F.max(alike).alias("similarity"))
+    near = near.dropDuplicates(["doc_id", "line", "whole", "h"])
+    return near.select("doc_id", "line", "family", "probability", "similarity", ((F.col("similarity") >= confirm) & (F.col("family") != UNKNOWN)).alias("confirmed"))

@@ -138,6 +138,17 @@ def test_licences(spark, odd, none):
     assert licenses.scan(odd, model).collect() == [] and licenses.scan(none, model).collect() == []
 
 
+def test_wrapped_and_unknown_licences(spark, odd):
+    """Statements over several lines are read as one; below the threshold they are unknown."""
+    wrapped = "Intro.\n\nLicensed\nunder the\nApache\nLicense,\nVersion 2.0.\n\nEnd."
+    df = spark.createDataFrame([(1, wrapped)], "doc_id long, text string")
+    model = licenses.fit(licenses.sample_negatives(odd))
+    got = [(r.doc_id, r.line, r.family, r.confirmed) for r in licenses.scan(df, model).collect()]
+    assert got == [(1, 2, "apache", True)]
+    unknown = licenses.scan(df, model, threshold=1.01).collect()
+    assert unknown and all(r.family == "unknown" and not r.confirmed and 0 < r.probability <= 1 for r in unknown)
+
+
 def test_telling_words_lose_nothing():
     """No paragraph without a telling word can pass the class of everything else."""
     model = licenses.fit(["some words of the text", "and others of the kind"] * 30)
