@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,18 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if its rows, whose bytes are summed up, take no more than `most`."""
+    widths = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 24 if f.dataType.simpleString() in ("string", "binary") else F.lit(_width(f.dataType)) if not f.dataType.simpleString().startswith("array") else F.lit(24) + F.coalesce(F.size(f"`{f.name}`"), F.lit(0)) * _width(f.dataType.elementType) for f in df.schema.fields]
+    size = df.agg(F.sum(sum(widths, F.lit(16)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def _width(kind) -> int:
+    """Bytes of a value of fixed size in a row."""
+    return 24 + sum(_width(f.dataType) for f in kind.fields) if hasattr(kind, "fields") else 8
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -90,6 +103,20 @@ class Memo(dict):
             self.clear()
 
 
+class WordHashes(dict):
+    """64-bit hashes by word (bytes); memoised until trim() finds more than limit."""
+
+    limit = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        v = self[word] = xxhash.xxh3_64_intdigest(word)
+        return v
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+
+
 _KEPT: dict[Hashable, object] = {}
 
 

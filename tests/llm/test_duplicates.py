@@ -101,15 +101,18 @@ def brute_lines(rows, percent, least):
     return {d: t if not gone[d] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
 
 
-@pytest.mark.parametrize(("percent", "kept", "small"), [(90, 8, 1_000_000), (75, 1, 1_000_000), (60, 1, 0)])
-def test_line_dedup(spark, monkeypatch, percent, kept, small):
-    """With few candidates kept, the last round decides; with no broadcasts, joins do."""
+@pytest.mark.parametrize(("percent", "kept", "small", "pairs"), [(90, 8, 1 << 25, 1 << 30), (75, 1, 1 << 25, 0), (60, 1, 0, 1 << 30)])
+def test_line_dedup(spark, monkeypatch, percent, kept, small, pairs):
+    """With few candidates kept, the last round decides; with no broadcasts, joins do; with no pairs in place, blocks are dealt."""
     monkeypatch.setattr(line_dedup, "KEPT", kept)
     monkeypatch.setattr(line_dedup, "FIRST", 1)
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", small)
+    monkeypatch.setattr(line_dedup, "MANY_PAIRS", pairs)
+    monkeypatch.setattr(line_dedup, "PACKED_ROWS", 100)
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 300)
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, percent=percent).collect()} == brute_lines(rows, percent, 5)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, percent=percent, min_words=5).collect()} == brute_lines(rows, percent, 5)
 
 
 def test_line_dedup_odd_input(spark, odd, none):
@@ -139,7 +142,7 @@ def test_near_copied_lines_go(spark):
 
 def test_default_lines_are_brute_force(spark):
     rows = corpus(5)
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=line_dedup.ALL_LINES)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows, 75, 1)
 
 
