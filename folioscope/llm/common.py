@@ -9,7 +9,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,20 +102,6 @@ class Memo(dict):
             self.clear()
 
 
-class WordHashes(dict):
-    """64-bit hashes by word (bytes); memoised until trim() finds more than limit."""
-
-    limit = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-
-
 _KEPT: dict[Hashable, object] = {}
 
 

@@ -143,7 +143,8 @@ class _Words(Memo):
     """Ids by word; those of a word with a mark behind it are put together each time."""
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in _MARKS and word[-2:-1].isalpha() and word[-2] < "\u0180":  # marks are split from letters
+        # Marks are split from letters, but not from a combining sign, which the lower case of a letter may end in.
+        if word[-1:] in _MARKS and word[-2:-1].isalpha() and word[-2] < "\u0180" and len(word[-2].lower()) == 1:
             return self[word[:-1]] + self[word[-1]]
         return super().__missing__(word)
 
@@ -218,7 +219,8 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, chun
         for batch in batches:
             for part in slices(batch, 64):
                 for name, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    if size + len(x) // 4 > BLOCK_IDS and names:
+                    first = next((d for d in names if d is not None), name)
+                    if names and (size + len(x) // 4 > BLOCK_IDS or name is not None and name - first >> 62):
                         yield close()
                         start, size, seq = start + size, 0, seq + 1
                         names, held = [], []

@@ -29,20 +29,20 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WordHashes, cut, per_process, slices, small, whole_text
+from folioscope.llm import words
+from folioscope.llm.common import cut, slices, small, whole_text
 
 MIN_WORDS, PERCENT = 1, 75
 #: Counters of words (a power of two; above it words share them), sets remembered as sent by a task.
-COUNTERS, SENT_ENTRIES = 1 << 20, 250_000
+COUNTERS, SENT_ENTRIES = 1 << 20, 100_000
 #: Prefix rows of a bucket aimed at, held back by a task, and of a packed row; pairs, and rows, from which a bucket is dealt in blocks of BUCKET_ROWS.
-BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, MANY_PAIRS, MANY_ROWS = 50_000, 400_000, 2_000, 200_000_000, 1_000_000
+BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, MANY_PAIRS, MANY_ROWS = 50_000, 200_000, 2_000, 200_000_000, 1_000_000
 #: Words from which a set has a wide parity map.
 WIDE = 128
 #: Candidates verified first, and kept, for each set; sets with more of them are taken up again if need be.
@@ -62,22 +62,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _groups(part, min_words: int, order: np.ndarray | None = None):
     """For up to _GROUP lines of an Arrow slice (doc_id, text, h) at a time: doc ids, hashes and line numbers of
     those with a set, and its words: their owner, their hash in the order of words, the sets' starts and sizes, and sids."""
-    words = per_process("words", WordHashes)
-    words.trim()
-    names, hashes, numbers, counts, flat = [], [], [], [], []
-    for doc_id, text, h in zip(*(c.to_pylist() for c in part.columns), strict=True):
-        for i, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
-            if w := line.split():
-                names.append(doc_id)
-                hashes.append(h)
-                numbers.append(i)
-                counts.append(len(w))
-                flat.append(w)
-    if not names:
+    of_text, lines, counts, all_keys = words.of_lines(part.column(1))
+    if not len(lines):
         return
-    all_keys = np.fromiter(map(words.__getitem__, chain.from_iterable(flat)), np.uint64, sum(counts)) >> np.uint64(64 - _BITS)
-    of = [np.array(names), np.array(hashes), np.array(numbers, np.int32)]
-    counts = np.array(counts)
+    all_keys >>= np.uint64(64 - _BITS)
+    of = [part.column(0).to_numpy()[of_text], part.column(2).to_numpy()[of_text], lines.astype(np.int32)]
     ends = np.r_[0, np.cumsum(counts)]
     for a in range(0, len(counts), _GROUP):
         b = min(a + _GROUP, len(counts))
@@ -116,7 +105,7 @@ def _lines(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
     def run(batches):
         counts, held, size, prefixes = np.zeros(COUNTERS, np.uint32), [], 0, 0
         for batch in batches:
-            for part in slices(batch, 128):
+            for part in words.slices(batch, 1):
                 for (names, hashes, numbers), (_, keys, _), _, n, sid in _groups(part, min_words):
                     none = pa.nulls(len(n))
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(hashes), pa.array(numbers), pa.array(sid), none.cast(pa.binary()), none.cast(pa.int64())], names=["doc_id", "h", "line", "sid", "counts", "prefixes"])
@@ -211,14 +200,15 @@ def _emitted(docs: DataFrame, order: np.ndarray, buckets: int, min_words: int, p
 
     def run(batches):
         order = ranks.value
-        sent: dict[int, tuple[int, int]] = {}
+        sent: dict[int, int] = {}
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, 128):
+            for part in words.slices(batch, 1):
                 for (names, _, numbers), (owner, keys, mixed), starts, n, sid in _groups(part, min_words, order):
                     good = np.ones(len(n), bool)
-                    for i, (s, *at) in enumerate(zip(sid.tolist(), names.tolist(), numbers.tolist(), strict=True)):  # a set is sent again only for an earlier line
-                        if s in sent and sent[s] <= at:
+                    for i, (s, doc, line) in enumerate(zip(sid.tolist(), names.tolist(), numbers.tolist(), strict=True)):  # a set is sent again only for an earlier line
+                        at = doc << 32 | line
+                        if sent.get(s, at + 1) <= at:
                             good[i] = False
                         else:
                             sent[s] = at

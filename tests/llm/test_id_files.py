@@ -33,11 +33,19 @@ def test_chunked_is_whole():
         spec = f.read()
     a, b = id_files.WordEncoder(spec, 2), id_files.WordEncoder(spec, 2, chunked=False)
     random.seed(5)
-    parts = ["élan", "Straße", "THE", "thing.", "été,", " ", "\n", "\t", "'s", "Σ", "ς", "İx", "ǅ", "é", "12", "??", "<|endoftext|>", "<|ENDOFTEXT|>", "日本", "　"]
+    parts = ["élan", "Straße", "THE", "thing.", "été,", " ", "\n", "\t", "'s", "Σ", "ς", "İx", "İ", "İ,", "TARİHİ.", ",", ".", "ǅ", "é", "12", "??", "<|endoftext|>", "<|ENDOFTEXT|>", "日本", "　"]
     texts = ["".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(4000)]
     assert a.encode(texts) == b.encode(texts)
 
 
+def test_far_ids(spark):
+    """Hashed 64-bit ids: a block ends before its ids lie too far apart."""
+    ids = [-(1 << 63), -5, 0, 1, (1 << 62) + 7, (1 << 63) - 1]
+    path = scratch(spark, "far")
+    id_files.write(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").coalesce(1), path, FILE)
+    assert sorted(r.doc_id for r in id_files.read(spark, path).collect()) == ids
+
+
 def test_blocks_and_odd_input(spark, odd, none):
     path = scratch(spark, "ids")
     id_files.write(odd, path, FILE)
