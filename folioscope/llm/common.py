@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,17 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more, and lets Spark drop the shuffles that led to them."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if its rows, whose bytes are summed up, take no more than `most`."""
     widths = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 24 if f.dataType.simpleString() in ("string", "binary") else F.lit(_width(f.dataType)) if not f.dataType.simpleString().startswith("array") else F.lit(24) + F.coalesce(F.size(f"`{f.name}`"), F.lit(0)) * _width(f.dataType.elementType) for f in df.schema.fields]
@@ -115,7 +127,21 @@ def per_process(key: Hashable, make: Callable[[], object]):
 
 
 def release() -> None:
-    """Gives freed memory back to the system, where the C library can."""
+    """Gives freed memory back to the system, where the C library can; from now on large arrays at once."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+        lib = ctypes.CDLL(None)
+        lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows
+        lib.malloc_trim(0)
+
+
+def released(run):
+    """The Arrow function run, giving memory back before and after each task."""
+
+    def wrapped(batches):
+        release()
+        yield from run(batches)
+        release()
+
+    return wrapped

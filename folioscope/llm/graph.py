@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, forget
 
 
 def components(edges: DataFrame, what: str = "cc") -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame, what: str = "cc") -> DataFrame:
         if not after.count():
             return _with_roots(after)
         same = after.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(after, ["a", "b"], "left_anti").isEmpty()
+        forget(edges.sparkSession, now)
         now = after
         if same:
             return _with_roots(now)

@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import words
-from folioscope.llm.common import cut, slices, small, whole_text
+from folioscope.llm.common import cut, released, slices, small, whole_text
 
 MIN_WORDS, PERCENT = 1, 75
 #: Counters of words (a power of two; above it words share them), sets remembered as sent by a task.
 COUNTERS, SENT_ENTRIES = 1 << 20, 100_000
 #: Prefix rows of a bucket aimed at, held back by a task, and of a packed row; pairs, and rows, from which a bucket is dealt in blocks of BUCKET_ROWS.
-BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, MANY_PAIRS, MANY_ROWS = 50_000, 200_000, 2_000, 200_000_000, 1_000_000
+BUCKET_ROWS, HELD_ROWS, PACKED_ROWS, MANY_PAIRS, MANY_ROWS = 50_000, 200_000, 500, 200_000_000, 1_000_000
 #: Words from which a set has a wide parity map.
 WIDE = 128
 #: Candidates verified first, and kept, for each set; sets with more of them are taken up again if need be.
@@ -121,7 +121,7 @@ def _lines(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
             none = pa.nulls(1)
             yield pa.RecordBatch.from_arrays([*(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())), pa.array([zlib.compress(counts, 1)]), pa.array([prefixes])], names=["doc_id", "h", "line", "sid", "counts", "prefixes"])
 
-    return docs.mapInArrow(run, _LINES)
+    return docs.mapInArrow(released(run), _LINES)
 
 
 def _order(counted: DataFrame) -> tuple[np.ndarray, int]:
@@ -230,7 +230,7 @@ def _emitted(docs: DataFrame, order: np.ndarray, buckets: int, min_words: int, p
         if size:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "bucket int, rows binary")
+    return docs.mapInArrow(released(run), "bucket int, rows binary")
 
 
 # --- candidates ---------------------------------------------------------------------------------
@@ -259,7 +259,7 @@ def _met(r, reach, percent: int, sides=None):
     size, pos = r["size"].astype(np.int64), r["pos"].astype(np.int64)
     a = 0
     while a < len(reach):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 500_000, "right")))
         c = reach[a:b]
         i = np.repeat(np.arange(a, b), c)
         if len(i):
@@ -303,7 +303,7 @@ def _paired(r, reach, percent: int, sides=None):
     for some in _met(r, reach, percent, sides):
         found.append(some)
         size += len(some[0])
-        if size > 2_000_000:
+        if size > 1_000_000:
             found = [_nearest(r, found)]
             size = len(found[0][0])
     x, y, apart = _nearest(r, found) if found else (np.zeros(0, np.int64),) * 3
@@ -371,7 +371,7 @@ def _candidates(packed: DataFrame, first: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(got, names=_PAIRS)
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = cut(dealt.mapInArrow(run, f"{_FOUND}, bucket int, block int, rows binary"), "candidates")
+    found = cut(dealt.mapInArrow(released(run), f"{_FOUND}, bucket int, block int, rows binary"), "candidates")
     pairs, blocks = found.where("rows is null").select(*_PAIRS), found.where("rows is not null").select("bucket", "block", "rows")
     if blocks.isEmpty():
         return pairs
@@ -381,7 +381,7 @@ def _candidates(packed: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     both = both.repartition("bucket", "block", "other").select("left", F.when(F.col("block") != F.col("other"), F.col("right")).alias("right"))
     # Two blocks do not know of a set's copies in a third: what is said of another place than its first is dropped.
     places = first.select(F.col("sid").alias("x"), F.col("at.doc_id").alias("x_doc"), F.col("at.line").alias("x_line"))
-    return pairs.unionByName(both.mapInArrow(cross, _FOUND).join(places, ["x", "x_doc", "x_line"], "left_semi").select(*_PAIRS))
+    return pairs.unionByName(both.mapInArrow(released(cross), _FOUND).join(places, ["x", "x_doc", "x_line"], "left_semi").select(*_PAIRS))
 
 
 def _all_candidates(packed: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
@@ -408,13 +408,55 @@ def _all_candidates(packed: DataFrame, open_: DataFrame, percent: int) -> DataFr
     return met.select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
 
 
+def _scanned(docs: DataFrame, first: DataFrame, open_: DataFrame, min_words: int, percent: int) -> DataFrame | None:
+    """Rows (x, y): all earlier sets y that the sets x in open_ are alike by their words' hashes, by a scan of all lines.
+
+    None if the lines of open_ take more than BROADCAST_BYTES.
+    """
+    places = cut(open_.join(first, F.col("x") == F.col("sid")).select("sid", "at.*"), "open")
+    texts = docs.join(_small(places.select("doc_id", "h").distinct()), ["doc_id", "h"], "left_semi")
+    lines = texts.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    got = cut(lines.join(_small(places), ["doc_id", "h", "line"]).select("sid", "doc_id", "line", "words").dropDuplicates(["sid"]), "lines")
+    if (got.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0) > BROADCAST_BYTES:
+        return None
+    rows = sorted(got.collect())
+    keys, counts = words.of_texts(pa.array([r.words for r in rows]))
+    sets = [np.unique(x >> np.uint64(64 - _BITS)) for x in np.split(keys, np.cumsum(counts)[:-1])]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    by = np.argsort(flat, kind="stable")
+    held = docs.sparkSession.sparkContext.broadcast((flat[by], owner[by], [len(x) for x in sets], [(r.doc_id, r.line, r.sid) for r in rows]))
+
+    def run(batches):
+        index, of, sizes, at = held.value
+        sizes = np.array(sizes)
+        place = np.array([x[:2] for x in at], np.int64)
+        sids = np.array([x[2] for x in at], np.int64)
+        for batch in batches:
+            for part in words.slices(batch, 1):
+                for (names, _, numbers), (line, keys, _), _, n, sid in _groups(part, min_words):
+                    lo = np.searchsorted(index, keys)
+                    many = np.searchsorted(index, keys, "right") - lo
+                    total = int(many.sum())
+                    if not total:
+                        continue
+                    pick = np.repeat(lo, many) + np.arange(total) - np.repeat(np.cumsum(many) - many, many)
+                    pair, both = np.unique(np.repeat(line, many) * len(sizes) + of[pick], return_counts=True)
+                    i, j = pair // len(sizes), pair % len(sizes)
+                    earlier = (names[i] < place[j, 0]) | (names[i] == place[j, 0]) & (numbers[i] < place[j, 1])
+                    ok = earlier & (100 * both >= percent * (n[i] + sizes[j] - both)) & (sid[i] != sids[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(sids[j[ok]]), pa.array(sid[i[ok]])], names=["x", "y"])
+
+    return docs.mapInArrow(released(run), "x long, y long").distinct()
+
+
 def _small(df: DataFrame) -> DataFrame:
     return small(df, BROADCAST_BYTES)
 
 
 def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The sets x of pairs (x, y) that are alike one of their y, compared on the words of the lines they first stand in."""
-    wanted = cut(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(first, "sid").select("sid", "at.*"), "wanted")
+    wanted = _small(cut(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "sids"))
+    wanted = cut(first.join(wanted, "sid").select("sid", "at.*"), "wanted")
     texts = docs.join(_small(wanted.select("doc_id", "h").distinct()), ["doc_id", "h"], "left_semi")
     lines = texts.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     got = lines.join(_small(wanted), ["doc_id", "h", "line"]).select("sid", "words")
@@ -442,7 +484,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     order, prefixes = _order(found.where("counts is not null"))
     buckets = 1 << max(0, (prefixes // BUCKET_ROWS).bit_length())
     packed = _emitted(work, order, min(buckets, 1 << 30), min_words, percent)
-    first = cut(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "line", "h")).alias("at")), "first")
+    first = cut(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "line", "h")).alias("at"), F.count("*").alias("times")), "first")
     pairs = _candidates(packed, first, percent).groupBy("x", "y").agg(F.min("apart").alias("apart"), F.min(F.struct("y_doc", "y_line")).alias("y_at"))
     ranked = pairs.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("apart", "y_at", "y"))).alias("all"))
     best = cut(ranked.select("x", F.slice("all.y", 1, KEPT).alias("some"), (F.size("all") > KEPT).alias("more")), "pairs")
@@ -454,9 +496,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         alike = cut(alike.unionByName(_verified(flat(second, F.slice("some", FIRST + 1, KEPT)), first, work, percent)), "alike")
     open_ = left.where("more").select("x").join(alike, "x", "left_anti")
     if not open_.isEmpty():
-        alike = cut(alike.unionByName(_verified(cut(_all_candidates(packed, open_, percent), "all"), first, work, percent)).distinct(), "alike")
-    marked = first.join(alike.select(F.col("x").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
-    met = lines.join(marked, "sid").where(F.col("gone") | (F.struct("doc_id", "line", "h") != F.col("at")))
+        if (rest := _scanned(work, first, open_, min_words, percent)) is None:
+            rest = _all_candidates(packed, open_, percent)
+        alike = cut(alike.unionByName(_verified(cut(rest, "all"), first, work, percent)).distinct(), "alike")
+    # Only sets that stand in several places, or are alike an earlier one, have lines that go.
+    marked = first.join(alike.select(F.col("x").alias("sid"), F.lit(True).alias("gone")), "sid", "left").where("times > 1 or gone")
+    met = lines.join(_small(cut(marked.select("sid", "at", "gone"), "marked")), "sid").where(F.col("gone") | (F.struct("doc_id", "line", "h") != F.col("at")))
     return met.select("doc_id", "h", "line")
 
 
@@ -467,7 +512,7 @@ def _work(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the lines that go: its columns, with text shortened, and n_lines and n_removed."""
-    gone = cut(_masks(removed_lines(docs, percent, min_words).distinct().groupBy("doc_id", "h").agg(F.collect_list("line").alias("gone"))), "gone")
+    gone = cut(_masks(removed_lines(docs, percent, min_words).groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))), "gone")
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(whole_text()).alias("__h"))
     marks = gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__of"), F.col("mask").alias("__mask"), F.col("many").alias("__many"))

@@ -35,39 +35,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, per_process, slices, whole_text
+from folioscope.llm import words as words_
+from folioscope.llm.common import cut, forget, released, small, whole_text
 from folioscope.llm.graph import components
 
 #: Frequent shingles that order prefixes; weight (shingles) of one side of a unit; sixteenths of the hash space that the second pass emits.
-HOT, UNIT_WEIGHT, SHARE = 100_000, 400_000, 6
-#: Rows up to which the candidates' ids are broadcast to fetch their texts; beyond, they are joined.
-BROADCAST_ROWS = 1_000_000
-MEMO_ENTRIES = 500_000
+HOT, UNIT_WEIGHT, SHARE = 100_000, 200_000, 6
+#: Bytes up to which the candidates' ids are broadcast to fetch their texts; beyond, they are joined.
+BROADCAST_BYTES = 32 << 20
+#: Sets remembered as sent by a task; rows of one shingle held by one; a set is broadcast if more than one in OFTEN documents has it.
+SENT_ENTRIES, CROWD, OFTEN = 250_000, 1 << 20, 1_000
 BITS, LEAF, FAN = 1024, 16, 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word):
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
+def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles (A-Z in lower case, words between white space)."""
+    h, counts = words_.of_texts(texts)
+    whole = np.full(max(0, len(h) - words + 1), words, np.uint64)
+    for i in range(words):
+        whole = (whole ^ h[i : len(h) - words + 1 + i]) * _P
+        whole ^= whole >> np.uint64(29)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= words:
+            out.append(np.unique(whole[at : at + n - words + 1]))
+        elif n:
+            short = np.full(1, n, np.uint64)
+            for i in range(n):
+                short = (short ^ h[at + i]) * _P
+                short ^= short >> np.uint64(29)
+            out.append(short)
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += n
+    return out
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles (A-Z in lower case, words between white space)."""
-    words_of = per_process("near_duplicates", _Words)
-    if len(words_of) > MEMO_ENTRIES:
-        words_of.clear()
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words_of.__getitem__, parts), np.uint64, len(parts))
-    k = min(words, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = (out ^ h[i : len(h) - k + 1 + i]) * _P
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return shingle_sets(pa.array([text]), words)[0]
 
 
 def _sid(s: np.ndarray) -> int:
@@ -80,7 +86,7 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, n, sid, key, times): one per text, and one per shingle that repeats among nearby texts."""
+    """Rows (doc_id, t, n, sid, key, times): one per text, and one per shingle that repeats among nearby texts."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -91,13 +97,13 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             often = times >= 4
             k, t = keys[often].view(np.int64), times[often]
             none = pa.nulls(len(k), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(k), pa.array(t.astype(np.int64))], names=["doc_id", "n", "sid", "key", "times"])
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(k), pa.array(t.astype(np.int64))], names=["doc_id", "t", "n", "sid", "key", "times"])
 
         for batch in batches:
-            for part in slices(batch):
-                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+            for part in words_.slices(batch, 1):
+                sets = shingle_sets(part.column(1), words)
                 blank = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sid(s) for s in sets], pa.int64()), blank, blank], names=["doc_id", "n", "sid", "key", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sid(s) for s in sets], pa.int64()), blank, blank], names=["doc_id", "t", "n", "sid", "key", "times"])
                 held += sets
                 size += sum(map(len, sets))
                 if size > 2_000_000:
@@ -106,7 +112,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield repeated()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, key long, times long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(released(run), "doc_id long, t long, n long, sid long, key long, times long")
 
 
 def _emitted(docs: DataFrame, hot, words: int, percent: int) -> DataFrame:
@@ -117,10 +123,9 @@ def _emitted(docs: DataFrame, hot, words: int, percent: int) -> DataFrame:
         hot_keys, hot_rank = hot.value
         sent: set[int] = set()  # copies of a set need not be sent again; forgetting some is harmless
         for batch in batches:
-            for part in slices(batch):
+            for part in words_.slices(batch, 0):
                 keys, sids, kinds = [], [], []
-                for text in part.column(0).to_pylist():
-                    s = shingles(text, words)
+                for s in shingle_sets(part.column(0), words):
                     n = len(s)
                     sid = _sid(s)
                     if not n or sid in sent:
@@ -142,55 +147,76 @@ def _emitted(docs: DataFrame, hot, words: int, percent: int) -> DataFrame:
                     keys += [cold[:cut_at].view(np.int64), fill.view(np.int64), np.array([sid])]
                     sids.append(np.full(cut_at + len(fill) + 1, sid))
                     kinds.append(np.concatenate([np.zeros(cut_at, np.int64), np.ones(len(fill), np.int64), [2 + (n << 31 | cut_at)]]))
-                if len(sent) > MEMO_ENTRIES:
+                if len(sent) > SENT_ENTRIES:
                     sent.clear()
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sids, kinds)], names=["key", "sid", "kind"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long, kind long")
+    return docs.select("text").mapInArrow(released(run), "key long, sid long, kind long")
+
+
+def _runs(batches, columns: int, most: int | None = None):
+    """Sorted record batches as numpy columns, cut so that equal values of the first stay together, and False.
 
+    A run of more than `most` rows comes alone and in pieces, with True.
+    """
+    held: list = []
+    size, key, crowded = 0, None, False
+
+    def joined(parts):
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
 
-def _runs(batches, columns: int):
-    """Sorted record batches as numpy columns, cut so that equal values of the first stay together."""
-    held = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
         now = [batch.column(i).to_numpy() for i in range(columns)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        last = int(np.searchsorted(now[0], now[0][-1])) if now[0][0] != now[0][-1] else 0
-        if last:
-            yield [x[:last] for x in now]
-        held = [x[last:] for x in now]
-    if held is not None and len(held[0]):
-        yield held
+        if not len(now[0]):
+            continue
+        end = 0 if key is None else int(np.searchsorted(now[0], key, "right"))
+        if end < len(now[0]):  # the run that was held, if any, ends here
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if crowded and size + end:
+                yield joined([*held, [x[:end] for x in now]]), True
+                held, size = [], 0
+            elif crowded:
+                held, size = [], 0
+            whole = [*held, [x[end if crowded else 0 : last] for x in now]]
+            if sum(len(x[0]) for x in whole):
+                yield joined(whole), False
+            held, key, crowded = [[x[last:] for x in now]], now[0][-1], False
+            size = len(held[0][0])
+        else:
+            held.append(now)
+            size += end
+        if most and size > most:
+            yield joined(held), True
+            held, size, crowded = [], 0, True
+    if size:
+        yield joined(held), crowded
 
 
 def _shared(emitted: DataFrame) -> DataFrame:
-    """Of the emitted rows those whose shingle several sets have (df > 1), and each set's own row (df 0)."""
+    """Of the emitted rows those whose shingle several sets have (df > 1, counted up to CROWD), and each set's own row (df 0)."""
 
     def run(batches):
-        for key, sid, kind in _runs(batches, 3):
+        for (key, sid, kind), crowded in _runs(batches, 3, CROWD):
             first = np.ones(len(key), bool)  # copies send the same rows
             first[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]) | (kind[1:] != kind[:-1])
             key, sid, kind = key[first], sid[first], kind[first]
             own = kind >= 2
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            count = np.add.reduceat((~own).astype(np.int64), starts)
+            count = np.full(len(starts), CROWD) if crowded else np.add.reduceat((~own).astype(np.int64), starts)
             df = np.repeat(count, np.diff(np.r_[starts, len(key)]))
             keep = own | (df > 1)
             yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(key[keep]), pa.array(np.where(own, 0, df)[keep]), pa.array(kind[keep])], names=["sid", "key", "df", "kind"])
 
     dealt = emitted.repartition("key").sortWithinPartitions("key", "sid", "kind")
-    return dealt.mapInArrow(run, "sid long, key long, df long, kind long")
+    return dealt.mapInArrow(released(run), "sid long, key long, df long, kind long")
 
 
 def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
     """Rows (key, sid, n): the shared shingles in the prefixes of sets that can have a partner."""
 
     def run(batches):
-        for sid, key, df, kind in _runs(batches, 4):
+        for (sid, key, df, kind), _ in _runs(batches, 4):
             starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
             ends = np.r_[starts[1:], len(sid)]
             keys, sids, sizes = [], [], []
@@ -212,22 +238,29 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sids, sizes)], names=["key", "sid", "n"])
 
     dealt = shared.repartition("sid").sortWithinPartitions("sid", "df", "kind", "key")
-    return dealt.mapInArrow(run, "key long, sid long, n long")
+    return dealt.mapInArrow(released(run), "key long, sid long, n long")
 
 
 def _candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Stars over sets with a common prefix shingle, cut where sizes are too far apart."""
+    """Stars over sets with a common prefix shingle, cut where sizes are too far apart; rows stream, none is held."""
 
     def run(batches):
-        for key, sid, n in _runs(batches, 3):
-            new = np.r_[True, (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])]
-            leader = sid[np.flatnonzero(new)][np.cumsum(new) - 1]
-            pick = leader != sid
-            pairs = np.unique(np.stack([leader[pick], sid[pick]], 1), axis=0)
+        was = leader = None
+        for batch in batches:
+            key, sid, n = (batch.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
+            goes_on = was is not None and was[0] == key[0] and 100 * was[1] >= percent * n[0]
+            new = np.r_[not goes_on, (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            leaders = np.where(at >= 0, sid[at], leader if goes_on else 0)
+            was, leader = (key[-1], n[-1]), leaders[-1]
+            pick = leaders != sid
+            pairs = np.unique(np.stack([leaders[pick], sid[pick]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     dealt = prefixes.repartition("key").sortWithinPartitions("key", "n", "sid")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 # --- signature trees ---------------------------------------------------------------------------
@@ -329,8 +362,9 @@ def _compare(table: pa.Table, words: int, percent: int) -> pa.Table:
     for side in (0, 1):
         found = {}
         rows = table.filter(pc.equal(table["side"], side))
-        for sid, label, text in zip(rows["sid"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist(), strict=True):
-            if sid not in found and _sid(s := shingles(text, words)) == sid:  # a repeated doc_id may bring other texts
+        texts = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
+        for sid, label, s in zip(rows["sid"].to_pylist(), rows["label"].to_pylist(), shingle_sets(texts, words), strict=True):
+            if sid not in found and _sid(s) == sid:
                 found[sid] = s, label
         order = sorted(found, key=lambda x: (len(found[x][0]), x))
         sides.append((order, [found[x][0] for x in order], [found[x][1] for x in order]))
@@ -358,15 +392,18 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     found = cut(_sets(work, words), "sets")
-    sets = found.where("n is not null").select("doc_id", "n", "sid")
+    sets = found.where("n is not null").select("doc_id", "t", "n", "sid")
     often = found.where("key is not null").groupBy("key").agg(F.sum("times").alias("times")).where("times >= 64").orderBy(F.desc("times"), "key").limit(HOT).toArrow()
     keys = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     hot = spark.sparkContext.broadcast((keys[order], (len(keys) - 1 - np.arange(len(keys)))[order]))  # the most frequent last
     prefixes = cut(_prefixes(_shared(_emitted(work.where("doc_id is not null"), hot, words, percent)), percent), "prefixes")
-    groups = components(_candidate_edges(prefixes, percent), "groups").select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    owners = sets.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = groups.join(owners, "sid")
+    forget(spark)
+    grouped = components(_candidate_edges(prefixes, percent), "groups")
+    forget(spark, prefixes)
+    groups = grouped.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    owners = cut(sets.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("n").alias("n"), F.count("*").alias("times")), "owners")
+    members = groups.join(owners.select("sid", "at.doc_id", "at.t", "n"), "sid")
     # Parts of bounded weight: by step of size, then by hash.
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(1.15)).cast("int")
     sized = members.withColumn("step", step)
@@ -375,11 +412,10 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     whole = F.col("weight") <= UNIT_WEIGHT
     parts = F.greatest(F.lit(1), F.ceil(F.col("step_weight") / UNIT_WEIGHT)).cast("int")
     dealt = sized.join(weight, "comp").join(by_step, ["comp", "step"])
-    dealt = dealt.select("sid", "comp", "doc_id", "n", F.when(whole, F.lit(-1)).otherwise(F.col("step")).alias("step"), F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64("sid"), parts)).cast("int").alias("deal"))
+    dealt = dealt.select("sid", "comp", "doc_id", "t", "n", F.when(whole, F.lit(-1)).otherwise(F.col("step")).alias("step"), F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64("sid"), parts)).cast("int").alias("deal"))
     dealt = cut(dealt.withColumn("part", F.concat_ws(":", "step", "deal")), "dealt")
-    wanted = dealt.select("doc_id", "sid", "comp", "part")
-    wanted = F.broadcast(wanted) if dealt.count() <= BROADCAST_ROWS else wanted
-    texts = cut(work.join(wanted, "doc_id").select("comp", "part", "sid", "text"), "texts")
+    wanted = small(dealt.select("doc_id", "t", "sid", "comp", "part"), BROADCAST_BYTES)
+    texts = cut(_once(work.withColumn("t", F.xxhash64("text")).join(wanted, ["doc_id", "t"]).select("comp", "part", "sid", "text")), "texts")
     spots = dealt.select("comp", "part", "step", "deal").distinct()
     other = spots.select("comp", F.col("part").alias("part2"), F.col("step").alias("step2"), F.col("deal").alias("deal2"))
     reach = int(math.ceil(math.log(100 / percent) / math.log(1.15))) + 1
@@ -400,7 +436,39 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         ranged = some.join(seen, ["comp", "part"]).join(seen.select("comp", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), ["comp", "part2"])
         open_ = ranged.where("lo <> hi OR lo2 <> hi2 OR lo <> lo2")
         links = links.unionByName(cut(_links(sided(open_), labelled, words, percent), "links"))
+        forget(spark, known, labelled)
+    forget(spark, dealt, texts, grouped)
     linked = components(links, "classes").select(F.col("node").alias("sid"), "component")
-    node = sets.join(linked, "sid", "left").withColumn("class", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "sid")))
-    least = node.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return node.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # Documents meet their sets' classes; sets that many documents have are broadcast, at most OFTEN of them.
+    classed = owners.join(linked, "sid", "left").select("sid", "times", F.col("at.doc_id").alias("least"), F.coalesce("component", "sid").alias("class"))
+    least = classed.groupBy("class").agg(F.min("least").alias("component_id"))
+    of_set = cut(classed.join(least, "class").select("sid", "times", "component_id"), "of_set")
+    many = of_set.agg(F.sum("times")).first()[0] or 0
+    common = of_set.where(F.col("times") * OFTEN > many).select("sid", "component_id")
+    rest = of_set.where(F.col("times") * OFTEN <= many).select("sid", "component_id")
+    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    is_common = F.coalesce(F.col("is_common"), F.lit(False))
+    marked = sets.join(F.broadcast(common.select("sid", F.col("component_id").alias("of_common"), F.lit(True).alias("is_common"))), "sid", "left")
+    out = lambda df, c: df.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"))
+    return (
+        out(marked.where(is_common & linkable), F.col("of_common"))
+        .unionByName(out(marked.where(~is_common & linkable).join(rest, "sid"), F.col("component_id")))
+        .unionByName(out(sets.where(~linkable), F.col("doc_id")))
+    )
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """texts (comp, part, sid, text) with a set that a task has sent lately left out: a row may be repeated many times."""
+
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            new = []
+            for sid in batch.column(2).to_pylist():
+                new.append(sid not in sent)
+                sent.add(sid)
+            if len(sent) > SENT_ENTRIES:
+                sent.clear()
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return texts.mapInArrow(released(run), texts.schema)

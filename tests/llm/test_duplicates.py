@@ -66,7 +66,7 @@ def test_near_duplicates(spark, monkeypatch, weight):
 
 
 def test_near_duplicates_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near_duplicates, "BROADCAST_BYTES", 0)
     rows = corpus(2, 6)
     got = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_classes(rows)
@@ -140,6 +140,16 @@ def test_near_copied_lines_go(spark):
     assert got == {1: 0, 2: 1, 3: 0}
 
 
+def test_lines_without_any_kept(spark, monkeypatch):
+    """Where the nearest candidates fail, all earlier lines are looked through, by a scan or a join."""
+    monkeypatch.setattr(line_dedup, "KEPT", 0)
+    rows = corpus(6, 12)
+    for bound in (1 << 25, 10):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bound)
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows, 75, 1)
+
+
 def test_default_lines_are_brute_force(spark):
     rows = corpus(5)
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
