@@ -126,9 +126,10 @@ def per_process(key: Hashable, make: Callable[[], object]):
     return _KEPT[key]
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Gives freed memory back to the system, where the C library can; from now on large arrays at once."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         lib = ctypes.CDLL(None)
@@ -137,11 +138,11 @@ def release() -> None:
 
 
 def released(run):
-    """The Arrow function run, giving memory back before and after each task."""
+    """The Arrow function run, giving memory back after each task."""
 
     def wrapped(batches):
-        release()
+        release(collect=False)
         yield from run(batches)
-        release()
+        release(collect=False)
 
     return wrapped

@@ -421,7 +421,7 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
     counted = cut(count_steps(types, depth), "steps")
     predictions = cut(predict(counted, depth), "predictions")
     scored = _token_scores(types, predictions, depth, broadcast_predictions).withColumn("p", token)
-    scored = cut(scored.select("tok", "c", lps.cast("array<float>").alias("lps")), "tokens")
+    scored = cut(scored.select("tok", "c", lps.alias("lps")), "tokens")
     top = scored.orderBy(F.desc("c"), "tok").limit(head).toArrow()  # a fixed number
     held = spark.sparkContext.broadcast((top.column("tok").to_pylist(), top.column("c").to_pylist(), top.column("lps").combine_chunks().flatten().to_numpy(), states))
     total = float(n + v + 1)

@@ -2,14 +2,18 @@
 
 A paragraph is a line, or all lines up to the next blank one together where that is surer. Its
 features are its distinct words and word pairs, as far as they stand in the
-statements below and are not common in the sampled lines. A softmax regression with an L1 penalty over them has one class per licence
-family and one for everything else; it is fitted on the driver on variants of the statements, on
-the sentences that only sound like licences, and on at most NEGATIVES lines of SAMPLE_DOCS
-documents (those of least hash). A temperature fitted on held-out examples calibrates the
-probabilities; where a family is likeliest but does not reach THRESHOLD the paragraph is unknown.
-
-A prediction is confirmed by comparing the paragraph with the family's statements: the share of
-common features in those of the smaller of the two.
+statements below and are not common in the sampled lines. A softmax regression with an L1 penalty
+over them has one class per licence family, one of unlisted licences and one for everything else;
+it is fitted on the driver on variants of the statements, on statements of other licences and the
+listed ones without the words that tell their family, on sentences that only sound like licences,
+and on at most NEGATIVES lines of SAMPLE_DOCS documents (those of least hash). A temperature
+fitted on statements held out as a whole calibrates the probabilities.
+
+A prediction is confirmed by comparing the paragraph with the family's statements: the weight of
+the common features over that of the lighter of the two, a feature weighing more the fewer kinds
+of licences have it (those in no statement weigh most). A paragraph is of a family where that
+reaches THRESHOLD and the comparison CONFIRM; other paragraphs that are likeliest a licence are
+unknown.
 
 Only paragraphs that hold a telling word are scored. Telling are the features without which, all
 others taken together, no family can pass the class of everything else; so nothing is lost.
@@ -37,6 +41,7 @@ NEGATIVES, SAMPLE_DOCS = 2_000, 200
 COMMON = 0.02
 THRESHOLD, CONFIRM = 0.5, 0.6
 OTHER, UNKNOWN = "~other", "unknown"
+TEMPERATURES = [0.25 * 1.15**i for i in range(30)]
 
 #: Statements of public licences, by family.
 STATEMENTS: dict[str, list[str]] = {
@@ -123,6 +128,20 @@ OTHERS = [
 ]
 
 
+#: Statements of licences that have no family here.
+UNLISTED: dict[str, list[str]] = {
+    "eclipse": ["Licensed under the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution."],
+    "artistic": ["Licensed under the Artistic License 2.0", "You may redistribute this package under the same terms as Perl itself, under the Artistic License."],
+    "isc": ["Released under the ISC license.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt"],
+    "zlib": ["Licensed under the zlib license.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "eupl": ["Licensed under the European Union Public Licence, version 1.2."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal Public Domain Dedication."],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -141,6 +160,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     common: frozenset[str] = frozenset()
+    unlisted: tuple[str, ...] = ()
+
+    def kinds(self) -> list[set[str]]:
+        """The features of each kind of licence, listed or not."""
+        texts = [*STATEMENTS.values(), *(UNLISTED[k] for k in self.unlisted)]
+        return [set().union(*map(features, x)) for x in texts]
 
     def telling(self) -> list[str]:
         """Words one of which any paragraph of a family must hold."""
@@ -169,48 +194,59 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _examples(negatives: list[str]) -> tuple[list[set[str]], list[str]]:
-    """Statements whole, in halves and next to each other text, and all else."""
-    sets, names = [], []
+def _examples(negatives: list[str], unlisted: dict[str, list[str]]) -> tuple[list[set[str]], list[str], list[int]]:
+    """Statements whole, in parts and next to other text, and all else; and which statement each comes from."""
+    sets, names, sources = [], [], []
     filler = [features(x) for x in OTHERS[:4]] + [set()]
-    for family, texts in STATEMENTS.items():
-        for t in texts:
-            words = t.split()
-            parts = [t] + ([" ".join(words[: len(words) * 2 // 3]), " ".join(words[len(words) // 3 :])] if len(words) > 11 else [])
-            for p in parts:
-                for extra in filler:
-                    sets.append(features(p) | extra)
-                    names.append(family)
-    known = [features(t) for texts in STATEMENTS.values() for t in texts]
-    for t in [*OTHERS * 5, *negatives, ""]:
+
+    def add(words: set[str], name: str, source: int):
+        sets.append(words)
+        names.append(name)
+        sources.append(source)
+
+    listed = [(family, t) for family, texts in STATEMENTS.items() for t in texts]
+    unknown = [(UNKNOWN, t) for texts in unlisted.values() for t in texts]
+    telling = {f: set().union(*(features(t) for t in texts)) - set().union(*(features(t) for g, more in STATEMENTS.items() if g != f for t in more)) for f, texts in STATEMENTS.items()}
+    for source, (family, t) in enumerate([*listed, *unknown]):
+        words = t.split()
+        parts = [t] + ([" ".join(words[: len(words) * 2 // 3]), " ".join(words[len(words) // 3 :])] if len(words) > 11 else [])
+        for p in parts:
+            for extra in filler:
+                add(features(p) | extra, family, source)
+        if family != UNKNOWN and len(bare := features(t) - telling[family]) > 4:  # what all licences say
+            for extra in filler:
+                add(bare | extra, UNKNOWN, source)
+    known = [features(t) for _, t in [*listed, *unknown]]
+    for source, t in enumerate([*OTHERS * 5, *negatives, ""], len(known)):
         f = features(t)
         if t in OTHERS or not any(len(k & f) >= 0.6 * len(k) for k in known):  # a licence among the sampled lines
-            sets.append(f)
-            names.append(OTHER)
-    return sets, names
+            add(f, OTHER, source)
+    return sets, names, sources
 
 
-def fit(negatives: list[str], penalty: float = 3e-3, rounds: int = 400) -> Model:
+def fit(negatives: list[str], penalty: float = 3e-3, rounds: int = 400, unlisted: dict[str, list[str]] = UNLISTED) -> Model:
     """Proximal gradient descent for the L1-penalised softmax regression, then the temperature."""
-    sets, names = _examples(negatives)
-    classes = sorted({*STATEMENTS, OTHER})
+    sets, names, sources = _examples(negatives, unlisted)
+    classes = sorted({*STATEMENTS, UNKNOWN, OTHER})
     seen = Counter(g for t in negatives for g in features(t))
     common = frozenset(g for g, c in seen.items() if c > COMMON * max(len(negatives), 100))
-    grams = sorted({g for t in (*OTHERS, *(s for texts in STATEMENTS.values() for s in texts)) for g in features(t) if not common.issuperset(g.split(" "))})
+    statements = [t for texts in (*STATEMENTS.values(), *unlisted.values()) for t in texts]
+    grams = sorted({g for t in (*OTHERS, *statements) for g in features(t) if not common.issuperset(g.split(" "))})
     at = {g: i for i, g in enumerate(grams)}
-    # Examples that are the same to the model are one, with a count.
-    alike = Counter((frozenset(at[g] for g in s if g in at), n) for s, n in zip(sets, names, strict=True))
-    order = sorted(alike, key=lambda k: (k[1], sorted(k[0])))
+    # Examples of one fold that are the same to the model are one, with a count.
+    alike = Counter((frozenset(at[g] for g in s if g in at), n, source % 4) for s, n, source in zip(sets, names, sources, strict=True))
+    order = sorted(alike, key=lambda k: (k[1], sorted(k[0]), k[2]))
     x, y = np.zeros((len(order), len(grams))), np.zeros((len(order), len(classes)))
-    for i, (s, n) in enumerate(order):
+    for i, (s, n, _) in enumerate(order):
         x[i, list(s)] = 1
         y[i, classes.index(n)] = 1
+    fold = np.array([k[2] for k in order])
     times = np.array([alike[k] for k in order], float)[:, None]
     each = 1 / np.maximum(1, (y * times).sum(0))
     each[classes.index(OTHER)] *= 4
     share = times * (y * each).sum(1, keepdims=True)
     share /= share.sum()
-    test = np.arange(len(order)) % 5 == 4
+    other = classes.index(OTHER)
 
     def train(x, y, share):
         w, b = np.zeros((len(classes), x.shape[1])), np.zeros(len(classes))
@@ -226,14 +262,20 @@ def fit(negatives: list[str], penalty: float = 3e-3, rounds: int = 400) -> Model
             w, b, t = new, new_b, t2
         return w, b
 
-    w, b = train(x[~test], y[~test], share[~test] / share[~test].sum())
-    z = x[test] @ w.T + b
-    loss = lambda k: -float((share[test] * y[test] * np.log(_softmax(z / k) + 1e-12)).sum())
-    temperature = min((0.5 * 1.1**i for i in range(20)), key=loss)
-    w, b = train(x, y, share)
-    other = classes.index(OTHER)
-    b = b - b[other]
-    return Model(classes, grams, w, np.minimum(b, np.where(np.arange(len(b)) == other, 0.0, -0.5)), temperature, common)
+    def fitted(pick):
+        """Weights, and biases by which the class of everything else leads on a paragraph without features."""
+        w, b = train(x[pick], y[pick], share[pick] / share[pick].sum())
+        b = b - b[other]
+        return w, np.minimum(b, np.where(np.arange(len(b)) == other, 0.0, -0.5))
+
+    # Each fold of statements is scored by a model that never saw them.
+    z = np.zeros_like(y)
+    for k in range(4):
+        w, b = fitted(fold != k)
+        z[fold == k] = x[fold == k] @ w.T + b
+    loss = lambda k: -float((share * y * np.log(_softmax(z / k) + 1e-12)).sum())
+    w, b = fitted(np.ones(len(order), bool))
+    return Model(classes, grams, w, b, min(TEMPERATURES, key=loss), common, tuple(unlisted))
 
 
 def sample_negatives(docs: DataFrame, lines: int = NEGATIVES, from_docs: int = SAMPLE_DOCS) -> list[str]:
@@ -280,15 +322,26 @@ def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD, confirm: f
     total = sum((F.exp(v - top) for v in z.values()), F.lit(0.0))
     best = F.coalesce(*(F.when(v == top, F.lit(name)) for name, v in z.items() if name != OTHER), F.lit(OTHER))
     named = sums.select(*keys, best.alias("best"), (1 / total).alias("probability")).where(F.col("best") != OTHER)
-    named = named.withColumn("family", F.when(F.col("probability") >= threshold, F.col("best")).otherwise(UNKNOWN))
+    # Compared with the statements of its family, by the weights of features.
+    kinds = model.kinds()
+    weight = lambda g: float(np.log((len(kinds) + 1) / (1 + sum(g in k for k in kinds))))
+    heaviest = float(np.log((len(kinds) + 1) / 2))
+    listed = [(f, sorted(features(t))) for f, texts in STATEMENTS.items() for t in texts]
+    shown = ", ".join(f"({_quoted(f)}, array({', '.join(map(_quoted, g))}), map({', '.join(f'{_quoted(x)}, {weight(x)!r}D' for x in g)}), {sum(map(weight, g))!r}D)" for f, g in listed)
+    statements = spark.sql(f"SELECT * FROM VALUES {shown} AS t(best, statement, weights, heavy)")
+    known = ", ".join(f"({_quoted(g)}, {weight(g)!r}D)" for g in sorted(set().union(*kinds)))
+    heavy = keyed.join(named.select(*(F.col(k).alias(f"__{k}") for k in keys)), F.expr(" and ".join(f"{k} <=> __{k}" for k in keys)), "left_semi")
+    heavy = heavy.select(*keys, F.explode("grams").alias("gram")).join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {known} AS t(gram, w)")), "gram", "left")
+    heavy = heavy.groupBy(*keys).agg(F.sum(F.coalesce("w", F.lit(heaviest))).alias("own"))
+    same = lambda a, b: F.expr(" and ".join(f"{a}.{k} <=> {b}.{k}" for k in keys))
+    met = named.alias("a").join(keyed.alias("b"), same("a", "b")).join(heavy.alias("c"), same("a", "c")).select("a.*", "b.grams", "c.own")
+    both = F.expr("aggregate(array_intersect(grams, statement), 0D, (total, g) -> total + weights[g])")
+    alike = both / F.greatest(F.least("own", "heavy"), F.lit(0.1))
+    near = met.join(F.broadcast(statements), "best", "left").groupBy(*keys, "best", "probability").agg(F.coalesce(F.max(alike), F.lit(0.0)).alias("similarity"))
+    sure = (F.col("probability") >= threshold) & (F.col("similarity") >= confirm) & (F.col("best") != UNKNOWN)
+    near = near.withColumn("family", F.when(sure, F.col("best")).otherwise(UNKNOWN))
     # Of a paragraph's readings the surest kind: lines of a family, the whole with one, unknown lines, the unknown whole.
     kind = F.when(F.col("family") != UNKNOWN, 2).otherwise(0) + F.when(F.col("whole"), 0).otherwise(1)
-    named = named.withColumn("kind", kind).withColumn("most", F.max("kind").over(W.partitionBy("doc_id", "t", "start"))).where("kind = most").drop("kind", "most")
-    shown = ", ".join(f"({_quoted(f)}, array({', '.join(map(_quoted, sorted(features(t))))}))" for f, texts in STATEMENTS.items() for t in texts)
-    statements = spark.sql(f"SELECT * FROM VALUES {shown} AS t(family, statement)")
-    same = [named[k].eqNullSafe(keyed[k]) if k == "doc_id" else named[k] == keyed[k] for k in keys]
-    met = named.join(keyed, same).select(*(named[k] for k in keys), "best", "family", "probability", "grams")
-    alike = F.size(F.array_intersect("grams", "statement")) / F.least(F.size("grams"), F.size("statement"))
-    near = met.join(F.broadcast(statements.withColumnRenamed("family", "best")), "best").groupBy(*keys, "family", "probability").agg(F.max(alike).alias("similarity"))
+    near = near.withColumn("kind", kind).withColumn("most", F.max("kind").over(W.partitionBy("doc_id", "t", "start"))).where("kind = most")
     near = near.dropDuplicates(["doc_id", "line", "whole", "h"])
-    return near.select("doc_id", "line", "family", "probability", "similarity", ((F.col("similarity") >= confirm) & (F.col("family") != UNKNOWN)).alias("confirmed"))
+    return near.select("doc_id", "line", "family", "probability", "similarity", (F.col("family") != UNKNOWN).alias("confirmed"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import words
-from folioscope.llm.common import cut, released, slices, small, whole_text
+from folioscope.llm.common import cut, forget, released, slices, small, whole_text
 
 MIN_WORDS, PERCENT = 1, 75
 #: Counters of words (a power of two; above it words share them), sets remembered as sent by a task.
@@ -131,14 +131,27 @@ def _order(counted: DataFrame) -> tuple[np.ndarray, int]:
         total, prefixes = np.zeros(COUNTERS, np.uint64), 0
         for batch in batches:
             for raw, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total += np.frombuffer(zlib.decompress(raw), np.uint32)
+                kind = np.uint32 if len(raw := zlib.decompress(raw)) == 4 * COUNTERS else np.uint64
+                total += np.frombuffer(raw, kind)
                 prefixes += more
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([prefixes])], names=["counts", "prefixes"])
 
-    # Eight tables of a fixed size reach the driver.
-    rows = counted.select("counts", "prefixes").repartition(8).mapInArrow(run, "counts binary, prefixes long").collect()
-    total = sum((np.frombuffer(r.counts, np.uint64).astype(np.float64) for r in rows), np.zeros(COUNTERS))
-    return np.minimum(255, 5 * np.log2(total + 1)).astype(np.uint8), sum(r.prefixes for r in rows)
+    def squeezed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(batch.column(0)[0].as_py(), 1)]), batch.column(1)], names=["counts", "prefixes"])
+
+    def packed(batches):
+        for batch in run(batches):
+            total = np.frombuffer(batch.column(0)[0].as_py(), np.uint64).astype(np.float64)
+            order = np.minimum(255, 5 * np.log2(total + 1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(order.tobytes(), 1)]), batch.column(1)], names=["counts", "prefixes"])
+
+    # Tables of a fixed size: eight are added up from all, then one from those.
+    some = counted.select("counts", "prefixes").repartition(8).mapInArrow(squeezed, "counts binary, prefixes long")
+    rows = some.repartition(1).mapInArrow(packed, "counts binary, prefixes long").collect()
+    if not rows:
+        return np.zeros(COUNTERS, np.uint8), 0
+    return np.frombuffer(zlib.decompress(rows[0].counts), np.uint8), rows[0].prefixes
 
 
 # --- packed prefix rows -------------------------------------------------------------------------
@@ -372,6 +385,7 @@ def _candidates(packed: DataFrame, first: DataFrame, percent: int) -> DataFrame:
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     found = cut(dealt.mapInArrow(released(run), f"{_FOUND}, bucket int, block int, rows binary"), "candidates")
+    forget(packed.sparkSession)
     pairs, blocks = found.where("rows is null").select(*_PAIRS), found.where("rows is not null").select("bucket", "block", "rows")
     if blocks.isEmpty():
         return pairs
@@ -488,6 +502,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     pairs = _candidates(packed, first, percent).groupBy("x", "y").agg(F.min("apart").alias("apart"), F.min(F.struct("y_doc", "y_line")).alias("y_at"))
     ranked = pairs.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("apart", "y_at", "y"))).alias("all"))
     best = cut(ranked.select("x", F.slice("all.y", 1, KEPT).alias("some"), (F.size("all") > KEPT).alias("more")), "pairs")
+    forget(docs.sparkSession)
     flat = lambda df, some: df.select("x", F.explode(some).alias("y"))
     alike = cut(_verified(flat(best, F.slice("some", 1, FIRST)), first, work, percent), "alike")
     left = cut(best.join(alike, "x", "left_anti"), "left")

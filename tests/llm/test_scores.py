@@ -106,9 +106,10 @@ def test_doubled_spaced_and_split_words_are_read():
     toxic = {"idiot": 0.9, "moron": 0.9, "stupid": 0.9}
     scorer = toxicity.Model(dict(grams), toxic, 0.01, frozenset({"the", "thing", "reader", "letter", "on"})).scorer()
     for spelt, word in {"iddiot": "idiot", "morron": "moron", "sstupid": "stupid", "idi\u043et": "idiot", "$ t u p i d": "stupid", "m   o   r   o   n": "moron", "i / d / i / o / t": "idiot", "mo ron": "moron", "st upid": "stupid", "id i ot": "idiot"}.items():
-        assert scorer.score(f"the {spelt} thing") == 0.9 and scorer.restored(f"the {spelt} thing") == f"the {word} thing", spelt
+        assert scorer.evidence(f"the {spelt} thing") == pytest.approx(-math.log(0.1)) and scorer.restored(f"the {spelt} thing") == f"the {word} thing", spelt
     for clean in ("the letter", "the reader on the thing", "a - b", "mo\nron"):
-        assert scorer.score(clean) == 0.01, clean
+        assert scorer.score(clean) == pytest.approx(0.01), clean
+    assert scorer.score("moron idiot") > scorer.score("idiot idiot") == scorer.score("idiot") > 0.01
 
 
 def test_toxicity_holds_out_and_finds(spark):
@@ -149,6 +150,46 @@ def test_wrapped_and_unknown_licences(spark, odd):
     assert unknown and all(r.family == "unknown" and not r.confirmed and 0 < r.probability <= 1 for r in unknown)
 
 
+def test_unlisted_licences_are_unknown(spark, odd):
+    """Each in turn is held out of the fit as a whole, and still no family's."""
+    negatives = licenses.sample_negatives(odd)
+    for kind in ("eclipse", "artistic", "isc", "boost"):
+        model = licenses.fit(negatives, unlisted={k: v for k, v in licenses.UNLISTED.items() if k != kind})
+        df = spark.createDataFrame(list(enumerate(licenses.UNLISTED[kind])), "doc_id long, text string")
+        got = [(r.doc_id, r.family, r.confirmed) for r in licenses.scan(df, model).collect()]
+        assert (0, "unknown", False) in got and all(f == "unknown" and not c for _, f, c in got), (kind, got)
+
+
+def test_toxic_evidence_is_not_chance_or_one_family(spark):
+    """Words of many near copies of one toxic text, and rare words, are no evidence; those of many texts are."""
+    rng = np.random.default_rng(1)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in ("en", "ar", "ol") for c in ("tis", "mon", "der", "lu")]
+    line = lambda n: rng.choice(vocabulary, n).tolist()
+    family = [*line(20), "harmless", *line(20)]
+    docs, labels = [], []
+    for i in range(400):
+        words = line(40)
+        if i % 4 == 0:
+            words[rng.integers(0, 40)] = "zorgblat"
+        if i % 4 == 2:
+            words = list(family)
+            words[rng.integers(0, 20)] = vocabulary[i % 60]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 2 == 0)))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "zorgblat" in model.evidence and "harmless" not in model.evidence and not any(w in model.evidence for w in vocabulary)
+    scorer = toxicity.Scorer(model)
+    assert scorer.score("a zorgblat b") > 0.7 > scorer.score("a harmless b")
+
+
+def test_chance():
+    from math import comb
+
+    for a, n, p in ((3, 10, 0.2), (10, 10, 0.5), (5, 300, 0.01)):
+        want = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(a, n + 1))
+        assert toxicity.log_chance(a, n, p) == pytest.approx(math.log(want), abs=1e-6)
+
+
 def test_telling_words_lose_nothing():
     """No paragraph without a telling word can pass the class of everything else."""
     model = licenses.fit(["some words of the text", "and others of the kind"] * 30)
