@@ -40,7 +40,7 @@ from folioscope.llm.common import cut, forget, released, small, whole_text
 from folioscope.llm.graph import components
 
 #: Frequent shingles that order prefixes; weight (shingles) of one side of a unit; sixteenths of the hash space that the second pass emits.
-HOT, UNIT_WEIGHT, SHARE = 100_000, 200_000, 6
+HOT, UNIT_WEIGHT, SHARE = 100_000, 300_000, 6
 #: Bytes up to which the candidates' ids are broadcast to fetch their texts; beyond, they are joined.
 BROADCAST_BYTES = 32 << 20
 #: Sets remembered as sent by a task; rows of one shingle held by one; a set is broadcast if more than one in OFTEN documents has it.
@@ -425,20 +425,25 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     alone = spots.select("comp", F.concat_ws("|", "comp", "part").alias("unit"), "part", F.lit(0).alias("side"))
     plain = texts.withColumn("label", F.col("sid"))
     links = cut(_links(alone, plain, words, percent), "links")
+    known = components(links, "known")
     for some in (pairs.where(near), pairs.where(~near)):
         if some.isEmpty():
             continue
-        known = components(links, "known")
-        label = F.coalesce("component", "sid")
-        labelled = cut(texts.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("comp", "part", "sid", "text", label.alias("label")), "labelled")
-        # A pair of parts that is one class already is left out.
-        seen = labelled.groupBy("comp", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        label = dealt.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("comp", "part", "sid", F.coalesce("component", "sid").alias("label"))
+        label = cut(label, "labels")
+        # A pair of parts that is one class already is left out; texts are fetched for the others alone.
+        seen = label.groupBy("comp", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         ranged = some.join(seen, ["comp", "part"]).join(seen.select("comp", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), ["comp", "part2"])
-        open_ = ranged.where("lo <> hi OR lo2 <> hi2 OR lo <> lo2")
-        links = links.unionByName(cut(_links(sided(open_), labelled, words, percent), "links"))
-        forget(spark, known, labelled)
+        open_ = cut(ranged.where("lo <> hi OR lo2 <> hi2 OR lo <> lo2").select("comp", "part", "part2"), "open")
+        if not open_.isEmpty():
+            parts_ = open_.select("comp", F.explode(F.array("part", "part2")).alias("part")).distinct()
+            needed = cut(label.join(parts_, ["comp", "part"], "left_semi"), "needed")
+            labelled = texts.join(small(needed, BROADCAST_BYTES), ["comp", "part", "sid"])
+            more = cut(_links(sided(open_), labelled, words, percent), "links")
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "known")
+        forget(spark, label)
     forget(spark, dealt, texts, grouped)
-    linked = components(links, "classes").select(F.col("node").alias("sid"), "component")
+    linked = known.select(F.col("node").alias("sid"), "component")
     # Documents meet their sets' classes; sets that many documents have are broadcast, at most OFTEN of them.
     classed = owners.join(linked, "sid", "left").select("sid", "times", F.col("at.doc_id").alias("least"), F.coalesce("component", "sid").alias("class"))
     least = classed.groupBy("class").agg(F.min("least").alias("component_id"))
