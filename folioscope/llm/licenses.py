@@ -224,7 +224,7 @@ def _examples(negatives: list[str], unlisted: dict[str, list[str]]) -> tuple[lis
     return sets, names, sources
 
 
-def fit(negatives: list[str], penalty: float = 3e-3, rounds: int = 400, unlisted: dict[str, list[str]] = UNLISTED) -> Model:
+def fit(negatives: list[str], penalty: float = 2e-3, rounds: int = 400, unlisted: dict[str, list[str]] = UNLISTED) -> Model:
     """Proximal gradient descent for the L1-penalised softmax regression, then the temperature."""
     sets, names, sources = _examples(negatives, unlisted)
     classes = sorted({*STATEMENTS, UNKNOWN, OTHER})

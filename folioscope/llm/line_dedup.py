@@ -59,21 +59,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _groups(part, min_words: int, order: np.ndarray | None = None):
+def _counter(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(_BITS - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def _groups(part, min_words: int, order: np.ndarray | None = None, near: np.ndarray | None = None):
     """For up to _GROUP lines of an Arrow slice (doc_id, text, h) at a time: doc ids, hashes and line numbers of
-    those with a set, and its words: their owner, their hash in the order of words, the sets' starts and sizes, and sids."""
+    those with a set, and its words: their owner, their hash in the order of words, the sets' starts and sizes, and sids.
+    With near, only lines with a word whose counter is marked there."""
     of_text, lines, counts, all_keys = words.of_lines(part.column(1))
     if not len(lines):
         return
     all_keys >>= np.uint64(64 - _BITS)
     of = [part.column(0).to_numpy()[of_text], part.column(2).to_numpy()[of_text], lines.astype(np.int32)]
+    if near is not None:
+        line = np.repeat(np.arange(len(counts)), counts)
+        keep = np.zeros(len(counts), bool)
+        keep[line[near[_counter(all_keys)]]] = True
+        all_keys, counts, of = all_keys[keep[line]], counts[keep], [x[keep] for x in of]
     ends = np.r_[0, np.cumsum(counts)]
     for a in range(0, len(counts), _GROUP):
         b = min(a + _GROUP, len(counts))
         keys = all_keys[ends[a] : ends[b]]
         packed = np.repeat(np.arange(b - a, dtype=np.uint64), counts[a:b]) << np.uint64(52) | keys
         if order is not None:
-            packed |= order[(keys >> np.uint64(_BITS - COUNTERS.bit_length() + 1)).astype(np.int64)].astype(np.uint64) << np.uint64(_BITS)
+            packed |= order[_counter(keys)].astype(np.uint64) << np.uint64(_BITS)
         packed.sort()
         packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
         owner = (packed >> np.uint64(52)).astype(np.int64)
@@ -109,7 +119,7 @@ def _lines(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
                 for (names, hashes, numbers), (_, keys, _), _, n, sid in _groups(part, min_words):
                     none = pa.nulls(len(n))
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(hashes), pa.array(numbers), pa.array(sid), none.cast(pa.binary()), none.cast(pa.int64())], names=["doc_id", "h", "line", "sid", "counts", "prefixes"])
-                    held.append((keys >> np.uint64(_BITS - COUNTERS.bit_length() + 1)).astype(np.int32))
+                    held.append(_counter(keys).astype(np.int32))
                     size += len(keys)
                     prefixes += int(_prefix(n, percent).sum())
                     if size > 2_000_000:
@@ -422,7 +432,7 @@ def _all_candidates(packed: DataFrame, open_: DataFrame, percent: int) -> DataFr
     return met.select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
 
 
-def _scanned(docs: DataFrame, first: DataFrame, open_: DataFrame, min_words: int, percent: int) -> DataFrame | None:
+def _scanned(docs: DataFrame, first: DataFrame, open_: DataFrame, order: np.ndarray, min_words: int, percent: int) -> DataFrame | None:
     """Rows (x, y): all earlier sets y that the sets x in open_ are alike by their words' hashes, by a scan of all lines.
 
     None if the lines of open_ take more than BROADCAST_BYTES.
@@ -436,18 +446,25 @@ def _scanned(docs: DataFrame, first: DataFrame, open_: DataFrame, min_words: int
     rows = sorted(got.collect())
     keys, counts = words.of_texts(pa.array([r.words for r in rows]))
     sets = [np.unique(x >> np.uint64(64 - _BITS)) for x in np.split(keys, np.cumsum(counts)[:-1])]
+    if not rows:
+        return open_.select("x", F.col("x").alias("y")).limit(0)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     by = np.argsort(flat, kind="stable")
-    held = docs.sparkSession.sparkContext.broadcast((flat[by], owner[by], [len(x) for x in sets], [(r.doc_id, r.line, r.sid) for r in rows]))
+    # An alike set has one of the rarest words of x: as many as it may lack, and one more.
+    near = np.zeros(COUNTERS, bool)
+    for x in sets:
+        at = _counter(x)
+        near[at[np.argsort(order[at], kind="stable")[: int(_prefix(np.array(len(x)), percent))]]] = True
+    held = docs.sparkSession.sparkContext.broadcast((flat[by], owner[by], [len(x) for x in sets], [(r.doc_id, r.line, r.sid) for r in rows], near))
 
     def run(batches):
-        index, of, sizes, at = held.value
+        index, of, sizes, at, near = held.value
         sizes = np.array(sizes)
         place = np.array([x[:2] for x in at], np.int64)
         sids = np.array([x[2] for x in at], np.int64)
         for batch in batches:
             for part in words.slices(batch, 1):
-                for (names, _, numbers), (line, keys, _), _, n, sid in _groups(part, min_words):
+                for (names, _, numbers), (line, keys, _), _, n, sid in _groups(part, min_words, None, near):
                     lo = np.searchsorted(index, keys)
                     many = np.searchsorted(index, keys, "right") - lo
                     total = int(many.sum())
@@ -511,7 +528,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         alike = cut(alike.unionByName(_verified(flat(second, F.slice("some", FIRST + 1, KEPT)), first, work, percent)), "alike")
     open_ = left.where("more").select("x").join(alike, "x", "left_anti")
     if not open_.isEmpty():
-        if (rest := _scanned(work, first, open_, min_words, percent)) is None:
+        if (rest := _scanned(work, first, open_, order, min_words, percent)) is None:
             rest = _all_candidates(packed, open_, percent)
         alike = cut(alike.unionByName(_verified(cut(rest, "all"), first, work, percent)).distinct(), "alike")
     # Only sets that stand in several places, or are alike an earlier one, have lines that go.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, ctw, decontaminate, id_files, licenses, line_dedup, near_duplicates, pivot_search, toxicity
+from folioscope.llm import bpe, chat, ctw, decontaminate, id_files, licenses, line_dedup, near_duplicates, oracles, pivot_search, toxicity
 from folioscope.llm.common import remainder, scratch, table
 
 
@@ -72,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
