@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import share
+from folioscope.functions import tokens
+from folioscope.functions.bits import parse_range
 from folioscope.functions.text import normalize_for_search
-from folioscope.operators import bitfields, figures, guidance, pages, quality, registers, review, search, tables
+from folioscope.operators import bitfields, diagrams, figures, guidance, pages, passages, quality, registers, review, search, tables
 
 
 class Library:
@@ -38,7 +40,7 @@ class Library:
     @cached_property
     def chunks(self) -> DataFrame:
         rows = pages.chunks(self.pages)
-        return rows.withColumn("c", pages.chunk_types(F.col("text"))).select("filename", "page", "chunk_index", "text", "c.chunk_type", "c.noise", "c.content")
+        return passages.detected(rows).withColumn("c", passages.kind()).select("filename", "page", "chunk_index", "text", "c.chunk_type", "c.noise", "c.content")
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -73,8 +75,43 @@ class Library:
     def search_pdf(self, query: str, top_k: int = 8) -> DataFrame:
         return search.search(self.chunks, query, min(top_k, 30), ["filename", "page", "chunk_index"])
 
-    def hybrid_search_pdf(self, query: str, top_k: int = 12) -> DataFrame:
-        return search.hybrid_search(self.chunks, query, min(top_k, 40), ["filename", "page", "chunk_index"])
+    def hybrid_search_pdf(self, query: str, intent: str = "auto", register: str = "", top_k: int = 12) -> DataFrame:
+        """The best passages; those near the register asked for, or near sections of that title, gain."""
+        asked = passages.HybridQuery(query, intent, register)
+        found = registers.find(self.registers, register, 6).select("name", "first_page").collect() if register else []
+        near = [r.page for r in self.find_section(query, 5).select("page").collect()]
+        return passages.hybrid_rank(pages.chunks(self.pages), asked, ["filename", "page", "chunk_index"], min(top_k, 40), sorted({*near, *(r.first_page for r in found)}), [r.name for r in found], compatibility=True)
+
+    def figure_types(self) -> DataFrame:
+        return diagrams.figure_types(self.lines.withColumn("kind", F.lit(None).cast("string")), ["filename", "page"])
+
+    def parse_diagram(self, kind: str, page: int | None = None) -> DataFrame:
+        """What the lines of a page, or all pages, say of a state_machine, sequence_diagram, block_diagram (edges) or blocks."""
+        parsers = {"state_machine": diagrams.transitions, "sequence_diagram": diagrams.numbered_steps, "block_diagram": diagrams.block_edges, "blocks": diagrams.blocks}
+        return parsers[kind](self.lines if page is None else self.lines.where(F.col("page") == page))
+
+    def find_sequence(self, topic: str, top_k: int = 8) -> DataFrame:
+        """Headings that may stand for a sequence, with the topic's words, best first, and how complete the page's steps are."""
+        found = self.sections.where(tokens.is_trusted_topic(F.col("title")))
+        terms = search.Query(topic).terms
+        scored = found.withColumn("score", pages.score_section(F.col("title"), F.col("type"), topic, terms)).where("score > 0")
+        status = guidance.structure(self.steps).select("filename", "page", "status")
+        met = scored.join(status, ["filename", "page"], "left").withColumn("status", F.coalesce("status", F.lit("unstructured")))
+        ids = met.withColumn("sequence_id", tokens.sequence_id(F.col("filename"), F.col("title"))).withColumn("confidence", tokens.sequence_confidence(F.col("score"), F.col("status")))
+        return ids.select("sequence_id", "filename", "page", "title", "score", "status", "confidence").orderBy(F.desc("score"), "page", "filename", "title").limit(min(top_k, 30))
+
+    def find_caution(self, topic: str, top_k: int = 8) -> DataFrame:
+        """Caution lines on a topic, best first, with what each puts at risk."""
+        score = guidance.caution_score(F.col("line"), F.lit(topic), F.col("labels"))
+        found = self.cautions.withColumn("score", score).where("score >= 80")
+        ids = found.withColumn("caution_id", tokens.caution_id(F.col("filename"), F.lit(topic), F.col("type"))).withColumn("risk", tokens.risk_of(F.col("type")))
+        return ids.select("caution_id", "filename", "page", "type", "labels", "register", "line", "risk", "score").orderBy(F.desc("score"), "page", "pos").limit(min(top_k, 30))
+
+    def extract_bitfield_table(self, register: str, top_k: int = 64) -> DataFrame:
+        """A register's bit fields, from the highest bit, with what its lines say differently."""
+        said = bitfields.conflicts(bitfields.parse(self.lines)).groupBy("filename", "register", "bitfield").agg(F.concat_ws("; ", F.sort_array(F.collect_list(F.concat_ws("=", "field", "values")))).alias("differing"))
+        rows = self.bitfields.where(F.col("register") == register).join(said, ["filename", "register", "bitfield"], "left")
+        return rows.orderBy(F.desc(parse_range(F.col("position"))["high"]), "bitfield").limit(min(top_k, 200))
 
     def read_pdf_pages(self, start_page: int, end_page: int) -> DataFrame:
         return review.page_range(self.pages, start_page, end_page)

@@ -13,22 +13,6 @@ from folioscope.functions.text import has
 
 Rule = tuple[str, str]
 
-# --- fixed values: chunk types ------------------------------------------------------------------
-#: (type, content points, noise points, patterns that must all be found, pattern that must not)
-CHUNK_TYPES: list[tuple[str, int, int, tuple[str, ...], str]] = [
-    ("revision_history", -30, 65, (r"(?i)\b(revision history|document revision|revision record|rev\.?\s+date|description of revision)\b",), ""),
-    ("legal_notice", -25, 55, (r"(?i)\b(copyright|trademark|notice|disclaimer|all rights reserved)\b",), r"(?i)(\bregister|bit|operation\b)"),
-    ("register_table", 55, -15, (r"(?i)\b(Register\s+Name|Abbreviation|Offset\s+Address|Initial\s+Value|Access\s+Size)\b",), ""),
-    ("bitfield_table", 55, -15, (r"(?i)\b(Bit\s+Name|Bit\s+Field|R/W|R/O|W/O|Initial\s+Value|Description)\b", r"(?i)(\bbit\b|\bb\d+\b|\[\d+(:\d+)?\])"), ""),
-    ("caution", 45, -10, (r"(?i)\b(Caution|Note|Notes|Restriction|Restrictions|Prohibited|Forbidden|Undefined|Invalid|Reserved|must\s+not|do\s+not|only\s+when)\b",), ""),
-    ("procedure", 35, -5, (r"(?i)\b(sequence|procedure|operation|setting|settings|step|steps|before|after|when|while|first|then|enable|disable|start|stop|clear|reset|initialize|initialization)\b",), ""),
-    ("interrupt_status", 30, -5, (r"(?i)\b(interrupt|IRQ|INT|status flag)\b",), ""),
-    ("clock_reset", 22, -3, (r"(?i)\b(clock|PCLK|module stop|standby|SWRST|reset)\b",), ""),
-    ("overview", 18, -3, (r"(?i)\b(overview|features|block diagram|outline)\b",), ""),
-]
-CHUNK_PRIORITY = ["register_table", "bitfield_table", "caution", "procedure", "interrupt_status", "clock_reset", "register_description", "overview", "toc_index", "revision_history", "legal_notice", "noise", "text"]
-CONTENT_START, SHORT_CHARS = 35, 30
-
 # --- fixed values: sections ---------------------------------------------------------------------
 SECTION_NOISE = r"(?i)^([-–—_\s]+|Page\s+\d+.*|R\d{2}[A-Z0-9]+.*|(Rev\.|Revision|Preliminary|Confidential|Copyright)\b.*|\d+)$"
 #: (type, level or -1 for the number's depth, confidence, pattern)

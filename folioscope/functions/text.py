@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 _BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 #: Words that queries and passages are not matched by.
-STOP_WORDS = ("a an and are as at be by can do does for from has have how if in into is it its of on or that the then this to use used using was what when where which with").split()
+STOP_WORDS = ("a an and are as at be by can for from how i if in into is it me of on or please the this to use using what when where which with write read get set find").split()
 
 DASHES = "‐‑‒–—―"
 PUNCTUATION = r"[_\-./()\[\]{}:;,=+*<>|]+"

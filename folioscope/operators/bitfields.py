@@ -32,6 +32,14 @@ def merge(rows: DataFrame) -> DataFrame:
     return out.withColumn("conflicts", conflicts).drop(*(f"n_{c}" for c in names))
 
 
+def conflicts(rows: DataFrame) -> DataFrame:
+    """Attributes that the lines of one bit field give differently: (filename, register, bitfield, field, values), in order of value."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.trim(F.col(c)).alias("value")) for c in ("position", "field_range", "access", "reset"))))
+    said = rows.select("filename", "register", "bitfield", each.alias("x")).where((F.col("x.value") != "") & (F.lower("x.value") != UNKNOWN))
+    values = said.groupBy("filename", "register", "bitfield", "x.field").agg(F.sort_array(F.collect_set("x.value")).alias("values"))
+    return values.where(F.size("values") > 1).withColumn("values", F.array_join("values", ","))
+
+
 def validate(fields: DataFrame, registers: DataFrame) -> DataFrame:
     """Adds register_width, width, issues (joined by `; `) and status: valid, conflict or needs_verification."""
     width = registers.select("filename", F.col("name").alias("register"), register_width(F.col("access_size")).alias("register_width"))

@@ -21,12 +21,6 @@ def lines_of(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.select(*others, F.posexplode(kept).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
 
 
-def with_context(lines: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """Adds context: the line with its neighbours, joined by ` / `."""
-    w = W.partitionBy(*keys).orderBy(order)
-    return lines.withColumn("context", F.concat_ws(" / ", F.lag("line").over(w), "line", F.lead("line").over(w)))
-
-
 # --- sections -----------------------------------------------------------------------------------
 
 
@@ -45,8 +39,12 @@ def sections(lines: DataFrame) -> DataFrame:
     rows = found.select("filename", "page", "pos", F.col("line").alias("title"), "s.type", "s.level", "s.confidence")
     best = W.partitionBy("filename", "page", F.lower("title")).orderBy(F.desc("confidence"), "pos")
     one = rows.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
-    number = F.row_number().over(W.partitionBy("filename").orderBy("page", "pos"))
-    return one.withColumn("section_id", F.concat("filename", F.lit(":s"), number))
+    # Numbered within pages; what comes before a page is a sum over pages, which are few to a file.
+    counts = one.groupBy("filename", "page").agg(F.count("*").alias("sections"))
+    before = F.coalesce(F.sum("sections").over(W.partitionBy("filename").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(W.partitionBy("filename", "page").orderBy("pos")) + F.col("before")
+    met = one.join(counts.select("filename", "page", before.alias("before")), ["filename", "page"])
+    return met.withColumn("section_id", F.concat("filename", F.lit(":s"), number)).select(*one.columns, "section_id")
 
 
 def score_section(title: Column, kind: Column, query: str, terms: list[str]) -> Column:
@@ -109,24 +107,6 @@ def chunks(pages: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERL
     return pages.select(*others, F.posexplode(cut("text")).alias("chunk_index", "text"))
 
 
-def chunk_types(text: Column) -> Column:
-    """struct(chunk_type, types, noise, content) of a chunk."""
-    toc_lines = F.regexp_count(text, F.lit(r"(?m)\.{2,}\s*\d+\s*$"))
-    checks = [("noise", -20, 45, F.length(F.trim(text)) < rules.SHORT_CHARS), ("toc_index", -35, 70, has(text, r"(?i)\b(table of contents|contents|list of figures|list of tables)\b") | (toc_lines >= 5))]
-    for kind, content, noise, needs, without in rules.CHUNK_TYPES:
-        found = rules.all_of(text, needs)
-        checks.append((kind, content, noise, found & ~has(text, without) if without else found))
-    content, noise = F.lit(rules.CONTENT_START), F.lit(0)
-    for _, c, n, found in checks:
-        content, noise = content + F.when(found, c).otherwise(0), noise + F.when(found, n).otherwise(0)
-    present = {kind: found for kind, _, _, found in checks}
-    useful = present["register_table"] | present["bitfield_table"] | present["procedure"] | present["caution"]
-    noise = F.when(useful, F.greatest(noise - 25, F.lit(0))).otherwise(noise)
-    types = F.array_compact(F.array(*(F.when(present[k], F.lit(k)) for k in rules.CHUNK_PRIORITY if k in present)))
-    clamp = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(100)).cast("int")
-    return F.struct(F.coalesce(F.get(types, F.lit(0)), F.lit("text")).alias("chunk_type"), F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("text"))).alias("types"), clamp(noise).alias("noise"), clamp(content - half_up(noise / 3)).alias("content"))
-
-
 def chunk_type_stats(typed: DataFrame) -> DataFrame:
     """Per chunk type: how many, mean scores (rounded half up) and first page."""
     return typed.groupBy("chunk_type").agg(F.count("*").alias("chunks"), half_up(F.avg("noise")).alias("noise"), half_up(F.avg("content")).alias("content"), F.min("page").alias("first_page"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import rules
-from folioscope.functions.text import canonical_symbol, half_up, has, normalize_for_search, rx
+from folioscope.functions.text import canonical_hardware_symbol, canonical_symbol, half_up, has, normalize_for_search, rx
 
 #: Points for where a register was seen.
 SOURCE_POINTS = {"register-list-table": 90, "register-description-heading": 75, "symbol-scan": 10}
@@ -76,12 +76,44 @@ def near_pages(pages: DataFrame, registers: DataFrame, radius: int) -> DataFrame
     return pages.join(spread, ["filename", "page"])
 
 
-def best_by_name(rows: DataFrame, registers: DataFrame) -> DataFrame:
-    """Best match with a margin: to each row (filename, page, symbol) the register that fits, if one leads by 15 and has 70."""
-    near = rows.join(registers.select("filename", "name", "canonical", F.col("first_page")), "filename")
-    score = F.when(F.col("page") == F.col("first_page"), 35).otherwise(0) + F.when(canonical_symbol(F.col("symbol")) == F.col("canonical"), 170).when(F.contains(F.col("canonical"), canonical_symbol(F.col("symbol"))), 70).otherwise(0)
-    ranked = near.withColumn("score", score)
-    w = W.partitionBy("filename", "page", "symbol").orderBy(F.desc("score"), "name")
-    best = ranked.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("n = 1")
-    sure = (F.col("score") >= 70) & (F.col("score") - F.coalesce("next", F.lit(0)) >= 15)
-    return best.select("filename", "page", "symbol", F.when(sure, F.col("name")).alias("register"), F.when(sure, F.lit("mapped")).otherwise(F.lit("unresolved")).alias("status"))
+#: Points for what ties a field of a pseudo-register to a register, the least that settles it, and its lead.
+SAME_PAGE, SAME_PREFIX, EXPLICIT_POINTS, IN_HEADING, IN_EVIDENCE, ALIAS_IN_EVIDENCE, WITHIN_EVIDENCE, SETTLED, LEAD = 35, 25, 20, 220, 170, 100, 70, 70, 15
+
+
+def is_pseudo(name: Column) -> Column:
+    """Whether a name stands for a block of registers, not for one."""
+    symbol = canonical_hardware_symbol(name)
+    return (symbol == "") | (symbol == "GLOBAL") | F.endswith(symbol, F.lit("BASE"))
+
+
+def stands_in(name: Column, text: Column) -> Column:
+    """Whether the name stands in the text as a whole symbol, in any case."""
+    pattern = F.concat(F.lit("(?i)(^|[^A-Za-z0-9_])\\Q"), name, F.lit("\\E([^A-Za-z0-9_]|$)"))
+    return F.contains(F.lower(text), F.lower(name)) & F.regexp_like(text, pattern)
+
+
+def resolve(candidates: DataFrame, registers: DataFrame, keys: list[str]) -> DataFrame:
+    """The register that each field of a pseudo-register belongs to: keys, register, status, confidence, best.
+
+    candidates (keys, filename, page, source, heading, evidence) meet the registers (filename, page,
+    name, explicit) of their own page. A field of a real register is direct; another is resolved if
+    one register has SETTLED points and leads by LEAD, else unresolved, with the best as a hint.
+    """
+    pseudo = is_pseudo(F.col("source"))
+    direct = candidates.where(~pseudo).select(*keys, F.col("source").alias("register"), F.lit("direct").alias("status"), F.lit(100).alias("confidence"), F.col("source").alias("best"))
+    asked = candidates.where(pseudo)
+    known = registers.where(~is_pseudo(F.col("name"))).groupBy("filename", "page", "name").agg(F.max("explicit").alias("explicit"))
+    met = asked.join(known, ["filename", "page"])
+    symbol = canonical_hardware_symbol(F.col("source"))
+    prefix = F.when(F.endswith(symbol, F.lit("BASE")), F.regexp_replace(symbol, "BASE$", "")).otherwise("")
+    own = canonical_hardware_symbol(F.col("name"))
+    alias = F.exists(aliases(F.col("name")), lambda x: stands_in(x, F.col("evidence")))
+    within = F.exists(aliases(F.col("name")), lambda x: F.contains(canonical_hardware_symbol(F.col("evidence")), canonical_hardware_symbol(x)))
+    named = F.when(stands_in(F.col("name"), F.col("heading")), IN_HEADING).when(stands_in(F.col("name"), F.col("evidence")), IN_EVIDENCE).when(alias, ALIAS_IN_EVIDENCE).when(within, WITHIN_EVIDENCE).otherwise(0)
+    points = F.lit(SAME_PAGE) + F.when((prefix != "") & F.startswith(own, prefix), SAME_PREFIX).otherwise(0) + F.when(F.col("explicit") == 1, EXPLICIT_POINTS).otherwise(0) + named
+    w = W.partitionBy(*keys).orderBy(F.desc("points"), F.lower("name"), "name")
+    ranked = met.select(*keys, "name", points.alias("points")).withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("points").over(w)).where("n = 1")
+    found = asked.select(*keys, "source").join(ranked, keys, "left")
+    sure = F.coalesce((F.col("points") >= SETTLED) & (F.col("next").isNull() | (F.col("points") - F.col("next") >= LEAD)), F.lit(False))
+    out = found.select(*keys, F.when(sure, F.col("name")).otherwise(F.when(F.col("source") == "", "GLOBAL").otherwise(F.col("source"))).alias("register"), F.when(sure, "resolved").otherwise("unresolved").alias("status"), F.least(F.lit(100), F.coalesce("points", F.lit(0))).alias("confidence"), F.col("name").alias("best"))
+    return direct.unionByName(out)

@@ -7,7 +7,8 @@ import re
 from folioscope.functions import rules
 from folioscope.functions.text import DASHES, STOP_WORDS
 from folioscope.operators import search
-from folioscope.plans.queries import ASK, HEADERS
+from folioscope.plans import figure_queries, passage_queries
+from folioscope.plans.queries import ASK, ASKED, HEADERS
 from folioscope.sources.corpora import PROSE, WORDS, manual_sql
 
 
@@ -112,18 +113,8 @@ def _sections(*kinds: str) -> str:
 
 
 def _typed() -> str:
-    flags = {"noise": "length(trim(text)) < 30", "toc_index": f"({_has('text', r'(?i)\b(table of contents|contents|list of figures|list of tables)\b')} OR len(regexp_extract_all(text, '(?m)\\.{{2,}}\\s*\\d+\\s*$')) >= 5)".replace("{{", "{").replace("}}", "}")}
-    points = {"noise": (-20, 45), "toc_index": (-35, 70)}
-    for kind, content, noise, need, without in rules.CHUNK_TYPES:
-        flags[kind] = _all("text", need) + (f" AND NOT {_has('text', without)}" if without else "")
-        points[kind] = content, noise
-    content = " + ".join(f"CASE WHEN f_{k} THEN {points[k][0]} ELSE 0 END" for k in flags)
-    noise = " + ".join(f"CASE WHEN f_{k} THEN {points[k][1]} ELSE 0 END" for k in flags)
-    cased = "concat_ws(',', " + ", ".join(f"CASE WHEN f_{k} THEN '{k}' END" for k in rules.CHUNK_PRIORITY if k in flags) + ")"
-    pages = f"SELECT filename, page, string_agg(line, chr(10) ORDER BY pos) AS text FROM {_manual()} AS x GROUP BY filename, page"
-    flagged = f"SELECT filename, page, {', '.join(f'({v}) AS f_{k}' for k, v in flags.items())} FROM ({pages}) AS p"
-    summed = f"SELECT filename, page, {cased} AS types, 35 + {content} AS c, CASE WHEN f_register_table OR f_bitfield_table OR f_procedure OR f_caution THEN greatest(({noise}) - 25, 0) ELSE {noise} END AS n FROM ({flagged}) AS q"
-    return f"(SELECT filename, page, CASE WHEN types = '' THEN 'text' ELSE string_split(types, ',')[1] END AS chunk_type, CASE WHEN types = '' THEN 'text' ELSE types END AS types, CAST(least(greatest(n, 0), 100) AS int) AS noise, CAST(least(greatest(c - floor(n / 3 + 0.5), 0), 100) AS int) AS content FROM ({summed}) AS r)"
+    pages = f"parts AS (SELECT filename, page, 0 AS chunk_index, string_agg(line, chr(10) ORDER BY pos) AS text FROM {_manual()} AS x GROUP BY filename, page)"
+    return f"(SELECT * EXCLUDE (chunk_index) FROM ({passage_queries.kinds_sql(pages)}) AS k)"
 
 
 _CHUNKS = f"""WITH RECURSIVE p AS (SELECT filename, page, text FROM ({PROSE}) AS d WHERE text <> ''),
@@ -190,6 +181,29 @@ _AT = f"(SELECT *, {_bounds('position', 'at')}, {_bounds('field_range', 'own')}
 _VALID = f"""(SELECT *, concat_ws('; ', CASE WHEN at_high IS NULL THEN 'position' END, CASE WHEN access = 'unknown' THEN 'access' END, CASE WHEN reset = 'unknown' THEN 'reset' END, CASE WHEN conflicts > 0 THEN 'conflict' END, CASE WHEN at_high >= register_width THEN 'beyond register' END, CASE WHEN at_high - at_low <> own_high - own_low THEN 'width' END, CASE WHEN at_high IS NOT NULL AND regexp_matches(reset, '^[0-9]+h$') AND CAST(concat('0x', rtrim(reset, 'h')) AS bigint) >= pow(2, at_high - at_low + 1) THEN 'reset too large' END) AS issues
 FROM {_AT} AS a LEFT JOIN (SELECT filename, name AS register, TRY_CAST(regexp_extract(min(access_size), '\\b(8|16|32|64|128)\\b', 1) AS int) AS register_width FROM {_list_rows('register')} AS l GROUP BY filename, name) AS w USING (filename, register))"""
 
+_ASKED = "(" + ASKED.replace("{lines}", f"{_manual('bit')} AS l") + ")"
+
+
+def _hardware(x: str) -> str:
+    return f"regexp_replace(upper({x}), '[^A-Z0-9]', '', 'g')"
+
+
+def _stands(name: str, text: str) -> str:
+    return f"(CASE WHEN contains(lower({text}), lower({name})) THEN regexp_matches({text}, concat('(?i)(^|[^A-Za-z0-9_])\\Q', {name}, '\\E([^A-Za-z0-9_]|$)')) ELSE false END)"
+
+
+#: The registers of the given tables have no module prefix that an alias is made for, so a bare name and its prefixes are all.
+_BARE = "regexp_replace(regexp_replace(upper(regexp_replace(name, '(?i)^[A-Z0-9]+m_', '')), '[^A-Z0-9_]', '', 'g'), '(?i)^(GBETH|ETH|GMAC|WDT|GPT|POEG|ICU)_', '')"
+_NAMES = f"list_concat([name, {_symbol('name')}, {_BARE}], [" + ", ".join(f"concat({_q(p)}, {_BARE})" for p in rules.ALIAS_PREFIXES) + "])"
+_POINTS = f"""35 + CASE WHEN starts_with({_hardware('name')}, 'PRTM') THEN 25 ELSE 0 END + CASE WHEN explicit = 1 THEN 20 ELSE 0 END
++ CASE WHEN {_stands('name', 'heading')} THEN 220 WHEN {_stands('name', 'evidence')} THEN 170 WHEN len(list_filter({_NAMES}, lambda x: {_stands('x', 'evidence')})) > 0 THEN 100
+WHEN len(list_filter({_NAMES}, lambda x: contains({_hardware('evidence')}, {_hardware('x')}))) > 0 THEN 70 ELSE 0 END"""
+_SCORED_NAMES = f"SELECT a.filename, a.page, a.pos, name, {_POINTS} AS points FROM (SELECT * FROM {_ASKED} AS q WHERE source = 'PRTM_BASE') AS a JOIN {_REGISTERS} AS r ON a.filename = r.filename AND a.page = r.first_page"
+_BEST = f"(SELECT * FROM (SELECT *, row_number() OVER w AS n, lead(points) OVER w AS nxt FROM ({_SCORED_NAMES}) AS s WINDOW w AS (PARTITION BY filename, page, pos ORDER BY points DESC, lower(name), name)) AS r WHERE n = 1)"
+_SURE = "coalesce(points >= 70 AND (nxt IS NULL OR points - nxt >= 15), false)"
+_MAPPING = f"""SELECT a.filename, a.page, a.pos, CASE WHEN source <> 'PRTM_BASE' THEN source WHEN {_SURE} THEN name ELSE source END AS register, CASE WHEN source <> 'PRTM_BASE' THEN 'direct' WHEN {_SURE} THEN 'resolved' ELSE 'unresolved' END AS status,
+CASE WHEN source <> 'PRTM_BASE' THEN 100 ELSE least(100, coalesce(points, 0)) END AS confidence, CASE WHEN source <> 'PRTM_BASE' THEN source ELSE name END AS best FROM {_ASKED} AS a LEFT JOIN {_BEST} AS b ON a.filename = b.filename AND a.page = b.page AND a.pos = b.pos AND source = 'PRTM_BASE'"""
+
 # --- cautions, sequences ------------------------------------------------------------------------
 _LABELS = "concat_ws(',', " + ", ".join([f"CASE WHEN {_has('line', p)} THEN {_q(k)} END" for k, p in rules.CAUTION_LABELS] + [f"CASE WHEN {_all('line', ps)} THEN {_q(k)} END" for k, ps in rules.CAUTION_PAIRS]) + ")"
 
@@ -299,7 +313,8 @@ ORACLES: dict[str, str] = {
     "register_index": f"SELECT * FROM {_REGISTERS} AS r",
     "register_find": f"SELECT filename, name, CAST(score AS int) AS score, confidence FROM (SELECT *, CASE WHEN canonical = 'PRTM_R17_N' THEN 180 ELSE 0 END + CASE WHEN list_contains({_KNOWN}, 'PRTM_R17_N') THEN 160 ELSE 0 END + CASE WHEN len(list_filter({_KNOWN}, lambda a: contains(a, 'PRTM_R17_N') OR contains('PRTM_R17_N', a))) > 0 THEN 85 ELSE 0 END + CASE WHEN contains({_norm('concat_ws(chr(32), name, description)')}, 'prtm r17 n') THEN 45 ELSE 0 END AS score FROM {_REGISTERS} AS r) AS s WHERE score > 0 ORDER BY score DESC, confidence DESC, first_page, filename, name LIMIT 30",
     "register_near_pages": f"SELECT n.filename, n.page, count(*) AS registers, min(name) AS first_register FROM (SELECT DISTINCT filename, page FROM {_cautions('caution')} AS c) AS n JOIN {_REGISTERS} AS r ON n.filename = r.filename AND abs(n.page - r.first_page) <= 1 WHERE explicit = 1 GROUP BY n.filename, n.page",
-    "register_mapping": f"SELECT DISTINCT b.filename, b.page, b.register AS symbol, r.name AS register, CASE WHEN r.name IS NULL THEN 'unresolved' ELSE 'mapped' END AS status FROM {_bit_rows('bit')} AS b LEFT JOIN (SELECT * FROM {_REGISTERS} AS x WHERE explicit = 1) AS r ON b.filename = r.filename AND b.register = r.name",
+    "register_mapping": _MAPPING,
+    "bitfield_conflicts": "SELECT filename, register, bitfield, field, string_agg(value, ',' ORDER BY value) AS values FROM (" + " UNION ".join(f"SELECT filename, register, bitfield, '{c}' AS field, {c} AS value FROM {_bit_rows('bit')} AS b WHERE trim({c}) <> '' AND lower({c}) <> 'unknown'" for c in ("position", "field_range", "access", "reset")) + ") AS v GROUP BY filename, register, bitfield, field HAVING count(*) > 1",
     "bitfield_rows": f"SELECT * FROM {_bit_rows()} AS b",
     "bitfield_index": f"SELECT * FROM {_FIELDS} AS f",
     "bitfield_validation": f"SELECT filename, register, bitfield, position, register_width, coalesce(at_high - at_low, own_high - own_low) + 1 AS width, CASE WHEN issues = '' THEN 'valid' WHEN conflicts > 0 THEN 'conflict' ELSE 'needs_verification' END AS status, issues FROM {_VALID} AS v WHERE issues = '' OR conflicts > 0 OR position <> 'unknown' OR (CASE WHEN access <> 'unknown' THEN 1 ELSE 0 END + CASE WHEN reset <> 'unknown' THEN 1 ELSE 0 END) >= 2",
@@ -375,3 +390,9 @@ ORACLES |= {
     "table_roles": _roles("(" + HEADERS.replace("FROM VALUES", "FROM (VALUES").replace(" AS t(", ") AS t(") + ")"),
     "table_found_roles": _roles(f"(SELECT filename, cell, text FROM {_CELLS} AS d)"),
 }
+
+ORACLES |= figure_queries.oracles(_cautions("caution"))
+
+_CUT, _, _NUMBERED = _chunk_sql().removeprefix("WITH RECURSIVE ").rpartition("\nSELECT filename, page, CAST(row_number()")
+_PARTS = f"{_CUT},\nparts AS (SELECT filename, page, CAST(row_number(){_NUMBERED.replace('length(t) AS n_chars, md5(t) AS digest', 't AS text')})"
+ORACLES |= passage_queries.oracles(_PARTS)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import bitfields, figures, guidance, pages, quality, registers, review, search, tables
+from folioscope.plans import figure_queries, passage_queries
+from folioscope.operators import bitfields, figures, guidance, pages, passages, quality, registers, review, search, tables
 from folioscope.sources import artifacts
 from folioscope.sources.corpora import manual_lines, manual_words, prose_pages
 
@@ -62,7 +63,7 @@ def chunk_text(spark, d):
 
 
 def _typed(spark, d):
-    return _page_text(manual_lines(spark, d)).withColumn("c", pages.chunk_types(F.col("text"))).select(*KEYS, "c.chunk_type", F.array_join("c.types", ",").alias("types"), "c.noise", "c.content")
+    return passages.detected(_page_text(manual_lines(spark, d))).withColumn("c", passages.kind()).select(*KEYS, "c.chunk_type", F.array_join("c.types", ",").alias("types"), "c.noise", "c.content")
 
 
 def chunk_profile(spark, d):
@@ -155,13 +156,18 @@ def register_near_pages(spark, d):
     return met.groupBy(*KEYS).agg(F.count("*").alias("registers"), F.min("name").alias("first_register"))
 
 
+#: Bit lines as fields of a pseudo-register: some keep their text as evidence, some have none, some name a register.
+ASKED = "SELECT filename, page, pos, line, CASE WHEN pos % 3 = 2 THEN regexp_extract(line, '(PRTm_R[0-9]+_n)', 1) ELSE 'PRTM_BASE' END AS source, CASE WHEN pos % 6 = 0 THEN regexp_extract(line, '(PRTm_R[0-9]+_n)', 1) ELSE '' END AS heading, CASE WHEN pos % 3 = 0 THEN line ELSE '' END AS evidence FROM {lines}"
+
+
 def register_mapping(spark, d):
-    asked = bitfields.parse(manual_lines(spark, d, "bit")).select("filename", "page", F.col("register").alias("symbol")).distinct()
-    small = _registers(spark, d).where("explicit = 1")
-    # candidates by canonical name or page, not all pairs
-    exact = asked.join(small.select("filename", "name", "canonical", "first_page", F.col("name").alias("symbol")), ["filename", "symbol"], "left")
-    sure = F.col("name").isNotNull()
-    return exact.select(*KEYS, "symbol", F.when(sure, F.col("name")).alias("register"), F.when(sure, "mapped").otherwise("unresolved").alias("status"))
+    asked = spark.sql(ASKED, lines=manual_lines(spark, d, "bit"))
+    known = _registers(spark, d).select("filename", F.col("first_page").alias("page"), "name", "explicit")
+    return registers.resolve(asked, known, [*KEYS, "pos"])
+
+
+def bitfield_conflicts(spark, d):
+    return bitfields.conflicts(bitfields.parse(manual_lines(spark, d, "bit")))
 
 
 def bitfield_rows(spark, d):
@@ -422,4 +428,6 @@ def table_found_roles(spark, d):
     return tables.column_roles(tables.cells(manual_words(spark, d)).select("filename", "cell", F.concat_ws(":", "page", "row").alias("row"), "text"), ["filename", "cell"])
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_symbols, text_tokens, text_counts, text_fuzzy, chunk_text, chunk_profile, chunk_type_stats, section_index, section_search, section_nearest, search_lexical, search_bm25, search_proximity, search_hybrid, search_fuzzy, search_fuzzy_all, search_evidence, search_fusion, register_rows, register_index, register_find, register_near_pages, register_mapping, bitfield_rows, bitfield_index, bitfield_validation, bitfield_overlaps, caution_lines, caution_index, sequence_write_pairs, sequence_steps, sequence_structure, sequence_clusters, sequence_best_cluster, sequence_topics, table_cells, table_blocks, table_stitch, table_kinds, table_continuation, table_carried_register, figure_manifest, figure_visual_tables, figure_kinds, evidence_latest, evidence_queue, evidence_report, artifact_descendants, artifact_health, golden_facts, requirement_match, eval_assertions, cache_evict, resume_pages, read_pages, register_list, register_groups, module_type, register_summary, register_usage, register_alias, diagram_edges, diagram_nodes, diagram_signals, pin_functions, figure_context, table_coverage, evidence_gate, golden_bootstrap, artifact_reconcile, table_roles, table_found_roles)}
+QUERIES = {f.__name__: f for f in (text_normalize, text_symbols, text_tokens, text_counts, text_fuzzy, chunk_text, chunk_profile, chunk_type_stats, section_index, section_search, section_nearest, search_lexical, search_bm25, search_proximity, search_hybrid, search_fuzzy, search_fuzzy_all, search_evidence, search_fusion, register_rows, register_index, register_find, register_near_pages, register_mapping, bitfield_conflicts, bitfield_rows, bitfield_index, bitfield_validation, bitfield_overlaps, caution_lines, caution_index, sequence_write_pairs, sequence_steps, sequence_structure, sequence_clusters, sequence_best_cluster, sequence_topics, table_cells, table_blocks, table_stitch, table_kinds, table_continuation, table_carried_register, figure_manifest, figure_visual_tables, figure_kinds, evidence_latest, evidence_queue, evidence_report, artifact_descendants, artifact_health, golden_facts, requirement_match, eval_assertions, cache_evict, resume_pages, read_pages, register_list, register_groups, module_type, register_summary, register_usage, register_alias, diagram_edges, diagram_nodes, diagram_signals, pin_functions, figure_context, table_coverage, evidence_gate, golden_bootstrap, artifact_reconcile, table_roles, table_found_roles)}
+QUERIES |= figure_queries.QUERIES
+QUERIES |= passage_queries.QUERIES

@@ -13,6 +13,8 @@ from folioscope import share
 
 PROSE = "SELECT source AS filename, CAST(doc_id AS int) AS page, coalesce(text, '') AS text FROM documents"
 
+#: Lines of a kind on a page at most.
+KIND_LINES = 1_000_000
 #: (kind, table, filename key, page key, line)
 _LINES = [
     ("register", "part", "p_partkey", "p_partkey / 40", "concat(p_type, ' Register n PRTm_R', p_partkey, '_n 0000_', lpad(concat(p_size), 4, '0'), 'h ', lpad(concat(p_partkey * 4), 8, '0'), 'h + k x 0040h ', CASE p_partkey % 3 WHEN 0 THEN '8' WHEN 1 THEN '16' ELSE '32' END)"),
@@ -29,9 +31,13 @@ _LINES = [
 
 
 def manual_sql() -> str:
-    """SQL for rows (filename, page, pos, line, kind); pos orders the lines of a page."""
-    parts = [f"SELECT DISTINCT concat('manual', {key} % 5) AS filename, CAST(floor({page}) AS int) AS page, {line} AS line, '{kind}' AS kind FROM {table}" for kind, table, key, page, line in _LINES]
-    return f"SELECT filename, page, CAST(row_number() OVER (PARTITION BY filename, page ORDER BY kind, line) AS int) AS pos, line, kind FROM ({' UNION ALL '.join(parts)}) AS l"
+    """SQL for rows (filename, page, pos, line, kind); pos orders the lines of a page, those of a kind together.
+
+    Lines are numbered within their kind, so that a filter on the kind reaches the scans.
+    """
+    rank = {kind: i for i, kind in enumerate(sorted(k for k, *_ in _LINES))}
+    parts = [f"SELECT DISTINCT concat('manual', {key} % 5) AS filename, CAST(floor({page}) AS int) AS page, {line} AS line, '{kind}' AS kind, {rank[kind] * KIND_LINES} AS start FROM {table}" for kind, table, key, page, line in _LINES]
+    return f"SELECT filename, page, CAST(start + row_number() OVER (PARTITION BY filename, page, kind, start ORDER BY line) AS int) AS pos, line, kind FROM ({' UNION ALL '.join(parts)}) AS l"
 
 
 #: Word boxes of a register table: four cells a row, at fixed columns with a little jitter.
