@@ -6,7 +6,7 @@ back, to the next. All but the last return the columns of documents.
 
 Odd input, in every stage: a null text is an empty one; rows without a doc_id pass all filters;
 repeated rows are each kept or dropped together, but for near duplicates, which keep one row of
-each document id; an empty table stays empty; further columns pass through all but the last stage.
+each document (its id and text); an empty table stays empty; further columns pass through all but the last stage.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, decontaminate, line_dedup, near_duplicates, toxicity
-from folioscope.llm.common import cut, table
+from folioscope.llm.common import cut, table, whole_text
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.7
@@ -38,12 +38,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of least doc_id, of each class of alike documents; documents without shingles stay."""
+    """Keeps one document, that of least doc_id, of each class of alike documents; documents without shingles stay.
+
+    Different texts under one doc_id are different documents: of a class with two of them one stays.
+    """
+    text = F.xxhash64(whole_text())
     known = docs.where("doc_id is not null")
-    classes = near_duplicates.classes(known)
-    kept = cut(classes.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct(), "kept")
-    one = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    classes = cut(near_duplicates.classes(known, by_text=True), "classes")
+    first = classes.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "t")).alias("f")).select("f.doc_id", "f.t")
+    kept = cut(first.unionByName(classes.where("class is null").select("doc_id", "t")).distinct(), "kept")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
+    one = known.withColumn("__h", text).join(kept, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__h") == F.col("__t")), "left_semi").dropDuplicates(["doc_id", "__h"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    A machine-local folder is set up only where the session names none (tests).
+    A machine-local folder is set up only where the session names none and runs on one machine (tests).
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -384,10 +384,12 @@ def _links(units: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return met.groupBy("unit").applyInArrow(lambda t: _compare(t, words, percent), "a long, b long")
 
 
-def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, percent: int = 75, by_text: bool = False) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for all rows of docs (doc_id, text).
 
-    Two documents are alike when 100 * overlap >= percent * union of their shingle sets.
+    Two documents are alike when 100 * overlap >= percent * union of their shingle sets. With
+    by_text also t, a hash of the row's text, and class, which is the same for all rows of a class
+    and for no others, whatever texts stand under one id (null where nothing can be linked).
     """
     spark = docs.sparkSession
     work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -447,19 +449,17 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     # Documents meet their sets' classes; sets that many documents have are broadcast, at most OFTEN of them.
     classed = owners.join(linked, "sid", "left").select("sid", "times", F.col("at.doc_id").alias("least"), F.coalesce("component", "sid").alias("class"))
     least = classed.groupBy("class").agg(F.min("least").alias("component_id"))
-    of_set = cut(classed.join(least, "class").select("sid", "times", "component_id"), "of_set")
+    of_set = cut(classed.join(least, "class").select("sid", "times", "component_id", "class"), "of_set")
     many = of_set.agg(F.sum("times")).first()[0] or 0
-    common = of_set.where(F.col("times") * OFTEN > many).select("sid", "component_id")
-    rest = of_set.where(F.col("times") * OFTEN <= many).select("sid", "component_id")
+    common = of_set.where(F.col("times") * OFTEN > many).select("sid", "component_id", "class")
+    rest = of_set.where(F.col("times") * OFTEN <= many).select("sid", "component_id", "class")
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     is_common = F.coalesce(F.col("is_common"), F.lit(False))
-    marked = sets.join(F.broadcast(common.select("sid", F.col("component_id").alias("of_common"), F.lit(True).alias("is_common"))), "sid", "left")
-    out = lambda df, c: df.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"))
-    return (
-        out(marked.where(is_common & linkable), F.col("of_common"))
-        .unionByName(out(marked.where(~is_common & linkable).join(rest, "sid"), F.col("component_id")))
-        .unionByName(out(sets.where(~linkable), F.col("doc_id")))
-    )
+    marked = sets.join(F.broadcast(common.withColumn("is_common", F.lit(True))), "sid", "left")
+    names = ["doc_id", F.col("n").alias("n_shingles"), "component_id", *(["t", "class"] if by_text else [])]
+    alone = sets.where(~linkable).withColumn("component_id", F.col("doc_id")).withColumn("class", F.lit(None).cast("long"))
+    rest = marked.where(~is_common & linkable).drop("component_id", "class").join(rest, "sid")
+    return marked.where(is_common & linkable).select(*names).unionByName(rest.select(*names)).unionByName(alone.select(*names))
 
 
 def _once(texts: DataFrame) -> DataFrame:

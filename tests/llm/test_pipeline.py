@@ -50,3 +50,11 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids"] and 0 < out.count() <= 200
     assert out.select("doc_id").distinct().count() == out.count()
+
+def test_texts_under_one_id(spark):
+    """Different texts under one id are different documents: alike ones go by class, others stay."""
+    long_ = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, long_[0], "x"), (1, long_[1], "y"), (1, long_[1], "y"), (2, long_[0], "z"), (3, long_[2], "z"), (4, None, "n"), (4, "", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert kept == sorted([(1, long_[0]), (1, long_[1]), (3, long_[2]), (4, "")])

@@ -199,3 +199,13 @@ def test_telling_words_lose_nothing():
             gain = model.weights[c] - model.weights[other]
             rest = sum(w for g, w in zip(model.grams, gain, strict=True) if w > 0 and not telling & set(g.split(" ")))
             assert rest < model.bias[other] - model.bias[c]
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scored = []
+    for n in (1, 16):
+        rows = ctw.score(docs.repartition(n, "doc_id"), remainder("doc_id", 7) != 2).collect()
+        scored.append({r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in rows})
+    assert scored[0].keys() == scored[1].keys()
+    assert all(scored[0][d] == pytest.approx(scored[1][d], rel=1e-9) for d in scored[0])
