@@ -1,211 +1,125 @@
-"""Language-model scoring by context-tree weighting over bytes.
-
-Every byte of a token is eight binary decisions. A decision's contexts are the 0 to DEPTH bytes
-before it (spaces before a token's start); each context node keeps how often the decision went
-either way, estimates it by Krichevsky-Trofimov, and the context tree weights all depths: with
-P_e the estimate's probability of all a node has seen and P_w that of the weighted mixture,
-P_w = (P_e + product of the children's P_w) / 2. A new decision is predicted by the mixture of the
-estimates along its context path, down to the deepest node that exists.
-
-A token is its bytes and a closing space; the end of a text is the byte 0x0A where a token would
-begin. Tokens are independent given the model, so the code length of a text is the sum over its
-tokens. The whole token is one more node above the tree: seen c times among N tokens of V kinds,
-it has probability (c - d + (d * V + 1) * spelling) / (N + 1), where spelling is what the tree
-gives its bytes and the discount d follows from how many tokens were seen once and twice. The tree
-therefore learns how distinct tokens are spelt. Above that stands one more node, for the token in
-its surroundings: the last marker, a frequent short word, says which of STATES groups of markers
-the text is in (groups follow each other little, as languages do); the token's count there is
-discounted likewise, and what is left goes by the token itself. All statistics come from all
-training texts:
-
-0. short words are counted in all training texts, then what marker (the most frequent) follows
-   which, and the markers grouped;
-1. tokens are counted by state (partly in place, then by a shuffle);
-2. counts of (context, byte) follow from the distinct tokens; the subtree below each context of
-   SPLIT bytes is worked out by itself, the levels above as keyed tables, upwards for P_w and
-   downwards for the mixture;
-3. every distinct token gets its log-probability;
-4. texts look up their tokens: the HEAD most frequent (a fixed number) from a broadcast table,
-   all others by a join.
+"""Language-model scoring by context-tree weighting over the bytes of texts.
+
+A text is coded as its words, A-Z in lower case, each with a space behind it, and the byte 0x0A at
+its end; DEPTH spaces go before it. Every byte is eight binary decisions. A decision's contexts are
+the 0 to DEPTH bytes before it, across words; each context node keeps how often the decision went
+either way in all training texts, estimates it by Krichevsky-Trofimov, and the context tree weights
+all depths: with P_e the estimate's probability of all a node has seen and P_w that of the weighted
+mixture, P_w = (P_e + product of the children's P_w) / 2. A byte is predicted by the mixture of the
+estimates along its context path, down to the deepest node that exists. A text's score is the sum
+over its bytes of the log10 probabilities, its code length; the bytes' probabilities sum to 1.
+
+1. One pass counts the words (by 64-bit hashes) and the steps, a context of DEPTH bytes and a byte,
+   of all training texts; steps of other texts come along with a count of 0. Tasks add up what they
+   can before anything is shuffled.
+2. The subtree below each context of SPLIT bytes is worked out by itself, the levels above as keyed
+   tables, upwards for P_w and downwards for the mixture; that gives every step its probability.
+3. Texts look their steps up in that table, broadcast if it takes at most BROADCAST_BYTES and else by
+   a join; and their words in that of the HEAD most frequent (a fixed number), all others by a join.
 
 Results for odd input: null and empty texts consist of the end alone; repeated rows each get their
 row; a null doc_id counts as the empty text where training texts are chosen; without any training
-text N and V are 0; an empty table gives an empty table; other columns are not read.
+text N and V are 0 and every decision is even; an empty table gives an empty table; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, slices, whole_text
-
-DEPTH = 6
-#: Tokens looked up by broadcast, and (context, byte) predictions up to which these are broadcast.
-HEAD, BROADCAST_PREDICTIONS = 150_000, 3_000_000
-#: Marker words, their greatest length, and groups of them.
-MARKERS, MARKER_BYTES, STATES = 64, 5, 6
-#: Distinct tokens a counting task holds before it passes them on.
-HELD_TOKENS = 400_000
-END = b""
-
-
-class _Places(dict):
-    """Places by token; all that are not there share the one behind the last."""
-
-    def __missing__(self, token: bytes) -> int:
-        return len(self)
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words of the text with A-Z in lower case, as bytes; without the end."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
+from folioscope.llm import words
+from folioscope.llm.common import cut, forget, released, whole_text
+
+DEPTH = 5
+#: Words looked up by broadcast, bytes of predictions up to which these are broadcast, and rows a task holds back.
+HEAD, BROADCAST_BYTES, HELD = 1_000_000, 64 << 20, 3_000_000
+#: The key of the end of a text among the words' hashes.
+END = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def steps(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys context << 8 | byte of all coded bytes of the texts, end to end, and how many each text has."""
+    data, offsets = words.data_of(texts)
+    begin, end = words.spans(data, offsets)
+    size = end - begin
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(begin, offsets)))
+    # Each text: depth spaces, its words with a space behind each, the end.
+    start = np.cumsum(size + 1) - (size + 1) + (text + 1) * depth + text
+    out = np.full(int((size + 1).sum()) + len(texts) * (depth + 1), 32, np.uint8)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[at + np.repeat(start, size)] = _LOWER[data[at + np.repeat(begin, size)]]
+    coded = np.bincount(text, size + 1, len(texts)).astype(np.int64) + 1
+    ends = np.cumsum(coded + depth) - 1
+    out[ends] = 10
+    keep = np.ones(len(out), bool)
+    for k in range(depth):
+        keep[ends - coded + 1 - depth + k] = False
+    key = out.astype(np.uint64)
+    for k in range(1, depth + 1):
+        key[k:] |= out[:-k].astype(np.uint64) << np.uint64(8 * k)
+    return key[keep].view(np.int64), coded
 
-def markers(docs: DataFrame, training: Column, many: int = MARKERS, states: int = STATES) -> dict[bytes, int]:
-    """The state, from 1, that each marker word leads to."""
 
-    def short(batches):
-        seen: Counter = Counter()
+class _Sums:
+    """Counts by key, added up now and then."""
 
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["a", "n"])
-            seen.clear()
-            return out
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
-        for batch in batches:
-            for part in slices(batch):
-                seen.update(w for t in part.column(0).to_pylist() for w in tokens(t) if len(w) <= MARKER_BYTES)
-                if len(seen) > HELD_TOKENS:
-                    yield rows()
-        yield rows()
-
-    text = docs.select(whole_text().alias("text"), training.alias("train")).where("train").select("text")
-    counted = text.mapInArrow(short, "a binary, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    top = [r.a for r in counted.orderBy(F.desc("n"), "a").limit(many).collect()]
-    if not top:
-        return {}
-    often = frozenset(map(bytes, top))
+    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
+        self.held.append((keys, times))
+        self.size += len(keys)
+        if self.size > HELD:
+            self.close()
 
-    def run(batches):
-        follow: Counter = Counter()
-        for batch in batches:
-            for part in slices(batch):
-                for t in part.column(0).to_pylist():
-                    marks = [w for w in tokens(t) if w in often]
-                    follow.update(zip(marks, marks[1:], strict=False))
-        pairs = list(follow)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary()), pa.array(list(follow.values()), pa.int64())], names=["a", "b", "n"])
-
-    found = text.mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    at = {bytes(w): i for i, w in enumerate(top)}
-    seen = np.zeros((len(top), len(top)))
-    for r in found.collect():  # at most MARKERS squared
-        seen[at[bytes(r.a)], at[bytes(r.b)]] += r.n
-    groups = group_markers(seen, states)
-    return {w: groups[i] + 1 for w, i in at.items()}
-
-
-def group_markers(follow: np.ndarray, states: int) -> list[int]:
-    """Merges the two groups that follow each other most beyond chance, until `states` are left."""
-    follow = follow + follow.T
-    groups = [[i] for i in range(len(follow))]
-    while len(groups) > states:
-        sums = follow.sum(1) + 1e-9
-        lift = follow / sums[:, None] / sums
-        np.fill_diagonal(lift, -1)
-        i, j = sorted(np.unravel_index(int(lift.argmax()), lift.shape))
-        groups[i] += groups.pop(j)
-        follow[i] += follow[j]
-        follow[:, i] += follow[:, j]
-        follow = np.delete(np.delete(follow, j, 0), j, 1)
-    return [next(g for g, members in enumerate(groups) if i in members) for i in range(sum(map(len, groups)))]
-
-
-def segments(words: list[bytes], state_of) -> list[tuple[int, list[bytes]]]:
-    """Runs of words with the state each stands in; the last run, with the end's state, may be empty."""
-    out, state, start = [], 0, 0
-    for i, s in [(i, s) for i, s in enumerate(map(state_of, words)) if s is not None]:
-        if s != state:
-            out.append((state, words[start : i + 1]))
-            state, start = s, i + 1
-    out.append((state, words[start:]))
-    return out
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held) > 1:
+            keys, at = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+            self.held = [(keys, np.bincount(at, np.concatenate([t for _, t in self.held]), len(keys)).astype(np.int64))]
+        self.size = len(self.held[0][0]) if self.held else 0
+        return self.held[0] if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def count_tokens(docs: DataFrame, training: Column, states: dict[bytes, int] | None = None, many: int = STATES) -> DataFrame:
-    """Rows (tok, c, cs): every token of docs with its count in training rows, in all and by state; the end is the empty token."""
-    held = docs.sparkSession.sparkContext.broadcast(states or {})
+def count(docs: DataFrame, training: Column, depth: int) -> DataFrame:
+    """Rows (kind, key, n): words (kind 0) of training texts, and steps (kind 1) of all, with their counts in training texts."""
 
     def run(batches):
-        state_of = held.value.get
-        learnt: list[Counter] = [Counter() for _ in range(many + 1)]
-        other: set[bytes] = set()
+        found = _Sums(), _Sums()
 
         def rows():
-            keys = [*chain.from_iterable(learnt), *other]
-            marks = np.repeat(np.arange(many + 2), [*map(len, learnt), len(other)])
-            counts = [*chain.from_iterable(x.values() for x in learnt), *([0] * len(other))]
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.minimum(marks, many).astype(np.int32)), pa.array(counts, pa.int64())], names=["tok", "state", "c"])
-            for x in learnt:
-                x.clear()
-            other.clear()
-            return out
+            for kind, sums in enumerate(found):
+                keys, n = sums.close()
+                for a in range(0, len(keys), 100_000):
+                    b = min(len(keys), a + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, kind, np.int32)), pa.array(keys[a:b]), pa.array(n[a:b])], names=["kind", "key", "n"])
+                sums.held, sums.size = [], 0
 
         for batch in batches:
-            for part in slices(batch):
-                for text, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = tokens(text)
-                    if train:
-                        for state, some in segments(words, state_of):
-                            learnt[state].update(some)
-                        learnt[state][END] += 1
-                    else:
-                        other.update(words)
-                        other.add(END)
-                if sum(map(len, learnt)) + len(other) > HELD_TOKENS:
-                    yield rows()
-        yield rows()
-
-    found = docs.select(whole_text().alias("text"), training.alias("train")).mapInArrow(run, "tok binary, state int, c long")
-    sums = found.groupBy("tok").agg(F.sum("c").alias("c"), *(F.sum(F.when(F.col("state") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(many + 1)))
-    return sums.select("tok", "c", F.array(*(f"c{k}" for k in range(many + 1))).alias("cs"))
-
-
-def steps(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys context << 8 | byte of all coded bytes of the tokens, and the token each belongs to."""
-    pad = b" " * depth
-    coded = [w + b" " if w else b"\n" for w in words]
-    raw = np.frombuffer(b"".join(pad + c for c in coded), np.uint8).astype(np.uint64)
-    sizes = np.array([len(c) for c in coded])
-    ends = np.cumsum(sizes + depth)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(ends - sizes, sizes)
-    key = raw[at].copy()
-    for k in range(1, depth + 1):
-        key |= raw[at - k] << np.uint64(8 * k)
-    return key.astype(np.int64), owner
-
-
-def count_steps(types: DataFrame, depth: int) -> DataFrame:
-    """Rows (step, n): all steps of all tokens, with how many distinct training tokens have them."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 20_000):
-                key, owner = steps(part.column(0).to_pylist(), depth)
-                keys, at = np.unique(key, return_inverse=True)
-                n = np.bincount(at, (part.column(1).to_numpy() > 0)[owner], len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["step", "n"])
-
-    return types.select("tok", "c").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+            for part in words.slices(batch, 0):
+                train = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                for learnt in (True, False):
+                    texts = part.column(0).filter(pa.array(train == learnt))
+                    if not len(texts):
+                        continue
+                    keys, n = np.unique(steps(texts, depth)[0], return_counts=True)
+                    found[1].add(keys, n if learnt else np.zeros(len(n), np.int64))
+                    if learnt:
+                        keys, n = np.unique(words.of_texts(texts)[0].view(np.int64), return_counts=True)
+                        found[0].add(np.r_[END, keys], np.r_[len(texts), n])
+            if max(x.size for x in found) > HELD // 2:
+                yield from rows()
+        yield from rows()
+
+    work = docs.select(whole_text().alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    return work.mapInArrow(released(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -283,7 +197,7 @@ def _mixtures(levels: list[Level], top: int, acc: np.ndarray, rest: np.ndarray,
 
 
 #: The tree's first levels, of contexts of up to SPLIT bytes, are tables; what hangs below one context of SPLIT bytes is worked out together.
-SPLIT = 3
+SPLIT = 2
 
 
 def _stems(counted: DataFrame, depth: int, top: int) -> DataFrame:
@@ -373,116 +287,72 @@ def predict(counted: DataFrame, depth: int) -> DataFrame:
     return done.unionByName(rest.select("step", (F.col("lp") + F.col("more")).alias("lp")))
 
 
-def _token_scores(types: DataFrame, predictions: DataFrame, depth: int, most: int) -> DataFrame:
-    """Rows (tok, c, cs, lp). Predictions are broadcast up to `most` of them and joined beyond."""
-    if predictions.count() <= most:
-        got = predictions.toArrow()
-        keys = got.column("step").to_numpy()
-        order = np.argsort(keys)
-        table = types.sparkSession.sparkContext.broadcast((keys[order], got.column("lp").to_numpy()[order]))
-
-        def run(batches):
-            at, lp = table.value
-            for batch in batches:
-                for part in slices(batch, 20_000):
-                    key, owner = steps(part.column(0).to_pylist(), depth)
-                    sums = np.bincount(owner, lp[np.searchsorted(at, key)], part.num_rows)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums)], names=["tok", "c", "cs", "lp"])
-
-        return types.select("tok", "c", "cs").mapInArrow(run, "tok binary, c long, cs array<long>, lp double")
-
-    def spread(batches):
-        for batch in batches:
-            for part in slices(batch, 20_000):
-                key, owner = steps(part.column(0).to_pylist(), depth)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(key)], names=["tok", "step"])
-
-    sums = types.select("tok").mapInArrow(spread, "tok binary, step long").join(predictions, "step").groupBy("tok").agg(F.sum("lp").alias("lp"))
-    return types.join(sums, "tok")
-
-
-def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEAD, broadcast_predictions: int = BROADCAST_PREDICTIONS) -> DataFrame:
+def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for all rows of docs."""
     if not 0 <= depth <= 6:
         raise ValueError("contexts of up to 6 bytes fit a key")
     spark = docs.sparkSession
-    states = markers(docs, training)
-    types = cut(count_tokens(docs, training, states), "types")
-    kinds = lambda when: F.coalesce(F.sum(F.expr(f"CAST({when} AS long)")), F.lit(0))
-    wide = STATES + 1
-    by_state = [x for k in range(wide) for x in (F.coalesce(F.sum(F.expr(f"cs[{k}]")), F.lit(0)), kinds(f"cs[{k}] > 0"), kinds(f"cs[{k}] = 1"), kinds(f"cs[{k}] = 2"))]
-    n, v, once, twice, *rest = types.agg(F.coalesce(F.sum("c"), F.lit(0)), kinds("c > 0"), kinds("c = 1"), kinds("c = 2"), *by_state).first()
-    off = lambda one, two: one / (one + 2 * two) if one else 0.5
-    discounted = lambda c, total, kinds_, d, below: F.when(F.lit(total > 0), (F.when(c > 0, c - d).otherwise(0.0) + (d * kinds_) * below) / max(total, 1)).otherwise(below)
-    discount = off(once, twice)
-    spelling = F.pow(F.lit(10.0), "lp")
-    token = (F.when(F.col("c") > 0, F.col("c") - discount).otherwise(0.0) + (discount * v + 1) * spelling) / (n + 1.0)
-    lps = F.array(*(F.log10(discounted(F.expr(f"cs[{k}]"), rest[4 * k], rest[4 * k + 1], off(*rest[4 * k + 2 : 4 * k + 4]), F.col("p"))) for k in range(wide)))
-    counted = cut(count_steps(types, depth), "steps")
-    predictions = cut(predict(counted, depth), "predictions")
-    scored = _token_scores(types, predictions, depth, broadcast_predictions).withColumn("p", token)
-    scored = cut(scored.select("tok", "c", lps.alias("lps")), "tokens")
-    top = scored.orderBy(F.desc("c"), "tok").limit(head).toArrow()  # a fixed number
-    held = spark.sparkContext.broadcast((top.column("tok").to_pylist(), top.column("c").to_pylist(), top.column("lps").combine_chunks().flatten().to_numpy(), states))
+    counted = cut(count(docs, training, depth), "counts")
+    forget(spark)
+    tokens = counted.where("kind = 0").select(F.col("key").alias("tok"), F.col("n").alias("c"))
+    n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = float(n + v + 1)
+    predictions = cut(predict(counted.where("kind = 1").select(F.col("key").alias("step"), "n"), depth), "predictions")
+    top = tokens.orderBy(F.desc("c"), "tok").limit(head).toArrow()  # a fixed number
+    order = np.argsort(top.column("tok").to_numpy())
+    in_place = 16 * predictions.count() <= broadcast_bytes
+    steps_, lp = np.zeros(0, np.int64), np.zeros(0)
+    if in_place:
+        got = predictions.toArrow()
+        by = np.argsort(got.column("step").to_numpy())
+        steps_, lp = got.column("step").to_numpy()[by], got.column("lp").to_numpy()[by]
+    held = spark.sparkContext.broadcast((top.column("tok").to_numpy()[order], top.column("c").to_numpy()[order], steps_, lp))
 
     def run(batches):
-        toks_, counts_, lps_, states_ = held.value
-        size = len(toks_)
-        # Places of the broadcast tokens, then of markers that are not among them; all others share the last place.
-        extra = sorted(set(states_) - set(toks_))
-        place = _Places({t: i for i, t in enumerate((*toks_, *extra))})
-        state_at = np.array([*(states_.get(t, 0) for t in (*toks_, *extra)), 0])
-        counts = np.array(counts_, np.int64)
-        base, lp = np.log10((counts + 1) / total), lps_.astype(float).reshape(size, wide)
+        toks, counts, known_steps, lps = held.value
+        base = np.log10((counts + 1) / total)
         for batch in batches:
-            for part in slices(batch, 128):
-                texts = part.column(1).to_pylist()
-                raws = [t.encode("utf-8", "surrogatepass") for t in texts]
-                every = [[*r.lower().split(), END] for r in raws]
-                lengths = np.array([len(w) for w in every])
-                words = list(chain.from_iterable(every))
-                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                owner = np.repeat(np.arange(len(every)), lengths)
-                # The state a token stands in: that of the last marker before it in its text.
-                mark = state_at[at]
-                last = np.maximum.accumulate(np.where(mark > 0, np.arange(len(at)), -1))
-                last = np.r_[-1, last[:-1]]
-                state = np.where(last >= (np.cumsum(lengths) - lengths)[owner], mark[last], 0)
-                known = at < size
-                i, st, of = at[known], state[known], owner[known]
-                sums = [np.bincount(of, x, len(every)) for x in (counts[i] > 0, base[i], lp[i, st])]
-                left = np.flatnonzero(~known)
-                rest_: list[Counter] = [Counter() for _ in every]
-                for d, t, k in zip(owner[left].tolist(), left.tolist(), state[left].tolist(), strict=True):
-                    rest_[d][words[t], k] += 1
-                ids, hashes, toks, marks, tfs, heads = [], [], [], [], [], []
-                for d, (doc_id, raw) in enumerate(zip(part.column(0).to_pylist(), raws, strict=True)):
-                    h = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-                    toks += [t for t, _ in rest_[d]]
-                    marks += [k for _, k in rest_[d]]
-                    tfs += rest_[d].values()
-                    # The text's own row; its key holds a line end, so it is no token.
-                    toks.append(b"\n" + h.to_bytes(8, "little", signed=True) + str(doc_id).encode())
-                    marks.append(0)
-                    tfs.append(1)
-                    ids += [doc_id] * (len(rest_[d]) + 1)
-                    hashes += [h] * (len(rest_[d]) + 1)
-                    heads += [None] * len(rest_[d])
-                    heads.append({"n": len(every[d]), "k": int(sums[0][d]), "b": float(sums[1][d]), "s": float(sums[2][d]), "size": len(raw)})
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(toks, pa.binary()), pa.array(marks, pa.int32()), pa.array(tfs, pa.int32()), pa.array(heads, pa.struct([("n", pa.int64()), ("k", pa.int64()), ("b", pa.float64()), ("s", pa.float64()), ("size", pa.int64())]))], names=["doc_id", "h", "tok", "state", "tf", "own"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, h long, tok binary, state int, tf int, own struct<n:long,k:long,b:double,s:double,size:long>")
-    met = rows.join(scored, "tok", "left")
-    own, zero = F.col("own"), F.lit(0.0)
+            for part in words.slices(batch, 1):
+                rows = part.num_rows
+                keys, coded = steps(part.column(1), depth)
+                score = np.zeros(rows)
+                if in_place:
+                    each, at = np.unique(keys, return_inverse=True)
+                    score = np.bincount(np.repeat(np.arange(rows), coded), lps[np.searchsorted(known_steps, each)][at], rows).astype(float)
+                flat, many = words.of_texts(part.column(1))
+                # Each text's words, then its end.
+                word = np.insert(flat.view(np.int64), np.cumsum(many), END)
+                owner = np.repeat(np.arange(rows), many + 1)
+                at = np.searchsorted(toks, word)
+                at[at == len(toks)] = 0
+                there = toks[at] == word if len(toks) else np.zeros(len(word), bool)
+                k = np.bincount(owner[there], counts[at[there]] > 0, rows).astype(np.int64) if len(toks) else np.zeros(rows, np.int64)
+                b = np.bincount(owner[there], base[at[there]], rows).astype(float) if len(toks) else np.zeros(rows)
+                pairs, tf = np.unique(np.stack([owner[~there], word[~there]]), axis=1, return_counts=True) if not there.all() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+                size = np.diff(words.data_of(part.column(1))[1])
+                own = pa.StructArray.from_arrays([pa.array(many + 1), pa.array(k), pa.array(b), pa.array(score), pa.array(size)], names=["n", "k", "b", "s", "size"])
+                none = pa.nulls(len(tf), own.type)
+                ids, hashes = part.column(0), part.column(2)
+                who = pa.array(pairs[0])
+                # A text's own row is dealt by its hash; other rows carry words that are not in the broadcast table.
+                yield pa.RecordBatch.from_arrays([ids, hashes, hashes, pa.array(np.ones(rows, np.int64)), own], names=["doc_id", "h", "tok", "tf", "own"])
+                yield pa.RecordBatch.from_arrays([ids.take(who), hashes.take(who), pa.array(pairs[1]), pa.array(tf), none], names=["doc_id", "h", "tok", "tf", "own"])
+
+    work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
+    found = work.mapInArrow(released(run), "doc_id long, h long, tok long, tf long, own struct<n:long,k:long,b:double,s:double,size:long>")
+    met = found.join(tokens, "tok", "left") if v > head else found.withColumn("c", F.lit(None).cast("long"))
+    own = F.col("own")
     parts = met.groupBy("doc_id", "h").agg(
-        F.sum(F.expr("CAST(own IS NOT NULL AS int)")).alias("copies"),
+        F.sum(F.expr("CAST(own IS NOT NULL AS long)")).alias("copies"),
         F.sum("own.n").alias("n"),
         F.sum(F.when(own.isNotNull(), F.col("own.k")).otherwise(F.expr("CASE WHEN c > 0 THEN tf ELSE 0 END"))).alias("k"),
-        F.sum(F.when(own.isNotNull(), F.col("own.b")).otherwise(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(total)))).alias("b"),
-        F.sum(F.when(own.isNotNull(), F.col("own.s")).otherwise(F.coalesce(F.col("tf") * F.expr("lps[state]"), zero))).alias("s"),
+        F.sum(F.when(own.isNotNull(), F.col("own.b")).otherwise(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(total)))).alias("b"),
+        F.sum("own.s").alias("s"),
         F.max("own.size").alias("size"),
     )
+    if not in_place:
+        sums = _joined_scores(work, predictions, depth)
+        parts = parts.drop("s").join(sums, parts["doc_id"].eqNullSafe(sums["__id"]) & (parts["h"] == sums["__h"])).drop("__id", "__h")
     each = lambda c: F.col(c) / F.col("copies")
     return parts.select(
         "doc_id",
@@ -492,5 +362,21 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
         each("b").alias("base_score"),
         each("s").alias("score"),
         (-each("s") * math.log2(10) / F.greatest(F.col("size"), F.lit(1))).alias("bits_per_byte"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     ).drop("copy")
+
+
+def _joined_scores(work: DataFrame, predictions: DataFrame, depth: int) -> DataFrame:
+    """Rows (__id, __h, s): the summed scores of all rows of a text, its steps joined with their predictions."""
+
+    def run(batches):
+        for batch in batches:
+            for part in words.slices(batch, 1):
+                keys, coded = steps(part.column(1), depth)
+                owner = np.repeat(np.arange(part.num_rows), coded)
+                pairs, tf = np.unique(np.stack([owner, keys]), axis=1, return_counts=True)
+                who = pa.array(pairs[0])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(2).take(who), pa.array(pairs[1]), pa.array(tf)], names=["__id", "__h", "step", "tf"])
+
+    spread = work.mapInArrow(released(run), "__id long, __h long, step long, tf long").join(predictions, "step")
+    return spread.groupBy("__id", "__h").agg(F.sum(F.col("tf") * F.col("lp")).alias("s"))

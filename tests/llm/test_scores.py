@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,33 +23,25 @@ def test_base_scores_and_odd_input(spark, odd, none):
             counts.update(words(r.text))
     n, v = sum(counts.values()), len(counts)
     want = sorted(((r.doc_id or -1), len(words(r.text)), sum(w in counts for w in words(r.text)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(r.text)), 6)) for r in rows)
-    for head, most in ((200_000, 3_000_000), (1, 0)):  # by broadcast, and by joins alone
-        got = ctw.score(odd, remainder("doc_id", 7) != 2, head=head, broadcast_predictions=most).collect()
+    for head, most in ((1_000_000, 1 << 26), (1, 0)):  # by broadcast, and by joins alone
+        got = ctw.score(odd, remainder("doc_id", 7) != 2, head=head, broadcast_bytes=most).collect()
         assert sorted(((r.doc_id or -1), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 for r in got)
     assert ctw.score(none, remainder("doc_id", 7) != 2).collect() == []
 
 
-def test_markers_do_not_depend_on_slices(spark):
-    """Words rare in every slice but frequent in all are markers; those frequent in one slice alone are not."""
-    rows = [(i, " ".join([f"h{i % 4}{j}" for j in range(8) for _ in range(3)] + ["wide"] * 2)) for i in range(8)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
-    # wide: 16 times in all, twice in a slice; the others 6 times in all, 3 in a slice
-    assert b"wide" in ctw.markers(df, F.lit(True), many=4, states=2)
-    assert ctw.markers(df, F.lit(True), many=4, states=2) == ctw.markers(df.coalesce(1), F.lit(True), many=4, states=2)
-
-
 def test_tree_is_context_tree_weighting():
     """Against a direct recursion over the tree."""
-    words = [b"the", b"then", b"than", b"at"]
-    key, _ = ctw.steps(words, 2)
+    texts = ["The then", "than", "at the"]
+    key, coded = ctw.steps(pa.array(texts), 2)
+    assert coded.tolist() == [10, 6, 8]
     uniq, times = np.unique(key, return_counts=True)
     levels = ctw._subtree(uniq, times, 2, 0)
 
     def counts(context, node):
         out = [0, 0]
-        for w in words:
-            raw = b"  " + w + b" "
+        for t in texts:
+            raw = b"  " + b"".join(w + b" " for w in t.lower().encode().split()) + b"\n"
             for i in range(2, len(raw)):
                 if raw[i - len(context) : i] == context:
                     for k in range(8):
@@ -63,7 +56,7 @@ def test_tree_is_context_tree_weighting():
         a, b = counts(context, node)
         if len(context) == 2 or not a + b:
             return pe(a, b)
-        below = sum(pw(bytes([c]) + context, node) for c in set(b"  thean"))
+        below = sum(pw(bytes([c]) + context, node) for c in set(b"  thean\n"))
         return math.log(0.5) + np.logaddexp(pe(a, b), below)
 
     for level, context in ((0, b""), (1, b"h"), (2, b"th")):
@@ -77,12 +70,31 @@ def test_tree_is_context_tree_weighting():
 
 def test_model_is_a_distribution(spark):
     """Over one step, the probabilities of all bytes sum to 1."""
-    types = spark.createDataFrame([(b"the", 5), (b"then", 2), (b"an", 1), (b"", 3)], "tok binary, c long")
-    counted = ctw.count_steps(types, 3)
-    context = int.from_bytes(b"  t", "big") << 8
-    wanted = counted.unionByName(spark.range(256).selectExpr(f"{context}L | id AS step", "0L AS n")).groupBy("step").agg(F.sum("n").alias("n"))
-    rows = [r.lp for r in ctw.predict(wanted, 3).collect() if r.step & ~255 == context]
-    assert len(rows) == 256 and sum(10**x for x in rows) == pytest.approx(1)
+    docs = spark.createDataFrame([("the then an",), ("then the",), ("",)], "text string")
+    counted = ctw.count(docs, F.lit(True), 3).where("kind = 1").select(F.col("key").alias("step"), "n")
+    for context in (b"  t", b"he ", b"xyz"):
+        at = int.from_bytes(context, "big") << 8
+        wanted = counted.unionByName(spark.range(256).selectExpr(f"{at}L | id AS step", "0L AS n")).groupBy("step").agg(F.sum("n").alias("n"))
+        rows = [r.lp for r in ctw.predict(wanted, 3).collect() if r.step & ~255 == at]
+        assert len(rows) == 256 and sum(10**x for x in rows) == pytest.approx(1)
+
+
+def test_score_is_the_sum_of_predictions(spark):
+    """Against adding up what a plain tree gives each byte; by broadcast and by joins."""
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 9))) for i in range(12)] + [(20, "New words here"), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") < 10
+    key, coded = ctw.steps(pa.array([t for d, t in rows if d < 10]), ctw.DEPTH)
+    every, _ = ctw.steps(pa.array([t or "" for _, t in rows]), ctw.DEPTH)
+    table = {int(k): 0 for k in every}
+    for k in key.tolist():
+        table[k] += 1
+    lp = {r.step: r.lp for r in ctw.predict(spark.createDataFrame(list(table.items()), "step long, n long"), ctw.DEPTH).collect()}
+    want = {d: sum(lp[int(k)] for k in ctw.steps(pa.array([t or ""]), ctw.DEPTH)[0]) for d, t in rows}
+    for most in (1 << 26, 0):
+        got = {r.doc_id: r.score for r in ctw.score(docs, train, broadcast_bytes=most).collect()}
+        assert got == pytest.approx(want)
+    assert want[20] / 15 < want[11] / 25  # what was never seen costs more for each byte
 
 
 def test_lattice():
