@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import tokens as K
 from folioscope.functions.text import DASHES
 from folioscope.operators import diagrams as D
-from folioscope.sources.corpora import manual_lines, manual_sql
+from folioscope.operators import tables
+from folioscope.sources.corpora import manual_lines, manual_sql, manual_words
 
 KEYS = ["filename", "page", "pos"]
 #: Sentences of diagrams, made from the given lines: steps, states, connections.
@@ -91,7 +92,29 @@ def diagram_blocks(spark, d):
     return D.blocks(_said(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (technical_tokens, technical_names, ocr_text, driver_hints, sequence_topics_checked, caution_risks, figure_types, diagram_states, diagram_transitions, diagram_steps, diagram_block_edges, diagram_blocks)}
+#: First rows of the tables of word boxes as layouts; those of some pages are moved, some have no roles.
+LAYOUTS = "SELECT filename, CAST(page AS int) AS page, CASE WHEN page % 5 = 0 THEN 'pinmux-table' ELSE 'register-table' END AS kind, CASE WHEN page % 3 = 0 THEN 'Register Name Offset Address' ELSE 'Pin Name Function 12' END AS header, x0 + CASE WHEN page % 7 = 1 THEN 60.0 ELSE 0.0 END AS x, cell, rows FROM {cells}"
+
+
+def _layout_rows(spark, d):
+    cells = tables.cells(manual_words(spark, d))
+    rows = cells.groupBy("filename", "page").agg(F.countDistinct("row").alias("rows"))
+    return spark.sql(LAYOUTS, cells=cells.where("row = 0").join(rows, ["filename", "page"]))
+
+
+def table_layouts(spark, d):
+    x = F.transform(F.sort_array(F.collect_list(F.struct("cell", "x"))), lambda c: c["x"])
+    found = _layout_rows(spark, d).groupBy("filename", "page", "kind", "header", "rows").agg(x.alias("columns"))
+    roles = F.when(F.col("page") % 2 == 0, F.array(F.lit("register"), F.lit("offset"))).otherwise(F.array(F.lit("unknown")))
+    return tables.stitch_layouts(found.withColumn("roles", roles))
+
+
+def table_pages(spark, d):
+    line = F.concat(F.when(F.col("page") % 4 == 0, F.lit("Register Name ")).otherwise(""), F.lit("x Offset Address"))
+    return tables.candidate_pages(manual_lines(spark, d, "register").select("filename", "page").distinct().withColumn("text", line))
+
+
+QUERIES = {f.__name__: f for f in (table_layouts, table_pages, technical_tokens, technical_names, ocr_text, driver_hints, sequence_topics_checked, caution_risks, figure_types, diagram_states, diagram_transitions, diagram_steps, diagram_block_edges, diagram_blocks)}
 
 
 # --- the same as SQL ----------------------------------------------------------------------------
@@ -295,12 +318,26 @@ _PARTS = f"SELECT filename, page, pos, part, i, x.t FROM (SELECT filename, page,
 _BLOCKS = f"SELECT filename, page, pos, block, {_block('block')} AS kind, {_has('block', '(?i)\\b(?:clk|clock|rst|reset|irq|int|req|ack|rx|tx|sda|scl)\\b')} AS port FROM {_first(f'({_WHOLE} UNION ALL {_PARTS})', _norm('block'), 'pos, part, i')} AS z"
 
 
-def oracles(caution_lines: str) -> dict[str, str]:
-    """SQL by query; caution_lines is a subquery of (filename, page, pos, type, register)."""
+def _layouts_sql(cells: str) -> str:
+    first = f"(SELECT c.*, rows FROM {cells} AS c JOIN (SELECT filename, page, count(DISTINCT \"row\") AS rows FROM {cells} AS d GROUP BY filename, page) AS n USING (filename, page) WHERE \"row\" = 0)"
+    tables_ = f"SELECT filename, page, kind, header, rows, list(x ORDER BY cell) AS xs, page % 2 = 0 AS known FROM ({LAYOUTS.replace('{cells}', first + ' AS f')}) AS l GROUP BY filename, page, kind, header, rows"
+    before = f"SELECT *, lag(page) OVER w AS p, lag(kind) OVER w AS k, lag(xs) OVER w AS o, lag(known) OVER w AS kn, lag(header) OVER w AS hd FROM ({tables_}) AS t WINDOW w AS (PARTITION BY filename ORDER BY page, kind)"
+    aligned = "len(xs) > 0 AND abs(len(xs) - len(o)) <= 1 AND len(list_filter(range(1, least(len(xs), len(o)) + 1), lambda i: abs(xs[i] - o[i]) <= 24)) / least(len(xs), len(o)) >= 0.7"
+    marked = f"SELECT *, CASE WHEN coalesce(page = p + 1 AND kind = k AND {aligned} AND CASE WHEN known AND kn THEN true WHEN known <> kn THEN false ELSE header = hd END, false) THEN 0 ELSE 1 END AS new FROM ({before}) AS b"
+    runs = f"SELECT *, sum(new) OVER (PARTITION BY filename ORDER BY page, kind) AS run FROM ({marked}) AS m"
+    nth = f"SELECT *, row_number() OVER (PARTITION BY filename, run ORDER BY page) - 1 AS nth, CASE WHEN kind = 'pinmux-table' THEN 4 ELSE 2 END AS span FROM ({runs}) AS r"
+    return f"SELECT filename, kind, min(page) AS page_start, max(page) AS page_end, CAST(sum(rows - CASE WHEN nth % span = 0 THEN 0 ELSE 1 END) AS bigint) AS rows FROM ({nth}) AS q GROUP BY filename, kind, run, nth // span"
+
+
+def oracles(caution_lines: str, cells: str) -> dict[str, str]:
+    """SQL by query; caution_lines is a subquery of (filename, page, pos, type, register), cells one of table cells."""
+    signed = f"SELECT DISTINCT filename, page FROM {_manual('register')} AS m WHERE page % 4 = 0"
     risks = "CASE type " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in K.RISKS.items()) + f" ELSE {_q(K.OTHER_RISK)} END"
     ident = lambda part, name: f"concat(filename, ':{part}:', CASE WHEN {name} = '' THEN 'unknown' ELSE {name} END)"
     score, status = "length(line) * 6", "pos % 2 = 0"
     return {
+        "table_layouts": _layouts_sql(cells),
+        "table_pages": f"SELECT DISTINCT m.filename, m.page FROM {_manual('register')} AS m JOIN ({signed}) AS s ON m.filename = s.filename AND abs(m.page - s.page) <= 1",
         "technical_tokens": f"SELECT filename, page, pos, token, token_type FROM {_typed(_LINES)} AS t",
         "technical_names": f"SELECT filename, page, pos, kind, string_agg(base, ',' ORDER BY i) AS names FROM (SELECT *, row_number() OVER (PARTITION BY filename, page, pos, kind, lower(base) ORDER BY i) AS n FROM ({_NAMED} UNION ALL {_VALUES}) AS a) AS b WHERE n = 1 GROUP BY filename, page, pos, kind",
         "ocr_text": _OCR,

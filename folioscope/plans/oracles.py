@@ -391,7 +391,7 @@ ORACLES |= {
     "table_found_roles": _roles(f"(SELECT filename, cell, text FROM {_CELLS} AS d)"),
 }
 
-ORACLES |= figure_queries.oracles(_cautions("caution"))
+ORACLES |= figure_queries.oracles(_cautions("caution"), _CELLS)
 
 _CUT, _, _NUMBERED = _chunk_sql().removeprefix("WITH RECURSIVE ").rpartition("\nSELECT filename, page, CAST(row_number()")
 _PARTS = f"{_CUT},\nparts AS (SELECT filename, page, CAST(row_number(){_NUMBERED.replace('length(t) AS n_chars, md5(t) AS digest', 't AS text')})"

@@ -35,6 +35,10 @@ ASKED = {
     "get_cautions_for_register": {"register": "PRTm_R1_n"},
     "extract_tables_from_pages": {"start_page": 1, "end_page": 2},
     "search_figures": {"query": "read cycle"},
+    "parse_diagram": {"kind": "block_diagram"},
+    "find_sequence": {"topic": "transfer operation"},
+    "find_caution": {"topic": "reserved bits"},
+    "extract_bitfield_table": {"register": "PRTm_R1_n"},
     "get_figure_context_pack": {"figure_id": "p1_f001"},
     "verify_register_usage": {"register": "PRTm_R1_n", "operation": "write 1 to start"},
     "compare_driver_requirements": {"requirements": ["handle reset line"], "evidence": ["the reset line is handled"]},
