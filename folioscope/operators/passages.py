@@ -207,45 +207,80 @@ def _any(text: Column, patterns) -> Column:
     return out
 
 
-def _found(text: Column, patterns) -> Column:
-    return F.concat(*(F.regexp_extract_all(text, F.lit(rx(p)), F.lit(0)) for p in patterns))
+def _needed(pattern: str) -> list[str]:
+    """Lower-case texts one of which every match of a pattern of alternatives holds; none if that cannot be said."""
+    body = pattern.removeprefix("(?i)")
+    inner = re.search(r"\((?:\?:)?([^()]*(?:\([^()]*\)\??[^()]*)*)\)", body)
+    if not pattern.startswith("(?i)") or "|" in (body.replace(inner[0], "") if inner else body):
+        return []
+    parts = re.split(r"\|(?![^(]*\))", inner[1]) if inner else [body]
+    out = []
+    for part in parts:
+        plain = re.sub(r"\([^()]*\)\?|\[[^\]]*\]|.\?|\\[a-zA-Z][+*]?|\\.", "\n", part)
+        runs = [r for r in re.findall(r"[A-Za-z/ ]{2,}", plain)]
+        if not runs:
+            return []
+        out.append(max(runs, key=len).lower())
+    return list(dict.fromkeys(out))
+
+
+def _seen(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern is found; the costly search is left out where none of its words stands in low, the text in lower case."""
+    needed = _needed(pattern)
+    if not needed:
+        return has(text, pattern)
+    there = F.contains(low, F.lit(needed[0]))
+    for part in needed[1:]:
+        there = there | F.contains(low, F.lit(part))
+    return there & has(text, pattern)
+
+
+#: What a text must hold for a pattern of REGISTERS, and of BITFIELDS, to be found in it.
+_SIGNS = [r"m_", r"m_", r"[A-Z]_", r"MAC|MTL|DMA|ETH|WDT|GPT|GT|POEG|ICU|IRQ|INT|SPI|I2C|I3C|UART|CAN|ADC", r"WDT|GT"], [r"\[[0-9]", r"[A-Z][A-Z0-9_]"]
+
+
+def _found(text: Column, patterns, signs) -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(*(F.when(text.rlike(sign), F.regexp_extract_all(text, F.lit(rx(p)), F.lit(0))).otherwise(none) for p, sign in zip(patterns, signs, strict=True)))
 
 
 def detected(passages: DataFrame) -> DataFrame:
     """passages with headings, registers, bit_fields and symbols, each an array in order of detection."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    heading = lambda x: _any(x, HEADINGS) | (has(x, HEADING_WORDS) & (F.length(x) <= HEADING_WORD_CHARS)) | (has(x, HEADING_CAPS[0]) & has(x, HEADING_CAPS[1]))
+    heading = lambda x: _any(x, HEADINGS) | ((F.length(x) <= HEADING_WORD_CHARS) & _seen(x, F.lower(x), HEADING_WORDS)) | (x.rlike(HEADING_CAPS[0]) & x.rlike(HEADING_CAPS[1]))
     headings = F.array_distinct(F.transform(F.slice(F.filter(lines, heading), 1, MOST_HEADINGS), lambda x: F.substring(x, 1, HEADING_CHARS)))
-    registers = F.slice(F.array_distinct(F.filter(_found(text, REGISTERS), lambda x: F.length(x).between(3, 80))), 1, MOST_REGISTERS)
-    fields = F.filter(F.transform(_found(text, BITFIELDS), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: F.length(x).between(2, 40))
-    out = passages.withColumns({"headings": headings, "registers": registers, "bit_fields": F.slice(F.array_distinct(fields), 1, MOST_BITFIELDS)})
+    registers = F.slice(F.array_distinct(F.filter(_found(text, REGISTERS, _SIGNS[0]), lambda x: F.length(x).between(3, 80))), 1, MOST_REGISTERS)
+    fields = F.filter(F.transform(_found(text, BITFIELDS, _SIGNS[1]), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: F.length(x).between(2, 40))
+    out = passages.withColumns({"low": F.lower(text), "headings": headings, "registers": registers, "bit_fields": F.slice(F.array_distinct(fields), 1, MOST_BITFIELDS)})
     symbols = F.filter(F.array_distinct(F.transform(F.concat("registers", "bit_fields"), canonical_symbol)), lambda x: x != "")
     return out.withColumn("symbols", symbols)
 
 
 def kind() -> Column:
     """struct(chunk_type, types, noise, content) of a detected passage."""
-    text, headings = F.coalesce(F.col("text"), F.lit("")), F.col("headings")
+    text, headings, low = F.coalesce(F.col("text"), F.lit("")), F.col("headings"), F.col("low")
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
     n_lines = F.size(lines)
-    referring = F.size(F.filter(lines, lambda x: x.rlike(PAGE_REF) | x.rlike(NUMBERED_REF)))
+    referring = F.size(F.filter(lines, lambda x: (F.contains(x, F.lit("..")) & x.rlike(PAGE_REF)) | x.rlike(NUMBERED_REF)))
     chapters = F.size(F.filter(lines, lambda x: x.rlike(CHAPTER)))
-    toc = has(text, CONTENTS) | (has(normalize_for_search(F.array_join(headings, " ")), INDEX_HEADING) & (n_lines > TOC_LINES))
-    toc = toc | ((n_lines >= TOC_LINES) & (referring / F.greatest(n_lines, F.lit(1)) > TOC_SHARE)) | (F.contains(normalize_for_search(text), F.lit("contents")) & (chapters >= TOC_CHAPTERS))
+    toc = _seen(text, low, CONTENTS) | (has(normalize_for_search(F.array_join(headings, " ")), INDEX_HEADING) & (n_lines > TOC_LINES))
+    toc = toc | ((n_lines >= TOC_LINES) & (referring / F.greatest(n_lines, F.lit(1)) > TOC_SHARE)) | (F.contains(low, F.lit("contents")) & F.contains(normalize_for_search(text), F.lit("contents")) & (chapters >= TOC_CHAPTERS))
     checks: list[tuple[str, int, int, Column]] = [("noise", -20, 45, (F.trim(text) == "") | (F.length(text) < SHORT_CHARS)), ("toc_index", -35, 70, toc)]
     for name, content, noise, needs, without in KINDS:
-        found = rules.all_of(text, needs)
+        found = _seen(text, low, needs[0])
+        for more in needs[1:]:
+            found = found & has(text, more)
         checks.append((name, content, noise, found & ~has(text, without) if without else found))
-    checks.append(("register_description", 35, -8, (F.size("registers") > 0) & has(text, REGISTER_WORDS)))
-    checks.append(("bitfield_table", 30, -8, (F.size("bit_fields") >= 2) & has(text, BITFIELD_WORDS)))
-    checks.append(("overview", 18, -3, has(text, OVERVIEW) | F.exists(headings, lambda h: h.rlike(OVERVIEW_HEADING))))
+    checks.append(("register_description", 35, -8, (F.size("registers") > 0) & _seen(text, low, REGISTER_WORDS)))
+    checks.append(("bitfield_table", 30, -8, (F.size("bit_fields") >= 2) & _seen(text, low, BITFIELD_WORDS)))
+    checks.append(("overview", 18, -3, _seen(text, low, OVERVIEW) | F.exists(headings, lambda h: h.rlike(OVERVIEW_HEADING))))
     present = {name: F.lit(False) for name in PRIORITY}
     for name, _, _, found in checks:
         present[name] = present[name] | found
     letters, capitals = F.length(F.regexp_replace(text, "[^A-Za-z]", "")), F.length(F.regexp_replace(text, "[^A-Z]", ""))
     shouted = (n_lines > CAPS_LINES) & (capitals / F.greatest(letters, F.lit(1)) > CAPS_SHARE) & ~present["register_table"] & ~present["bitfield_table"]
-    refs = (F.regexp_count(text, F.lit(f"(?m){PAGE_REF}")) >= TOC_REFS) & ~present["register_table"]
+    refs = (F.contains(text, F.lit("..")) & (F.regexp_count(text, F.lit(f"(?m){PAGE_REF}")) >= TOC_REFS)) & ~present["register_table"]
     checks += [("noise", -25, 35, shouted), ("toc_index", -25, 45, refs)]
     present["noise"], present["toc_index"] = present["noise"] | shouted, present["toc_index"] | refs
     content, noise = F.lit(START), F.lit(0)
@@ -289,7 +324,7 @@ def lexical(query: HybridQuery) -> Column:
         for where, points in ((heads, 12), (regs, 20), (bits, 14)):
             parts.append(F.when(F.contains(where, F.lit(t)), points).otherwise(0))
     for pattern, points in VOCABULARY:
-        parts.append(F.when(has(F.col("raw"), pattern), points).otherwise(0))
+        parts.append(F.when(_seen(F.col("raw"), F.col("raw_low"), pattern), points).otherwise(0))
     return total(parts)
 
 
@@ -334,18 +369,20 @@ def hybrid_points(query: HybridQuery, related_pages=(), related_registers=()) ->
         parts.append(F.when(F.arrays_overlap(symbols, F.array(*(F.lit(_symbol(r)) for r in related_registers))), 30).otherwise(0))
     for intents, points, pattern in LANGUAGE:
         if query.has(*intents):
-            parts.append(F.when(has(raw, pattern), points).otherwise(0))
+            parts.append(F.when(_seen(raw, F.col("raw_low"), pattern), points).otherwise(0))
     if query.has("section"):
         parts.append(F.when(F.col("head_flat") != "", 25).otherwise(0))
     else:
-        parts.append(-F.when(has(raw, FRONT_MATTER), 20).otherwise(0))
+        parts.append(-F.when(_seen(raw, F.col("raw_low"), FRONT_MATTER), 20).otherwise(0))
     if query.has("table"):
         parts.append(F.least(16 * F.regexp_count(raw, F.lit(rx(TABLE_WORDS))), F.lit(90)))
     parts.append(-F.when(F.length(F.coalesce(F.col("text"), F.lit(""))) < 80, 25).otherwise(0))
     terms = _kept([*query.important, *query.expanded], 40)
     lines = F.filter(F.array_distinct(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), normalize_text)), lambda x: F.length(x) >= 3)
-    telling = lambda x: F.exists(F.array(*map(F.lit, [*([query.phrase] if query.phrase else []), *terms])), lambda t: F.contains(x, t))
-    shown = F.size(F.filter(lines, lambda x: telling(normalize_for_search(x)) | (F.contains(canonical_symbol(x), F.lit(query.register)) if query.register else F.lit(False))))
+    asked = F.array(*map(F.lit, [*([query.phrase] if query.phrase else []), *terms]))
+    pairs = F.transform(lines, lambda x: F.struct(normalize_for_search(x).alias("flat"), (canonical_symbol(x) if query.register else F.lit("")).alias("symbol")))
+    telling = lambda x: F.exists(asked, lambda t: F.contains(x["flat"], t)) | (F.contains(x["symbol"], F.lit(query.register)) if query.register else F.lit(False))
+    shown = F.size(F.filter(pairs, telling))
     return total([*parts, F.least(10 * F.least(shown, F.lit(6)), F.lit(40))])
 
 
@@ -356,7 +393,7 @@ def prepared(passages: DataFrame, compatibility: bool = False) -> DataFrame:
     found = found.withColumns({"raw": F.concat_ws("\n", F.coalesce("text", F.lit("")), *names), "types": F.col("k.types"), "noise": F.col("k.noise"), "content": F.col("k.content")})
     flat = lambda c, by: normalize_for_search(F.array_join(c, by), compatibility)
     canonical = canonical_symbol(F.concat_ws("\n", F.array_join("registers", "\n"), F.array_join("bit_fields", "\n"), F.array_join("headings", "\n"), F.coalesce("text", F.lit(""))))
-    found = found.withColumns({"flat": normalize_for_search(F.col("raw"), compatibility), "head_flat": flat("headings", "\n"), "reg_flat": flat("registers", "\n"), "bit_flat": flat("bit_fields", "\n"), "canonical": canonical})
+    found = found.withColumns({"raw_low": F.lower("raw"), "flat": normalize_for_search(F.col("raw"), compatibility), "head_flat": flat("headings", "\n"), "reg_flat": flat("registers", "\n"), "bit_flat": flat("bit_fields", "\n"), "canonical": canonical})
     keep = lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)
     found = found.withColumn("toks", F.filter(F.split("flat", " "), keep))
     return found.withColumn("words", F.slice(F.array_distinct("toks"), 1, DISTINCT_TOKENS))
