@@ -192,7 +192,7 @@ class Library:
         return review.arrows(self.lines)
 
     def get_module_profile(self) -> DataFrame:
-        return review.module_type(self.lines).join(review.register_groups(self.registers), "filename", "left")
+        return review.module_type(self.sections).join(review.register_groups(self.registers), "filename", "left")
 
     def verify_register_usage(self, register: str, operation: str) -> DataFrame:
         asked = self.list_pdfs().select("filename", F.lit(register).alias("register"), F.lit(operation).alias("operation"))

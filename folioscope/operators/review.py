@@ -29,10 +29,14 @@ def register_groups(registers: DataFrame) -> DataFrame:
     return registers.withColumn("group", group).groupBy("filename", "group").agg(F.count("*").alias("registers"), F.min_by("name", F.struct("first_page", "name")).alias("first_register"))
 
 
-def module_type(lines: DataFrame, most: int = 40) -> DataFrame:
-    """The kind of module a file is about, by its first lines: the first rule that fits any."""
-    first = lines.withColumn("n", F.row_number().over(W.partitionBy("filename").orderBy("page", "pos"))).where(F.col("n") <= most)
-    text = first.groupBy("filename").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])).alias("text"))
+#: Fixed value: titles of a file that its module is told by.
+MODULE_TITLES = 40
+
+
+def module_type(sections: DataFrame, most: int = MODULE_TITLES) -> DataFrame:
+    """The kind of module a file is about, by the titles of its first `most` sections: the first rule that fits any."""
+    first = sections.withColumn("n", F.row_number().over(W.partitionBy("filename").orderBy("page", "pos"))).where(F.col("n") <= most)
+    text = first.groupBy("filename").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("n", "title"))), lambda x: x["title"])).alias("text"))
     return text.select("filename", rules.first_label(normalize_for_search(F.col("text")), rules.MODULE_TYPES, "unknown").alias("module_type"))
 
 

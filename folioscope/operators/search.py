@@ -111,10 +111,9 @@ def coverage(query: Query) -> Column:
     return half_up(F.lit(120.0) * hits / max(1, len(query.important))).cast("int")
 
 
-def fuzzy_points(text: Column, query: Query, least: float = 0.86, most: int | None = None) -> Column:
-    """12 for each longer important term that is missing but for a spelling, among the first `most` distinct tokens or all."""
+def fuzzy_points(text: Column, query: Query, least: float = 0.86) -> Column:
+    """12 for each longer important term that is missing but for a spelling, among all its distinct tokens."""
     words = F.array_distinct(tokens(text))
-    words = words if most is None else F.slice(words, 1, most)
     score = F.lit(0)
     alike = lambda t: lambda w: (F.abs(F.length(w) - len(t)) <= 2) & (fuzzy_similarity(w, F.lit(t)) >= least)
     for t in query.important[:12]:

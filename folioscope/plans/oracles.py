@@ -262,18 +262,6 @@ def _section_score() -> str:
     return " + ".join(parts)
 
 
-def _fuzzy_points() -> str:
-    terms = search.Query("thatin theren thingon").important
-    out = []
-    for t in terms:
-        sim = f"CASE WHEN greatest(length(w), {len(t)}) <= 2 THEN 0 ELSE 1 - levenshtein(w, '{t}') / greatest(length(w), {len(t)}) END"
-        out.append(f"max(CASE WHEN w = '{t}' THEN 1 ELSE 0 END) AS x{len(out)}, max(CASE WHEN abs(length(w) - {len(t)}) <= 2 AND {sim} >= 0.86 THEN 1 ELSE 0 END) AS y{len(out)}")
-    points = " + ".join(f"CASE WHEN x{i} = 0 AND y{i} = 1 THEN 12 ELSE 0 END" for i in range(len(terms)))
-    firsts = f"SELECT filename, page, w, place, row_number() OVER (PARTITION BY filename, page ORDER BY place) AS n FROM (SELECT filename, page, w, min(place) AS place FROM (SELECT filename, page, unnest(toks) AS w, generate_subscripts(toks, 1) AS place FROM (SELECT filename, page, {_tokens('text')} AS toks FROM ({PROSE}) AS p WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')) AS a) AS b GROUP BY ALL) AS c"
-    scored = f"SELECT filename, page, {points} AS points FROM (SELECT filename, page, {', '.join(out)} FROM ({firsts}) AS d WHERE n <= 500 GROUP BY filename, page) AS e"
-    return f"SELECT filename, page, CAST(coalesce(points, 0) AS int) AS points FROM (SELECT filename, page FROM ({PROSE}) AS p WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')) AS a LEFT JOIN ({scored}) AS s USING (filename, page)"
-
-
 def _fuzzy_all() -> str:
     """All pages and tokens. Letters beyond ASCII count as one that no term has, as levenshtein compares bytes."""
     terms = search.Query("thatin theren thingon").important
@@ -305,8 +293,7 @@ ORACLES: dict[str, str] = {
     "search_bm25": _BM25,
     "search_proximity": _PROXIMITY,
     "search_hybrid": _HYBRID,
-    "search_fuzzy": _fuzzy_points(),
-    "search_fuzzy_all": _fuzzy_all(),
+    "search_fuzzy": _fuzzy_all(),
     "search_evidence": _EVIDENCE,
     "search_fusion": f"SELECT filename, page, CAST(max(score) + CASE WHEN count(*) > 1 THEN floor(min(score) / 10) ELSE 0 END AS int) AS score, CAST(count(*) AS int) AS queries FROM (SELECT * FROM ({_search('than there', 200)}) AS a UNION ALL SELECT * FROM ({_search('over thing', 200)}) AS b) AS u GROUP BY filename, page",
     "register_rows": f"SELECT * FROM {_list_rows()} AS r",
@@ -362,7 +349,7 @@ ORACLES |= {
     "read_pages": f"SELECT filename, page, length(text) AS n_chars FROM ({PROSE}) AS p WHERE page BETWEEN 10 AND 29",
     "register_list": f"SELECT filename, name, confidence, first_page FROM {_REGISTERS} AS r WHERE (explicit = 1 OR confidence >= 70) AND contains({_norm('concat_ws(chr(32), name, description)')}, 'brushed') ORDER BY confidence DESC, first_page, filename, name LIMIT 50",
     "register_groups": f"SELECT filename, \"group\", count(*) AS registers, arg_min(name, (first_page, name)) AS first_register FROM (SELECT *, {_first('upper(concat_ws(chr(32), name, description))', rules.REGISTER_GROUPS, 'Other registers')} AS \"group\" FROM {_REGISTERS} AS r) AS g GROUP BY filename, \"group\"",
-    "module_type": f"SELECT filename, {_first(_norm('text'), rules.MODULE_TYPES, 'unknown')} AS module_type FROM (SELECT filename, string_agg(line, ' ' ORDER BY n) AS text FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY page, pos) AS n FROM {_manual('heading', 'write')} AS x) AS y WHERE n <= 40 GROUP BY filename) AS z",
+    "module_type": f"SELECT filename, {_first(_norm('text'), rules.MODULE_TYPES, 'unknown')} AS module_type FROM (SELECT filename, string_agg(title, ' ' ORDER BY n) AS text FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY page, pos) AS n FROM {_sections('heading')} AS x) AS y WHERE n <= 40 GROUP BY filename) AS z",
     "register_summary": f"SELECT filename, register, confidence, coalesce(bitfields, 0) AS bitfields, coalesce(valid_bitfields, 0) AS valid_bitfields, coalesce(cautions, 0) AS cautions, coalesce(steps, 0) AS steps, CASE WHEN explicit = 1 AND coalesce(bitfields, 0) > 0 THEN 'high' WHEN explicit = 1 THEN 'medium' ELSE 'low' END AS reliability FROM (SELECT *, name AS register FROM {_REGISTERS} AS r) AS r LEFT JOIN (SELECT filename, register, count(*) AS bitfields, count(*) FILTER (WHERE issues = '') AS valid_bitfields FROM {_VALID} AS v GROUP BY ALL) AS f USING (filename, register) LEFT JOIN (SELECT filename, register, count(*) AS cautions FROM {_cautions('caution')} AS c WHERE register <> '' GROUP BY ALL) AS c USING (filename, register) LEFT JOIN (SELECT filename, register, count(*) AS steps FROM {_STEPS} AS s WHERE register <> '' GROUP BY ALL) AS s USING (filename, register)",
     "register_usage": f"SELECT filename, register, operation, access, intent, CASE WHEN missing <> '' THEN 'needs_verification' WHEN coalesce(timing, 0) = 1 THEN 'review_required' ELSE 'likely_ok' END AS severity, missing FROM (SELECT *, {_GAPS} AS missing FROM {_USAGE} AS u LEFT JOIN (SELECT DISTINCT filename, name AS register, 1 AS known FROM {_EXPLICIT} AS e) AS k USING (filename, register) LEFT JOIN {_SAYS} AS s USING (filename, register) LEFT JOIN (SELECT DISTINCT filename, register, 1 AS ordered FROM {_STEPS} AS t WHERE register <> '') AS o USING (filename, register)) AS m",
     "register_alias": f"SELECT a.filename, a.symbol, min(name) AS register, count(DISTINCT name) AS candidates FROM (SELECT concat('manual', p_partkey % 5) AS filename, concat('R', p_partkey, '_n') AS symbol FROM part) AS a JOIN (SELECT filename, name, unnest({_KNOWN}) AS alias FROM {_EXPLICIT} AS e) AS s ON a.filename = s.filename AND {_symbol('a.symbol')} = s.alias GROUP BY a.filename, a.symbol",

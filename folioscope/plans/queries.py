@@ -110,12 +110,7 @@ def search_hybrid(spark, d):
 
 
 def search_fuzzy(spark, d):
-    rows = prose_pages(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select(*KEYS, search.fuzzy_points(F.col("text"), search.Query("thatin theren thingon"), most=500).alias("points"))
-
-
-def search_fuzzy_all(spark, d):
-    """As search_fuzzy, but for pages in any alphabet and by all their tokens."""
+    """Pages in any alphabet, by all their tokens."""
     return prose_pages(spark, d).select(*KEYS, search.fuzzy_points(F.col("text"), search.Query("thatin theren thingon")).alias("points"))
 
 
@@ -355,7 +350,7 @@ def register_groups(spark, d):
 
 
 def module_type(spark, d):
-    return review.module_type(manual_lines(spark, d, "heading", "write"))
+    return review.module_type(pages.sections(manual_lines(spark, d, "heading")))
 
 
 def register_summary(spark, d):
@@ -428,6 +423,6 @@ def table_found_roles(spark, d):
     return tables.column_roles(tables.cells(manual_words(spark, d)).select("filename", "cell", F.concat_ws(":", "page", "row").alias("row"), "text"), ["filename", "cell"])
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_symbols, text_tokens, text_counts, text_fuzzy, chunk_text, chunk_profile, chunk_type_stats, section_index, section_search, section_nearest, search_lexical, search_bm25, search_proximity, search_hybrid, search_fuzzy, search_fuzzy_all, search_evidence, search_fusion, register_rows, register_index, register_find, register_near_pages, register_mapping, bitfield_conflicts, bitfield_rows, bitfield_index, bitfield_validation, bitfield_overlaps, caution_lines, caution_index, sequence_write_pairs, sequence_steps, sequence_structure, sequence_clusters, sequence_best_cluster, sequence_topics, table_cells, table_blocks, table_stitch, table_kinds, table_continuation, table_carried_register, figure_manifest, figure_visual_tables, figure_kinds, evidence_latest, evidence_queue, evidence_report, artifact_descendants, artifact_health, golden_facts, requirement_match, eval_assertions, cache_evict, resume_pages, read_pages, register_list, register_groups, module_type, register_summary, register_usage, register_alias, diagram_edges, diagram_nodes, diagram_signals, pin_functions, figure_context, table_coverage, evidence_gate, golden_bootstrap, artifact_reconcile, table_roles, table_found_roles)}
+QUERIES = {f.__name__: f for f in (text_normalize, text_symbols, text_tokens, text_counts, text_fuzzy, chunk_text, chunk_profile, chunk_type_stats, section_index, section_search, section_nearest, search_lexical, search_bm25, search_proximity, search_hybrid, search_fuzzy, search_evidence, search_fusion, register_rows, register_index, register_find, register_near_pages, register_mapping, bitfield_conflicts, bitfield_rows, bitfield_index, bitfield_validation, bitfield_overlaps, caution_lines, caution_index, sequence_write_pairs, sequence_steps, sequence_structure, sequence_clusters, sequence_best_cluster, sequence_topics, table_cells, table_blocks, table_stitch, table_kinds, table_continuation, table_carried_register, figure_manifest, figure_visual_tables, figure_kinds, evidence_latest, evidence_queue, evidence_report, artifact_descendants, artifact_health, golden_facts, requirement_match, eval_assertions, cache_evict, resume_pages, read_pages, register_list, register_groups, module_type, register_summary, register_usage, register_alias, diagram_edges, diagram_nodes, diagram_signals, pin_functions, figure_context, table_coverage, evidence_gate, golden_bootstrap, artifact_reconcile, table_roles, table_found_roles)}
 QUERIES |= figure_queries.QUERIES
 QUERIES |= passage_queries.QUERIES
