@@ -140,10 +140,12 @@ def release(collect: bool = True) -> None:
 
 
 def released(run):
-    """The Arrow function run, giving memory back after each task."""
+    """The Arrow function run, giving memory back: what other operators kept in the worker before, its own after each task."""
 
     def wrapped(batches):
-        release(collect=False)
+        kept = bool(_KEPT)
+        _KEPT.clear()
+        release(collect=kept)
         yield from run(batches)
         release(collect=False)
 
