@@ -40,11 +40,11 @@ from folioscope.llm.common import cut, forget, released, small, whole_text
 from folioscope.llm.graph import components
 
 #: Frequent shingles that order prefixes; weight (shingles) of one side of a unit; sixteenths of the hash space that the second pass emits.
-HOT, UNIT_WEIGHT, SHARE = 100_000, 300_000, 6
+HOT, UNIT_WEIGHT, SHARE = 100_000, 200_000, 6
 #: Bytes up to which the candidates' ids are broadcast to fetch their texts; beyond, they are joined.
 BROADCAST_BYTES = 32 << 20
 #: Sets remembered as sent by a task; rows of one shingle held by one; a set is broadcast if more than one in OFTEN documents has it.
-SENT_ENTRIES, CROWD, OFTEN = 250_000, 1 << 20, 1_000
+SENT_ENTRIES, CROWD, OFTEN = 100_000, 1 << 19, 1_000
 BITS, LEAF, FAN = 1024, 16, 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sid(s) for s in sets], pa.int64()), blank, blank], names=["doc_id", "t", "n", "sid", "key", "times"])
                 held += sets
                 size += sum(map(len, sets))
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield repeated()
                     held, size = [], 0
         if held:
