@@ -23,17 +23,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, whole_text
+from folioscope.llm.common import cut, small, whole_text
 
 GRAM, PERCENT, RADIUS = 3, 50, 23
 #: Item shingles up to which documents are searched for them in place; beyond, by a join.
 LISTED = 100_000
-#: Rows up to which a table is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return small(df, BROADCAST_BYTES)
 
 
 def _words(text: Column) -> Column:
