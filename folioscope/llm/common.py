@@ -17,7 +17,7 @@ from folioscope import share
 
 
 #: Rows of an Arrow batch: Spark's 10,000 whole texts at once are too many for small executors.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def tune(spark: SparkSession) -> None:
