@@ -30,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import Memo, cut, per_process, remainder, slices, tune, whole_text
+from folioscope.llm.common import Memo, cut, per_process, released, remainder, slices, small, tune, whole_text
 
-#: Labelled documents of either kind that the model is fitted on at most (those of least hash), and its size.
-TOXIC_DOCS, OTHER_DOCS, FORMS, GRAMS = 2_000, 6_000, 50_000, 200_000
+#: The model's size; bytes of labels up to which they are broadcast.
+FORMS, GRAMS, LABELS_BYTES = 50_000, 200_000, 64 << 20
 #: How many forms may stay by chance, on average; least places of a form.
 BY_CHANCE, LEAST = 0.5, 3
 #: Share of a beginning's places from which on one longer beginning replaces it.
@@ -239,37 +239,59 @@ class Scorer:
         return "\n".join(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, other_docs: int = OTHER_DOCS) -> Model:
-    """Learns from labelled rows whose crc32(doc_id as text) mod 3 is not 1: at most toxic_docs and other_docs of them."""
+def _bare(token: str) -> str:
+    """A token of letters alone without the marks around it, else empty."""
+    w = _EDGE.sub("", token)
+    return w if w and _PLAIN.match(w) else ""
+
+
+def _places(batches):
+    """Where words of texts stand: (word, left, right, doc), neighbours and texts by hashes."""
+    name = lambda x: xxhash.xxh3_64_intdigest(x) >> 1
+    bare = Memo(_bare, MEMO_ENTRIES)
+    for batch in batches:
+        for part in slices(batch):
+            rows: list[tuple] = []
+            for text in part.column(0).to_pylist():
+                tokens, doc = text.lower().split(), name(text)
+                near = [0, *map(name, tokens), 0]
+                seen = {(w, near[i], near[i + 2]) for i, t in enumerate(tokens) if (w := bare[t])}
+                rows += [(*x, doc) for x in seen]
+            bare.trim()
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["word", "left", "right", "doc"])
+
+
+def _holding(batches):
+    """In how many texts words stand: (word, n), added up before they go on."""
+    bare, found = Memo(_bare, MEMO_ENTRIES), Counter()
+
+    def rows():
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+        found.clear()
+
+    for batch in batches:
+        for part in slices(batch):
+            for text in part.column(0).to_pylist():
+                found.update({bare[t] for t in set(text.lower().split())} - {""})
+            bare.trim()
+            if len(found) > MEMO_ENTRIES:
+                yield from rows()
+    yield from rows()
+
+
+def fit(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = LABELS_BYTES) -> Model:
+    """Learns from all labelled rows whose crc32(doc_id as text) mod 3 is not 1; copies of a text are one text, each counts in the calibration."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 3) != 1))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    some = lambda mark, most: known.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    picked = F.broadcast(some(1, toxic_docs).unionByName(some(0, other_docs)))  # at most toxic_docs and other_docs rows
-    texts = cut(docs.select("doc_id", whole_text().alias("text")).join(picked, "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("apart")), "labelled")
-
-    def places(batches):
-        name = lambda x: xxhash.xxh3_64_intdigest(x) >> 1
-        for batch in batches:
-            for part in slices(batch):
-                rows: list[tuple] = []
-                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    tokens, doc = text.lower().split(), name(text)
-                    words = [_EDGE.sub("", t) for t in tokens]
-                    if toxic:
-                        near = [0, *map(name, tokens), 0]
-                        seen = {(w, near[i], near[i + 2]) for i, w in enumerate(words) if w and _PLAIN.match(w)}
-                    else:
-                        seen = {(w, 0, 0) for w in words if w and _PLAIN.match(w)}
-                    rows += [(*x, toxic, doc) for x in seen]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["word", "left", "right", "toxic", "doc"])
-
-    found = cut(texts.where("not apart").select("text", "toxic").mapInArrow(places, "word string, left long, right long, toxic int, doc long"), "found")
+    met = docs.where(remainder("doc_id", 3) != 1).select("doc_id", whole_text().alias("text")).join(small(known, broadcast_bytes), "doc_id")
+    once = met.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = cut(once.select("text", "toxic", "copies", (F.pmod("h", F.lit(5)) == 0).alias("apart")), "labelled")
+    toxic = cut(texts.where("not apart AND toxic = 1").select("text").mapInArrow(released(_places), "word string, left long, right long, doc long"), "found")
+    others = texts.where("not apart AND toxic = 0").select("text").mapInArrow(released(_holding), "word string, n long").groupBy("word").agg(F.sum("n").alias("b"))
     starts = F.explode(F.array(*(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in range(3, 7)))).alias("form")
-    toxic = found.where("toxic = 1")
     apart = toxic.groupBy("word", "left").agg(F.min("right").alias("right")).groupBy("word").agg(F.countDistinct("right").alias("places"))
     against = toxic.groupBy("word").agg(F.countDistinct("doc").alias("docs")).join(apart, "word").select("word", F.least("places", "docs").alias("a"))
-    others = found.where("toxic = 0").groupBy("word").agg(F.countDistinct("doc").alias("b"))
     words = cut(against.join(others, "word", "full").select("word", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")), "words")
     seen = words.agg(F.sum("a"), F.sum("b")).first()
     a, b = float(seen[0] or 0), float(seen[1] or 0)
@@ -293,22 +315,23 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, other_
     common = words.where("b >= 2").orderBy(F.desc("b"), "word").limit(FORMS).collect()
     model = Model({r.g: float(r.n) for r in grams}, evidence, 0.5, known=frozenset(r.word for r in common) - evidence.keys())
     rest = weigh(texts.where("apart"), model)
-    model.base, model.slope = calibrated([r.evidence for r in rest], [r.toxic for r in rest])
+    model.base, model.slope = calibrated(*(rest.column(c).to_numpy() for c in ("evidence", "toxic", "n")))
     model.name = uuid.uuid4().hex
     return model
 
 
-def weigh(texts: DataFrame, model: Model) -> list:
-    """Rows (evidence, toxic) of labelled texts (text, toxic): a bounded sample."""
+def weigh(texts: DataFrame, model: Model) -> pa.Table:
+    """Rows (evidence, toxic, n) of labelled texts (text, toxic, copies): how many have that evidence, to nine places."""
     held = texts.sparkSession.sparkContext.broadcast(model)  # bounded by FORMS and GRAMS
 
     def run(batches):
         scorer = held.value.scorer()
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(scorer.evidence, part.column(0).to_pylist())), pa.float64()), part.column(1)], names=["evidence", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(scorer.evidence, part.column(0).to_pylist())), pa.float64()), part.column(1), part.column(2)], names=["evidence", "toxic", "copies"])
 
-    return texts.select("text", "toxic").mapInArrow(run, "evidence double, toxic int").collect()
+    each = texts.select("text", "toxic", "copies").mapInArrow(run, "evidence double, toxic int, copies long")
+    return each.groupBy(F.round("evidence", 9).alias("evidence"), "toxic").agg(F.sum("copies").alias("n")).orderBy("evidence", "toxic").toArrow()
 
 
 def log_chance(a: int, n: int, p: float) -> float:
@@ -324,21 +347,21 @@ def log_chance(a: int, n: int, p: float) -> float:
     return min(0.0, term + math.log(total))
 
 
-def calibrated(evidence: list[float], toxic: list[int]) -> tuple[float, float]:
+def calibrated(evidence: np.ndarray, toxic: np.ndarray, times: np.ndarray) -> tuple[float, float]:
     """The probability without evidence, and the slope of the log odds by it: logistic regression, held near a slope of 1.
 
     With labels of one kind only, or none, the share of toxic ones (a half without any) and 1.
     """
-    n, hits = len(toxic), sum(toxic)
+    n, hits = int(times.sum()), int((times * toxic).sum())
     prior = (hits + 1.0) / (n + 2.0)
     if not 0 < hits < n:
         return (prior if n else 0.5), 1.0
-    x, y = np.array(evidence), np.array(toxic, float)
+    x, y, m = evidence, toxic.astype(float), times.astype(float)
     c, k = math.log(prior / (1 - prior)), 1.0
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(c + k * x, -30, 30)))
-        w = q * (1 - q)
-        grad = np.array([(q - y).sum() + 0.1 * (c + 2), ((q - y) * x).sum() + 2 * (k - 1)])
+        w = m * q * (1 - q)
+        grad = np.array([(m * (q - y)).sum() + 0.1 * (c + 2), (m * (q - y) * x).sum() + 2 * (k - 1)])
         hess = np.array([[w.sum() + 0.1, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 2]])
         step = np.linalg.solve(hess, grad)
         step /= max(1.0, np.abs(step).max())
