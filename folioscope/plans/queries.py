@@ -62,8 +62,12 @@ def chunk_text(spark, d):
     return pages.chunks(prose_pages(spark, d)).select(*KEYS, "chunk_index", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+def typed(rows):
+    return T.once(passages.detected(rows), "c", passages.kind()).select(*KEYS, "c.chunk_type", F.array_join("c.types", ",").alias("types"), "c.noise", "c.content")
+
+
 def _typed(spark, d):
-    return passages.detected(_page_text(manual_lines(spark, d))).withColumn("c", passages.kind()).select(*KEYS, "c.chunk_type", F.array_join("c.types", ",").alias("types"), "c.noise", "c.content")
+    return typed(_page_text(manual_lines(spark, d)))
 
 
 def chunk_profile(spark, d):
