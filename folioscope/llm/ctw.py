@@ -14,8 +14,9 @@ over its bytes of the log10 probabilities, its code length; the bytes' probabili
    can before anything is shuffled.
 2. The subtree below each context of SPLIT bytes is worked out by itself, the levels above as keyed
    tables, upwards for P_w and downwards for the mixture; that gives every step its probability.
-3. Texts look their steps up in that table, broadcast if it takes at most BROADCAST_BYTES and else by
-   a join; and their words in that of the HEAD most frequent (a fixed number), all others by a join.
+3. Texts look their steps up in that table, broadcast if it takes at most BROADCAST_BYTES; else each
+   chunk of texts asks for its distinct steps once, by bucket, and meets the answers. They look their
+   words up in that of the HEAD most frequent (a fixed number), all others by a join.
 
 Results for odd input: null and empty texts consist of the end alone; repeated rows each get their
 row; a null doc_id counts as the empty text where training texts are chosen; without any training
@@ -29,6 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,33 +40,39 @@ from folioscope.llm.common import cut, forget, released, whole_text
 DEPTH = 5
 #: Words looked up by broadcast, bytes of predictions up to which these are broadcast, and rows a task holds back.
 HEAD, BROADCAST_BYTES, HELD = 1_000_000, 64 << 20, 3_000_000
+#: Beyond that: steps of a bucket, bytes of texts that ask for their steps together, and texts of a packed row.
+BUCKET_STEPS, CHUNK_BYTES, PACKED_TEXTS = 100_000, 32 << 20, 64
 #: The key of the end of a text among the words' hashes.
 END = 0
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def steps(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys context << 8 | byte of all coded bytes of the texts, end to end, and how many each text has."""
     data, offsets = words.data_of(texts)
-    begin, end = words.spans(data, offsets)
-    size = end - begin
-    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(begin, offsets)))
+    raw, at = data.tobytes(), offsets.tolist()
     # Each text: depth spaces, its words with a space behind each, the end.
-    start = np.cumsum(size + 1) - (size + 1) + (text + 1) * depth + text
-    out = np.full(int((size + 1).sum()) + len(texts) * (depth + 1), 32, np.uint8)
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[at + np.repeat(start, size)] = _LOWER[data[at + np.repeat(begin, size)]]
-    coded = np.bincount(text, size + 1, len(texts)).astype(np.int64) + 1
-    ends = np.cumsum(coded + depth) - 1
-    out[ends] = 10
-    keep = np.ones(len(out), bool)
+    parts = [b" " * depth + b" ".join([*raw[a:b].lower().split(), b"\n"]) for a, b in zip(at, at[1:], strict=False)]
+    size = np.array([len(x) for x in parts], np.int64)
+    out = b"".join([bytes(7), *parts])
+    # The eight bytes up to each place as one number, of which a step keeps the last.
+    key = np.ndarray(len(out) - 7, ">u8", out, 0, (1,)).astype(np.uint64) & np.uint64((1 << 8 * (depth + 1)) - 1)
+    keep = np.ones(len(key), bool)
+    start = np.cumsum(size) - size
     for k in range(depth):
-        keep[ends - coded + 1 - depth + k] = False
-    key = out.astype(np.uint64)
-    for k in range(1, depth + 1):
-        key[k:] |= out[:-k].astype(np.uint64) << np.uint64(8 * k)
-    return key[keep].view(np.int64), coded
+        keep[start + k] = False
+    return key[keep].view(np.int64), size - depth
+
+
+def scores(texts: pa.Array, depth: int, known: np.ndarray, lps: np.ndarray) -> np.ndarray:
+    """The summed predictions of each of at most 256 texts; known: sorted steps, all of the texts' among them."""
+    keys, coded = steps(texts, depth)
+    # Steps of 56 bits at most, and whose they are, sorted together.
+    both = keys.view(np.uint64) << np.uint64(8) | np.repeat(np.arange(len(texts), dtype=np.uint64), coded)
+    both.sort()
+    keys = both >> np.uint64(8)
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    each = np.repeat(lps[np.searchsorted(known, keys[heads].view(np.int64))], np.diff(np.r_[heads, len(keys)]))
+    return np.bincount((both & np.uint64(255)).astype(np.int64), each, len(texts)).astype(float)
 
 
 class _Sums:
@@ -300,7 +308,8 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
     predictions = cut(predict(counted.where("kind = 1").select(F.col("key").alias("step"), "n"), depth), "predictions")
     top = tokens.orderBy(F.desc("c"), "tok").limit(head).toArrow()  # a fixed number
     order = np.argsort(top.column("tok").to_numpy())
-    in_place = 16 * predictions.count() <= broadcast_bytes
+    many = predictions.count()
+    in_place = 16 * many <= broadcast_bytes
     steps_, lp = np.zeros(0, np.int64), np.zeros(0)
     if in_place:
         got = predictions.toArrow()
@@ -314,11 +323,7 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
         for batch in batches:
             for part in words.slices(batch, 1):
                 rows = part.num_rows
-                keys, coded = steps(part.column(1), depth)
-                score = np.zeros(rows)
-                if in_place:
-                    each, at = np.unique(keys, return_inverse=True)
-                    score = np.bincount(np.repeat(np.arange(rows), coded), lps[np.searchsorted(known_steps, each)][at], rows).astype(float)
+                score = scores(part.column(1), depth, known_steps, lps) if in_place else np.zeros(rows)
                 flat, many = words.of_texts(part.column(1))
                 # Each text's words, then its end.
                 word = np.insert(flat.view(np.int64), np.cumsum(many), END)
@@ -351,7 +356,7 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
         F.max("own.size").alias("size"),
     )
     if not in_place:
-        sums = _joined_scores(work, predictions, depth)
+        sums = _joined_scores(work, predictions, many, depth)
         parts = parts.drop("s").join(sums, parts["doc_id"].eqNullSafe(sums["__id"]) & (parts["h"] == sums["__h"])).drop("__id", "__h")
     each = lambda c: F.col(c) / F.col("copies")
     return parts.select(
@@ -366,17 +371,112 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, head: int = HEA
     ).drop("copy")
 
 
-def _joined_scores(work: DataFrame, predictions: DataFrame, depth: int) -> DataFrame:
-    """Rows (__id, __h, s): the summed scores of all rows of a text, its steps joined with their predictions."""
+def _packed(keys: np.ndarray, bits: int):
+    """Sorted steps by bucket: (bucket, which they are, their differences byte plane by byte plane)."""
+    bucket = (words.mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    by = np.argsort(bucket, kind="stable")
+    heads = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1]][: len(by)])
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(by)], strict=True):
+        pick = by[a:b]
+        yield int(bucket[pick[0]]), pick, np.diff(keys[pick], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
+def _table(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted steps and their predictions, of packed pieces."""
+    keys, lps = np.concatenate([_unpacked(k) for k, _ in parts]), np.concatenate([np.frombuffer(v) for _, v in parts])
+    by = np.argsort(keys)
+    return keys[by], lps[by]
+
+
+_ASKED = "chunk long, bucket int, data binary, lps binary"
+
+
+def _rows(chunk: int | None, bucket: int | None, data, lps: bytes | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.array([lps], pa.binary())], names=["chunk", "bucket", "data", "lps"])
+
+
+def _joined_scores(work: DataFrame, predictions: DataFrame, many: int, depth: int) -> DataFrame:
+    """Rows (__id, __h, s): the summed scores of all rows of a text, where the `many` predictions are not broadcast.
+
+    Texts are dealt in chunks. A chunk asks for each of its distinct steps once, in one row for each bucket
+    of steps; the answers meet its packed texts again. No row stands for a single step of a text.
+    """
+    bits = max(0, (many // BUCKET_STEPS).bit_length())
+
+    def known(batches):
+        held, size = [], 0
+
+        def rows():
+            keys, lps = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.argsort(keys)
+            keys, lps = keys[by], lps[by]
+            for bucket, pick, raw in _packed(keys, bits):
+                yield _rows(None, bucket, raw, lps[pick].tobytes())
 
-    def run(batches):
         for batch in batches:
-            for part in words.slices(batch, 1):
-                keys, coded = steps(part.column(1), depth)
-                owner = np.repeat(np.arange(part.num_rows), coded)
-                pairs, tf = np.unique(np.stack([owner, keys]), axis=1, return_counts=True)
-                who = pa.array(pairs[0])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(2).take(who), pa.array(pairs[1]), pa.array(tf)], names=["__id", "__h", "step", "tf"])
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > HELD:
+                yield from rows()
+                held, size = [], 0
+        if size:
+            yield from rows()
+
+    def asked(batches):
+        chunk, size, found = TaskContext.get().partitionId() << 32, 0, _Sums()
+
+        def asks():
+            for bucket, _, raw in _packed(found.close()[0], bits):
+                yield _rows(chunk, bucket, raw, None)
 
-    spread = work.mapInArrow(released(run), "__id long, __h long, step long, tf long").join(predictions, "step")
-    return spread.groupBy("__id", "__h").agg(F.sum(F.col("tf") * F.col("lp")).alias("s"))
+        for batch in batches:
+            for part in words.slices(batch, 1, PACKED_TEXTS):
+                keys, n = np.unique(steps(part.column(1), depth)[0], return_counts=True)
+                found.add(keys, n)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield _rows(chunk, None, sink.getvalue().to_pybytes(), None)
+                size += part.column(1).nbytes
+                if size > CHUNK_BYTES:
+                    yield from asks()
+                    chunk, size, found = chunk + 1, 0, _Sums()
+        if size:
+            yield from asks()
+
+    def answers(batches):
+        now, held, table = None, [], None
+        for batch in batches:
+            for chunk, bucket, data, lps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    now, held, table = bucket, [], None
+                if chunk is None:
+                    held.append((data, lps))
+                    continue
+                if table is None:
+                    table, held = _table(held), []
+                yield _rows(chunk, bucket, data, table[1][np.searchsorted(table[0], _unpacked(data))].tobytes())
+
+    def summed(batches):
+        now, held, table = None, [], None
+        for batch in batches:
+            for chunk, bucket, data, lps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != now:
+                    now, held, table = chunk, [], None
+                if bucket is not None:
+                    held.append((data, lps))
+                    continue
+                if table is None:
+                    table, held = _table(held), []
+                part = pa.ipc.open_stream(data).read_next_batch()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(scores(part.column(1), depth, *table))], names=["__id", "__h", "s"])
+
+    texts = cut(work.mapInArrow(released(asked), _ASKED), "asked")
+    ask = predictions.mapInArrow(released(known), _ASKED).unionByName(texts.where("bucket is not null"))
+    answered = ask.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(released(answers), _ASKED)
+    met = texts.where("bucket is null").unionByName(answered).repartition("chunk").sortWithinPartitions("chunk", F.col("bucket").asc_nulls_last())
+    return met.mapInArrow(released(summed), "__id long, __h long, s double").groupBy("__id", "__h").agg(F.sum("s").alias("s"))
