@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import Memo, per_process, slices, whole_text
+from folioscope.llm.common import Memo, per_process, release, slices, whole_text
 
 _M64 = (1 << 64) - 1
 #: Memoised chunks per Python worker, in each of two generations.
@@ -228,7 +228,9 @@ class Encoder:
 
 def vocabulary(spark, path: str, pattern: str):
     """The vocabulary file broadcast for encode() and decode()."""
-    return spark.sparkContext.broadcast(Vocabulary.of(read_ranks(path), pattern))
+    out = spark.sparkContext.broadcast(Vocabulary.of(read_ranks(path), pattern))
+    release()  # making it takes several times its memory
+    return out
 
 
 def _split_tail(df: DataFrame, out: str) -> list[str]:

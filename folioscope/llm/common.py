@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Hashable
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,29 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     tune(df.sparkSession)
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
+    trim(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's JVM give freed native memory back to the system; whether it could.
+
+    Every plan is compiled, and what compilers free stays in the C library's arenas: hundreds of MB
+    after some hundred plans, whatever the tables' size, beside a heap that is bounded.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # The server's own class is hidden from Py4J: its interface's method is called.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, args)
+    except Py4JError:  # another JVM or C library: it keeps that memory
+        return False
+    return True
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that cut() wrote and nothing reads any more, and lets Spark drop the shuffles that led to them."""
     jvm = spark.sparkContext._jvm
@@ -65,6 +86,7 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     jvm.System.gc()
+    trim(spark)
 
 
 def small(df: DataFrame, most: int) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import Memo, cut, per_process, released, remainder, slices, small, tune, whole_text
+from folioscope.llm.common import Memo, cut, per_process, release, released, remainder, slices, small, tune, whole_text
 
 #: The model's size; bytes of labels up to which they are broadcast.
 FORMS, GRAMS, LABELS_BYTES = 50_000, 200_000, 64 << 20
@@ -311,9 +311,12 @@ def fit(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = LABELS_BYTES)
             longer[form[:-2]] = max(longer.get(form[:-2], 0), r.a)
     evidence = {f: (r.a + 2.0 * base) / (r.a + r.b + 2.0) for f, r in sure.items() if not (f.endswith("*") and longer.get(f[:-1], 0) >= SAME * r.a)}
     padded = F.concat(F.lit("^" * (ORDER - 1)), F.col("word"), F.lit("\0"))
-    grams = words.select((F.col("a") + F.col("b")).alias("n"), padded.alias("w"), F.explode(F.sequence(F.lit(1), F.length("word") + 1)).alias("i")).groupBy(F.expr(f"substring(w, i, {ORDER})").alias("g")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(GRAMS).collect()
-    common = words.where("b >= 2").orderBy(F.desc("b"), "word").limit(FORMS).collect()
-    model = Model({r.g: float(r.n) for r in grams}, evidence, 0.5, known=frozenset(r.word for r in common) - evidence.keys())
+    grams = words.select((F.col("a") + F.col("b")).alias("n"), padded.alias("w"), F.explode(F.sequence(F.lit(1), F.length("word") + 1)).alias("i")).groupBy(F.expr(f"substring(w, i, {ORDER})").alias("g")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(GRAMS).toArrow()
+    common = words.where("b >= 2").orderBy(F.desc("b"), "word").limit(FORMS).select("word").toArrow()
+    counts = dict(zip(grams["g"].to_pylist(), map(float, grams["n"].to_pylist()), strict=True))
+    model = Model(counts, evidence, 0.5, known=frozenset(common["word"].to_pylist()) - evidence.keys())
+    del grams, common
+    release()
     rest = weigh(texts.where("apart"), model)
     model.base, model.slope = calibrated(*(rest.column(c).to_numpy() for c in ("evidence", "toxic", "n")))
     model.name = uuid.uuid4().hex
