@@ -9,7 +9,7 @@ from folioscope.functions import text as T
 from folioscope.plans import figure_queries, passage_queries
 from folioscope.operators import bitfields, figures, guidance, pages, passages, quality, registers, review, search, tables
 from folioscope.sources import artifacts
-from folioscope.sources.corpora import manual_lines, manual_words, prose_pages
+from folioscope.sources.corpora import manual_lines, manual_words, prose_pages, written_lines
 
 #: The prose query: words of the invented language of the documents.
 ASK = "than there, over the thing"
@@ -84,8 +84,7 @@ def section_index(spark, d):
 
 def section_search(spark, d):
     ask = "Reset Procedure"
-    rows = pages.sections(manual_lines(spark, d)).withColumn("score", pages.score_section(F.col("title"), F.col("type"), ask, search.Query(ask).terms))
-    return rows.where("score > 0").orderBy(F.desc("score"), "page", "level", "filename", "title").limit(30).select(*KEYS, "title", "score")
+    return pages.search_sections(written_lines(spark, d), ask, search.Query(ask).terms, 30).select(*KEYS, "title", "score")
 
 
 def section_nearest(spark, d):
